@@ -4,18 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe
+from pyspark.sql import functions as F
+
+from tidelog.llm import bpe, media, quality, toxicity
+from tidelog.llm.common import fold
+from tidelog.llm.sampling import labelled_sample
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_report(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = media.read_features(media.read_headers(media.write_shards(docs)))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "sample_bits")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.SAMPLE_ROWS))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
     return {name: found[name] for name in sorted(found, key=lambda n: int(n[2:].split("_")[0]))}
