@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, media, quality, toxicity
+from tidelog.llm import bpe, chat, media, mixing, quality, toxicity
 from tidelog.llm.common import fold
 from tidelog.llm.sampling import labelled_sample
 
@@ -20,11 +20,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose two turns hold marks of common templates."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_windows(rows.unionByName(marks)))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = media.read_features(media.read_headers(media.write_shards(docs)))
