@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, langid, media, mixing, quality, toxicity
+from tidelog.llm import bpe, chat, langid, media, mixing, neardup, quality, toxicity
 from tidelog.llm.common import fold
 from tidelog.llm.sampling import labelled_sample
 
@@ -39,6 +39,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.component_table(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
