@@ -134,8 +134,8 @@ def fit(sample: DataFrame) -> Model:
     ratio = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
     likely = sums.where((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS)
     terms = choose_terms([tuple(r) for r in likely.select("stem", "toxic", "clean").collect()], n_toxic, n_clean)
-    seen = append_columns(sample, "text", _FEATURES, _featurer(terms, EXCEPTIONS)).select("f0", "f1", (F.col("label") > 0).cast("int").alias("y")).orderBy("f0", "f1", "y").collect()
-    table = np.array(seen, float).reshape(-1, 3)
+    seen = append_columns(sample, "text", _FEATURES, _featurer(terms, EXCEPTIONS)).select("f0", "f1", (F.col("label") > 0).cast("int").alias("y")).collect()
+    table = np.array(sorted(map(tuple, seen)), float).reshape(-1, 3)
     return Model(terms, fit_curve(table[:, :2], table[:, 2]))
 
 
