@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, langid, media, mixing, neardup, quality, toxicity
+from tidelog.llm import bpe, chat, langid, media, mixing, neardup, quality, substrings, toxicity
 from tidelog.llm.common import fold
 from tidelog.llm.sampling import labelled_sample
 
@@ -43,6 +43,11 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.component_table(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
