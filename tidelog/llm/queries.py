@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, langid, media, mixing, neardup, quality, substrings, toxicity
+from tidelog.llm import bpe, chat, langid, media, mixing, neardup, pii, quality, substrings, toxicity
 from tidelog.llm.common import fold
 from tidelog.llm.sampling import labelled_sample
 
@@ -70,6 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
     return {name: found[name] for name in sorted(found, key=lambda n: int(n[2:].split("_")[0]))}
