@@ -38,9 +38,12 @@ FLOOR, ADDED = 1e-9, 0.01
 LETTERS = regex.compile(r"\p{L}+")
 #: Words of more letters are scored in stretches of this length, each a word of its own.
 WORD_LIMIT = 48
-CACHE = 250_000
+CACHE = 300_000
+#: Characters of texts whose words are looked up together, and words of one text that are summed at once.
+GROUP_CHARS, STRETCH = 1_000_000, 20_000
 #: ASCII marks that are no letters, stripped before a stretch is looked up.
 MARKS = ".,;:!?|&$%#*()[]<>\"'-"
+POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(LONGEST)]
 
 
 def words_of(token: str) -> list[str]:
@@ -153,76 +156,124 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None, id_co
 class Scorer:
     """Log-likelihoods of texts in every language; what is kept for reuse has a bound.
 
-    The forward sum of a stretch depends on the stretch alone, so words share those of their common beginnings.
+    The words of a batch that are not known yet are scored together: one forward sweep over all words of one length, in which
+    pieces are looked up by hash in sorted tables, one for each piece length.
     """
 
     def __init__(self, model: Model):
         self.model, self.row, self.used = model, {}, 0
         self.known = np.zeros((CACHE, len(model.languages)))
-        self.sums: dict[str, tuple[float, ...]] = {}
-
-    def word(self, word: str) -> tuple[float, ...]:
-        """Summed probabilities of a word, one per language, in one forward sweep."""
-        sums, pieces, marked = self.sums, self.model.pieces, START + word
-        n = len(marked)
-        if len(sums) + n > CACHE or not sums:
-            sums.clear()
-            sums[""] = (1.0,) * len(self.model.languages)
-        done = n
-        while marked[:done] not in sums:
-            done -= 1
-        for end in range(done + 1, n + 1):
-            total = [a * FLOOR for a in sums[marked[: end - 1]]]
-            for start in range(max(0, end - LONGEST), end):
-                p = pieces.get(marked[start:end])
-                if p is not None:
-                    total = [t + a * q for t, a, q in zip(total, sums[marked[:start]], p)]  # noqa: B905  the inner loop
-            sums[marked[:end]] = tuple(total)
-        return sums[marked]
-
-    def _token(self, token: str) -> np.ndarray:
-        out = np.zeros(len(self.model.languages))
-        for w in words_of(token):
-            out += [math.log(a) if a > 0 else -745.0 for a in self.word(w)]
+        self.tables = []
+        for n in range(1, LONGEST + 1):
+            pieces = [p for p in model.pieces if len(p) == n]
+            keys = np.zeros(len(pieces), np.uint64)
+            codes = _codes(pieces, n)
+            for k in range(n):
+                keys = _longer(keys, codes[:, n - 1 - k], k)
+            order = np.argsort(keys)
+            table = np.array([model.pieces[p] for p in pieces], float).reshape(len(pieces), -1)
+            self.tables.append((keys[order], table[order]))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of distinct words, a row each."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by_length[len(w)].append(i)
+        for n, places in by_length.items():
+            codes = _codes([START + words[i] for i in places], n + 1)
+            alpha = [np.ones((len(places), out.shape[1]))]
+            for end in range(1, n + 2):
+                total, key = alpha[end - 1] * FLOOR, np.zeros(len(places), np.uint64)
+                for size in range(1, min(end, LONGEST) + 1):
+                    key = _longer(key, codes[:, end - size], size - 1)
+                    keys, table = self.tables[size - 1]
+                    if not len(keys):
+                        continue
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = np.flatnonzero(keys[at] == key)
+                    if len(hit):
+                        total[hit] += alpha[end - size][hit] * table[at[hit]]
+                alpha.append(total)
+            out[places] = np.log(np.maximum(alpha[-1], 1e-300))
         return out
 
-    def _place(self, token: str) -> int:
-        """The row of ``known`` for a stretch without spaces; marks at its ends change nothing."""
-        inner = token.strip(MARKS)
-        at = self.row.get(inner)
-        if at is None:
-            at = self.row[inner] = self.used
+    def learn(self, tokens: list[str]) -> None:
+        """Scores the stretches without spaces that are not known; marks at their ends change nothing."""
+        inner = {t: t.strip(MARKS) for t in tokens}
+        fresh = [t for t in dict.fromkeys(inner.values()) if t not in self.row]
+        parts = [words_of(t) for t in fresh]
+        distinct = list(dict.fromkeys(w for p in parts for w in p))
+        at = {w: i for i, w in enumerate(distinct)}
+        logs = self.words(distinct)
+        for token, words in zip(fresh, parts, strict=True):
+            self.known[self.used] = logs[[at[w] for w in words]].sum(axis=0) if len(words) != 1 else logs[at[words[0]]]
+            self.row[token] = self.used
             self.used += 1
-            self.known[at] = self._token(inner)
-        self.row[token] = at
-        return at
-
-    def text(self, text: str | None) -> np.ndarray | None:
-        """Summed log-probabilities, or None for a text without a letter."""
-        if not text or not self.model.languages or not LETTERS.search(text):
-            return None
-        row, total = self.row, np.zeros(len(self.model.languages))
-        places = []
-        for token in text.split():
-            at = row.get(token)
-            if at is None:
-                if len(row) + 2 > CACHE:
-                    total += self.known[places].sum(axis=0)
-                    places.clear()
-                    row.clear()
-                    self.used = 0
-                at = self._place(token)
-            places.append(at)
-        return total + self.known[places].sum(axis=0)
+        for token, t in inner.items():
+            self.row[token] = self.row[t]
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Summed log-probabilities of each text, or None for one without a letter."""
+        out: list[np.ndarray | None] = []
+        row, none = self.row, np.zeros(len(self.model.languages))
+        for text in texts:
+            if not text or not self.model.languages or not LETTERS.search(text):
+                out.append(None)
+                continue
+            total, tokens = none.copy(), text.split()
+            for i in range(0, len(tokens), STRETCH):
+                part = tokens[i : i + STRETCH]
+                total += self.known[[row[t] for t in part]].sum(axis=0) if self._known(part) else none
+            out.append(total)
+        return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def _known(self, tokens: list[str]) -> bool:
+        missing = {t for t in tokens if t not in self.row}
+        if missing:
+            if self.used + 2 * len(missing) > CACHE or len(self.row) + 2 * len(missing) > 2 * CACHE:
+                self.row.clear()
+                self.used = 0
+                missing = set(tokens)
+            self.learn(sorted(missing))
+        return True
+
+    def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The prediction for each text; unknown words of many texts are learned together."""
+        found: list[tuple[str, float]] = []
+        group: list[str | None] = []
+        size = 0
+        for text in [*texts, None]:
+            group.append(text)
+            size += len(text or "")
+            if size >= GROUP_CHARS or len(found) + len(group) > len(texts):
+                pool = {t for x in group if x and len(x) < GROUP_CHARS for t in x.split()} if self.model.languages else set()
+                if len(pool) <= CACHE // 3:
+                    self._known(list(pool))
+                found += map(self.predict_from, self.texts(group))
+                group, size = [], 0
+        return found[: len(texts)]
+
+    def predict_from(self, logs: np.ndarray | None) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood; the first in order of name of equal ones."""
-        logs = self.text(text)
         if logs is None:
             return UNKNOWN, 0.0
         best = int(np.argmax(logs))
         return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.batch([text])[0]
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
+
+
+def _longer(key: np.ndarray, code: np.ndarray, at: int) -> np.ndarray:
+    """The hash of a stretch of ``at`` characters with one more in front."""
+    return key + (code + np.uint64(1)) * POWERS[at]
+
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -235,7 +286,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
 
         def apply(texts):
-            rows = [scorer.predict(t) for t in texts]
+            rows = scorer.batch(texts)
             return [[r[0] for r in rows], [r[1] for r in rows]]
 
         return apply
