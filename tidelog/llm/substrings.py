@@ -258,12 +258,14 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     where = F.octet_length("text") >= LENGTH
     seen = written(docs.where(where).mapInArrow(_scan, f"id {kind}, th long, {ANCHORS}"), "anchors")
     cores = seen.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("n > 1")
-    hits = written(seen.join(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "core"), "hits")
+    cores = written(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "cores")  # a plain join follows, whose large partitions Spark splits
+    hits = written(seen.join(cores, "core"), "hits")
     whole = hits.where("alike").select("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("size")).cast("long").alias("high"))
     mixed = hits.where("not alike").drop("alike")
     classes = written(mixed.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.coalesce(F.hash("id", "th", "start"), F.lit(0))).alias("pick")), "classes")
     spread = classes.groupBy("core").agg((F.count("*") > hot).alias("hot"))
-    judged = written(mixed.join(classes, ["core", "ctx"]).join(spread, "core"), "judged")
+    classes = written(classes.join(spread, "core"), "classes")
+    judged = written(mixed.join(classes, ["core", "ctx"]), "judged")
     copies = judged.where("n > 1").select("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("size")).cast("long").alias("high"))
     wanted = judged.where((F.col("n") == 1) | (F.hash("id", "th", "start") == F.col("pick")))
     asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("hot", "start", "before", "size")).alias("wanted"))
