@@ -204,6 +204,16 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     return append_columns(df, ids_col, T.StructType([T.StructField("decoded", T.StringType())]), make)
 
 
+def decode_digest(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """All columns of ``df`` with ``decoded_sha256``, the digest of what the ids decode to."""
+
+    def make():
+        bpe = loaded(path or vocabulary_path())
+        return lambda rows: [[hashlib.sha256(bpe.decode(r or ()).encode("utf-8")).hexdigest() for r in rows]]
+
+    return append_columns(df, ids_col, T.StructType([T.StructField("decoded_sha256", T.StringType())]), make)
+
+
 def round_trip_digests(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All columns of ``df`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256``: encoded, decoded and hashed in one pass, no ids kept."""
 

@@ -138,15 +138,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(set_digest(full))
             bands.append(band_keys(low) if low is not None else None)
             sketches.append(odd_sketch(low) if low is not None else None)
-        arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "digest", "bands", "sketch"])
+        arrays = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "n_shingles", "digest", "bands", "sketch"])
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, bands, sketch) of every row, written to the shared folder."""
+    """(id, th, n_shingles, digest, bands, sketch) of every row, th a hash of its text, written to the shared folder."""
     kind = df.schema[id_col].dataType.simpleString()
-    frame = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(frame.mapInArrow(_sign, f"id {kind}, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
+    frame = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    return written(frame.mapInArrow(_sign, f"id {kind}, th long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def confirmed_forest(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndar
 
 
 def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; rows whose sets' Jaccard similarity is at least ``percent`` / 100 are linked."""
+    """(id, n_shingles, component_id, kept, th) of every row, th a hash of its text; rows whose sets' Jaccard similarity is at least ``percent`` / 100 are linked."""
     signed = signatures(df, id_col, text_col)
     full = signed.where("n_shingles > 0 and id is not null")
     classes = written(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -248,9 +248,15 @@ def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     joined = components(written(found, "confirmed"))
     of_class = classes.select("digest", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # hot classes: a plain join on the digest, whose large partitions Spark splits
-    placed = signed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
+    placed = signed.select("id", "th", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "th")
+
+
+def drop_near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without the rows that are not their component's first; rows of one id and one text stay or go together."""
+    gone = component_table(df, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    return df.join(gone, (df[id_col] == gone["__id"]) & (F.xxhash64(df[text_col]) == gone["__th"]), "left_anti")
 
 
 def _unit(percent: int, most: int):

@@ -40,7 +40,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.component_table(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return neardup.component_table(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("th")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
