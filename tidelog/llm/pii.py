@@ -7,8 +7,7 @@ P(e | t) the share of the documents that hold t in which t stands in a context o
 ``SHARE``, seen with e in ``SUPPORT`` documents or more, is a span of its own wherever it stands in a context of e, unless it overlaps a
 base span. Sanitising puts a kind's mark in place of a span: entities are generalised to their kind, terms to ``[TERM]``.
 
-Document counts of terms are taken over all documents. Only terms that could pass are counted; a bit table of fixed size
-(``TABLE_BITS`` bits, a scalar subquery) lets most others go before they are shuffled, and changes no count.
+Document counts of terms are taken over all documents and terms, summed in each task before they are shuffled.
 
 Defined cases: null and empty texts have no spans; rows of one id and one text get the same spans; a null id is an id of its own; other
 columns are left out of tables of spans and kept by ``sanitise``.
@@ -31,7 +30,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}+"
 PART = r"0*+(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 REACH, SHARE, BITS, SUPPORT = 48, 0.5, 4.0, 3
-TABLE_BITS = 22
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -100,20 +98,8 @@ def term_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     together = written(together, "together")
     held = found.where("around is not null").select("id", "th", F.explode(F.array_distinct(F.transform("around", lambda c: c["entity"]))).alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # documents that hold a candidate term: a bit per candidate first, then the exact join
-    place = lambda term: F.pmod(F.xxhash64(term), F.lit(2**TABLE_BITS))
-    at = place(F.col("term"))
-    bits = together.select("term").distinct().select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = dense(words)
-
-    def probe(w: Column) -> Column:
-        bits = F.get(F.col("__bits"), F.shiftright(place(w), 6).cast("int"))
-        return F.call_function("shiftright", bits, place(w).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-    terms = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0))
-    texts = df.select(text_col).withColumn("__bits", table)
-    likely = texts.select(F.explode(F.array_distinct(F.filter(terms, probe))).alias("term"))
+    # the documents that hold each term: one row per document and distinct term, summed in every task before it is shuffled
+    likely = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = likely.groupBy("term").agg(F.count("*").alias("with_term"))
     n = df.agg(F.count("*").alias("n"))
     scored = together.join(counts, "term").join(entities, "entity").withColumn("n", n.scalar().cast("double"))
@@ -123,14 +109,6 @@ def term_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     return written(pairs.join(disclosing, ["entity", "term"]).groupBy("id", "th").agg(F.array_sort(F.collect_set(span)).alias("terms")), "terms")
 
 
-def dense(words: DataFrame) -> Column:
-    """The bit table as a scalar: one array of 64-bit words, of fixed size whatever the corpus."""
-    size = 2**TABLE_BITS // 64
-    spark = words.sparkSession
-    every = spark.range(size).select(F.col("id").cast("int").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
-
-
 def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) of every row: arrays of spans, the second with the disclosing terms."""
     found = find(df, id_col, text_col)
