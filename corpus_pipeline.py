@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, decoded_sha256): the training tokens, and the digest of the text that they decode to."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "source", "text"))
-    return bpe.decode_digest(encoded).select("doc_id", "source", "n_tokens", "ids", "decoded_sha256")
+    encoded = bpe.encode_and_check(docs.select("doc_id", "source", "text"))
+    return encoded.select("doc_id", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -204,14 +204,20 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     return append_columns(df, ids_col, T.StructType([T.StructField("decoded", T.StringType())]), make)
 
 
-def decode_digest(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """All columns of ``df`` with ``decoded_sha256``, the digest of what the ids decode to."""
+def encode_and_check(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """All columns of ``df`` with ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of what the ids decode to."""
+    fields = T.StructType([*ENCODED, T.StructField("decoded_sha256", T.StringType())])
 
     def make():
         bpe = loaded(path or vocabulary_path())
-        return lambda rows: [[hashlib.sha256(bpe.decode(r or ()).encode("utf-8")).hexdigest() for r in rows]]
 
-    return append_columns(df, ids_col, T.StructType([T.StructField("decoded_sha256", T.StringType())]), make)
+        def apply(texts):
+            ids = [bpe.encode(t) for t in texts]
+            return [ids, [len(i) for i in ids], [hashlib.sha256(bpe.decode(i).encode("utf-8")).hexdigest() for i in ids]]
+
+        return apply
+
+    return append_columns(df, text_col, fields, make)
 
 
 def round_trip_digests(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:

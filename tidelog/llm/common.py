@@ -65,7 +65,7 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = apply(batch.column(0).to_pylist())
             arrays = [*batch.columns[1:], *(pa.array(v, t) for v, t in zip(made, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, labels)
@@ -73,6 +73,18 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
     return frame.mapInArrow(run, out)
 
 
+#: Bytes of a batch that are Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about ``SLICE_BYTES`` of their first column, a row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(0).nbytes))) if batch.num_rows else 1
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
