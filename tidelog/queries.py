@@ -1,11 +1,277 @@
-"""Named queries over the derived log, and the same in DuckDB SQL."""
+"""Named queries over the derived log. Their DuckDB SQL is in ``oracles``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.operators import fetch, groups, health, producers, recovery, reserve, retention, visibility
+from tidelog.plans import derived
+
+FETCHED = ("partition_id", "batch_id", "first_offset", "last_offset", "record_count", "payload_bytes")
+START, BUDGET = 7, 400
+
+
+def reserve_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("partition_id"), (1 + F.col("doc_id") % 5).alias("record_count"))
+    return reserve.reserve(docs, ["partition_id"], "doc_id").select("partition_id", "batch_id", "first_offset", "last_offset", "sequence")
+
+
+def _placed(spark: SparkSession, sf_dir: str, rings) -> DataFrame:
+    return reserve.place(derived.batches(spark, sf_dir), rings, "batch_id").select("partition_id", "batch_id", "lane", "ring_epoch")
+
+
+def lane_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir, derived.RING)
+
+
+def lane_placement_after_ring_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir, derived.RING_CHANGE)
+
+
+def pack_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.packs(spark, sf_dir).select("lane", "pack_sequence", "partition_id", "batch_id")
+
+
+def gap_fill_aborts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.missing_batches(derived.batches(spark, sf_dir).where("batch_id % 11 NOT IN (4, 5)"))
+
+
+def partition_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.marks(derived.batches(spark, sf_dir))
+
+
+def _fetch(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    log = derived.batches(spark, sf_dir)
+    return fetch.fetch(log, derived.marks(log), mode, START, BUDGET).select(*FETCHED)
+
+
+def ordered_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetch(spark, sf_dir, "ordered")
+
+
+def replicated_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetch(spark, sf_dir, "replicated")
+
+
+def as_available_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetch(spark, sf_dir, "as_available")
+
+
+def recovery_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetch(spark, sf_dir, "recovery")
+
+
+def uneven_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte budget over batches of very different sizes, all committed."""
+    log = derived.doc_batches(spark, sf_dir).withColumns({"status": F.lit("committed"), "durable_replicas": F.lit(1)})
+    return fetch.fetch(log, visibility.watermarks(log, 1), "ordered", 11, 20_000).select(*FETCHED)
+
+
+def batch_count_limited_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.limited(derived.batches(spark, sf_dir), 10).select(*FETCHED)
+
+
+def embedded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both limits: bytes and number of records."""
+    log = derived.doc_batches(spark, sf_dir).withColumns({"status": F.lit("committed"), "durable_replicas": F.lit(1)})
+    return fetch.fetch(log, visibility.watermarks(log, 1), "ordered", 3, 50_000, 7).select(*FETCHED)
+
+
+def point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.point_read(derived.batches(spark, sf_dir), 2, 9).select(*FETCHED)
+
+
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.catalog(derived.batches(spark, sf_dir)).select("partition_id", "batch_id", "first_offset", "last_offset")
+
+
+def retained_payload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.batches(spark, sf_dir)
+    return fetch.retained_bytes(log, derived.marks(log))
+
+
+def list_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = derived.marks(derived.batches(spark, sf_dir))
+    early, late = fetch.list_offsets(marks, -2), fetch.list_offsets(marks, -1)
+    return early.withColumnRenamed("offset", "earliest").join(late.withColumnRenamed("offset", "latest"), "partition_id")
+
+
+def producer_dedup_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return producers.outcomes(derived.appends(spark, sf_dir)).select("producer_id", "first_sequence", "arrival_seq", "outcome")
+
+
+def producer_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return producers.progress(producers.outcomes(derived.appends(spark, sf_dir)))
+
+
+def producer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.appends(spark, sf_dir).where("arrival_seq % 2 = 0")
+    return reserve.producer_gaps(rows, ["producer_id"], "first_sequence", "record_count").select("producer_id", "first_sequence", "expected")
+
+
+def atomic_group_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.inspect(derived.chunks(spark, sf_dir), derived.group_outcomes(spark, sf_dir)).select("partition_id", "transaction_id", "state", "chunk_count", "record_count", "payload_bytes", "first_offset", "last_offset", "dense")
+
+
+def _group_visibility(spark: SparkSession, sf_dir: str, open_as: str | None) -> DataFrame:
+    log = groups.resolve(derived.chunks(spark, sf_dir), derived.group_outcomes(spark, sf_dir), open_as).withColumn("durable_replicas", F.lit(1))
+    return fetch.visible(log, visibility.watermarks(log, 1)).select("partition_id", "batch_id", "transaction_id", "first_offset")
+
+
+def atomic_group_open_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_visibility(spark, sf_dir, None)
+
+
+def atomic_group_commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_visibility(spark, sf_dir, "committed")
+
+
+def atomic_group_abort_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_visibility(spark, sf_dir, "aborted")
+
+
+def retention_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.batches(spark, sf_dir)
+    start = F.floor(F.col("last_stable_offset") / 2 / derived.BATCH_RECORDS).cast("long") * derived.BATCH_RECORDS
+    starts = derived.marks(log).select("partition_id", start.alias("log_start"))
+    return retention.retained(log, starts).select("partition_id", "batch_id", "first_offset")
+
+
+def retention_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four requests per partition: a batch's start, inside a batch, beyond the stable offset, and before the log's start."""
+    log = derived.batches(spark, sf_dir)
+    marks = derived.marks(log).withColumn("log_start", F.lit(5).cast("long"))
+    asked = marks.select("partition_id", F.explode(F.array(F.lit(10), F.lit(12), F.col("last_stable_offset") + 5, F.lit(0)).cast("array<bigint>")).alias("log_start"))
+    return retention.truncation_errors(asked, log, marks)
+
+
+def gc_removable_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extents = derived.packs(spark, sf_dir)
+    starts = extents.groupBy("partition_id").agg(F.floor(F.count("*") / 2).cast("long").alias("log_start"))
+    return retention.removable_packs(extents, starts)
+
+
+def _offloaded(extents: DataFrame) -> DataFrame:
+    return extents.select("lane", "pack_sequence").distinct().where("pack_sequence % 7 <> 6")
+
+
+def tier_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extents = derived.packs(spark, sf_dir)
+    return retention.tier_coverage(extents, _offloaded(extents))
+
+
+def object_durable_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extents = derived.packs(spark, sf_dir)
+    return retention.object_durable(extents, _offloaded(extents)).select("partition_id", "batch_id", "object_durable")
+
+
+def replica_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.batches(spark, sf_dir)
+    reports = log.select("partition_id", "batch_id", "durable_replicas").unionByName(log.select("partition_id", "batch_id", F.lit(1).alias("durable_replicas")))
+    return visibility.replica_progress(log, reports)
+
+
+def recovered_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.partitions(derived.batches(spark, sf_dir).withColumn("topic_id", F.lit("1")))
+
+
+def ring_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches placed after a ring change, held against the ring history; every 13th is moved to lane 0 first."""
+    placed = _placed(spark, sf_dir, derived.RING_CHANGE).withColumn("sequence", F.col("batch_id"))
+    placed = placed.withColumn("lane", F.when(F.col("batch_id") % 13 == 0, 0).otherwise(F.col("lane")))
+    rings = spark.createDataFrame([(e, list(s)) for e, _, s in derived.RING_CHANGE], "ring_epoch long, shards array<int>")
+    judged = reserve.ring_mismatches(placed, rings)
+    return judged.groupBy("partition_id", "ring_epoch").agg(F.count("*").alias("batches"), F.count(F.when(~F.col("valid"), 1)).alias("mismatches"))
+
+
+def log_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.bounds(derived.batches(spark, sf_dir))
+
+
+def lane_kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = reserve.place(derived.batches(spark, sf_dir), derived.RING, "batch_id").select("partition_id", "first_offset", "lane", "batch_id")
+    return fetch.merge_lanes([placed.where(F.col("lane") == lane) for lane in range(derived.LANES)])
+
+
+def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.pages(derived.batches(spark, sf_dir), BUDGET)
+
+
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), (F.col("doc_id") % 7).alias("record_count"), F.octet_length("text").cast("long").alias("payload_bytes"))
+    return reserve.validate_requests(docs, 4_096).select("request_id", "outcome")
+
+
+def topic_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.functions.values import binding_valid
+
+    n = derived.table(spark, sf_dir, "nation")
+    rows = n.select(
+        F.col("n_nationkey").cast("string").alias("logical_topic_id"), (F.col("n_nationkey") % 4).alias("partitions"), (F.col("n_nationkey") % 3).alias("policy_generation"), (F.col("n_nationkey") % 5).alias("data_generation"),
+        F.when(F.col("n_regionkey") == 1, "active_active").otherwise("active_passive").alias("mode"), F.when(F.col("n_nationkey") % 2 == 0, F.sha2(F.col("n_name").cast("binary"), 256)).alias("finalized_epoch_hash"), F.concat(F.lit("p "), F.col("n_name")).alias("profile_id"),
+    )
+    profile = F.when(F.col("data_generation") == 2, F.regexp_replace("profile_id", " ", "-")).when(F.col("data_generation") == 3, F.col("profile_id"))
+    return rows.withColumn("profile_id", profile).withColumn("valid", binding_valid()).select("logical_topic_id", "mode", "valid")
+
+
+def _partitions_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = derived.marks(derived.batches(spark, sf_dir))
+    return marks.select(
+        F.lit("1").alias("topic_id"), "partition_id", (F.col("partition_id") + 1).cast("long").alias("leader_epoch"), F.col("last_stable_offset").alias("visible_end"), F.col("replicated_high_watermark").alias("replicated_end"),
+        F.when(F.col("partition_id") == 3, F.array(F.lit(7))).otherwise(F.array(F.lit(1), F.col("partition_id") + 2)).alias("in_sync_replicas"), F.lit(derived.MIN_ISR).alias("min_in_sync_replicas"),
+        F.lit(True).alias("local_leader"), (F.col("partition_id") != 1).alias("writable"), F.lit(True).alias("assignment_current"),
+    )
+
+
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.roll_up(_partitions_health(spark, sf_dir))
+
+
+def readiness_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broker = spark.range(1).select(
+        F.lit("catching_up").alias("lifecycle"), F.lit(False).alias("assignment_current"), F.lit(True).alias("quorum_available"), F.lit(True).alias("caught_up"), F.lit(1 << 20).cast("long").alias("free_bytes"), F.lit(False).alias("corruption"), F.lit(True).alias("probe_failed")
+    )
+    return health.blockers(_partitions_health(spark, sf_dir), broker)
+
+
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.quantiles(derived.table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+
+
+def stage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = derived.table(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 100_000).alias("nanos"))
+    return health.stage_histogram(events, "event_type", "nanos")
+
+
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.throughput(derived.batches(spark, sf_dir), 4.0)
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durability and fetch-mode names that requests may use, drawn from the events' types."""
+    from tidelog.functions.values import durability, fetch_mode
+
+    names = ["leader", "async", "sync-quorum", "all", "object", "as_available", "ordered", "replicated", "none"]
+    picked = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    events = derived.table(spark, sf_dir, "events").select(picked.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return events.select("name", "n", durability(F.col("name")).alias("durability"), fetch_mode(F.col("name")).alias("fetch_mode"))
+
 
 def queries() -> dict:
-    return {}
+    from tidelog import codec_queries
+
+    own = [
+        reserve_offsets, lane_placement, lane_placement_after_ring_change, pack_assignment, gap_fill_aborts, partition_watermarks, ordered_fetch, replicated_fetch, as_available_fetch, recovery_fetch,
+        uneven_fetch, batch_count_limited_fetch, embedded_read, point_read, catalog_scan, retained_payload_bytes, list_offsets, producer_dedup_outcome, producer_progress, producer_gaps,
+        atomic_group_inspect, atomic_group_open_visibility, atomic_group_commit_visibility, atomic_group_abort_visibility, retention_truncate, retention_errors, gc_removable_packs, tier_coverage,
+        object_durable_batches, replica_progress, recovered_partitions, ring_validation, log_bounds, lane_kway_merge, cursor_pages, request_validation, topic_bindings, health_rollup, readiness_blockers,
+        latency_quantiles, stage_histogram, throughput, spellings,
+    ]
+    return {f.__name__: f for f in own} | codec_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidelog import oracles
+
+    return dict(oracles.SQL)
