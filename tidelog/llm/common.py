@@ -77,10 +77,10 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in stretches of about ``SLICE_BYTES`` of their first column, a row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about ``SLICE_BYTES`` of a column, a row at least."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(0).nbytes))) if batch.num_rows else 1
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes))) if batch.num_rows else 1
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

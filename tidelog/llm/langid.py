@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import append_columns, fold, written
+from tidelog.llm.common import append_columns, fold, slices, written
 
 SAMPLE_ROWS = 10_000
 TOP_WORDS = 15_000
@@ -129,7 +129,7 @@ def fit_language(counts: dict[str, int], pieces: list[str], rounds: int = ROUNDS
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches, 1):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.update((lang, w) for t in text.split() for w in words_of(t))
     keys = sorted(counts)

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch, written
+from tidelog.llm.common import scratch, slices, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -113,7 +113,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ShardWriter(folder)
         done = []
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 n, payload = padded(text)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import slices, written
 
 WIDTH = 5
 BANDS, ROWS, BITS = 32, 8, 1024
@@ -129,7 +129,7 @@ def set_digest(full: np.ndarray) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
-    for batch in batches:
+    for batch in slices(batches, 1):
         sizes, digests, bands, sketches = [], [], [], []
         for text in batch.column(1).to_pylist():
             full = shingles(text, words)

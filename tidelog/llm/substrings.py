@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import slices, written
 
 LENGTH = 400
 SPAN = 256
@@ -90,8 +90,8 @@ ANCHORS = "core long, ctx long, start int, before int, size int"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per anchor: hashes of core and context, the context's start, bytes before the anchor, and its size."""
-    digest, mask = xxhash.xxh3_64_intdigest, (1 << 64) - 1
-    for batch in batches:
+    digest = xxhash.xxh3_64_intdigest
+    for batch in slices(batches, 2):
         rows, cores, contexts, starts, before, sizes = [], [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             data = (text or "").encode("utf-8")
@@ -210,7 +210,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per wanted context, with its bytes."""
-    for batch in batches:
+    for batch in slices(batches, 2):
         who, made = [], []
         for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
             data = text.encode("utf-8")
@@ -240,7 +240,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         rows, left = [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = (text or "").encode("utf-8")
@@ -283,11 +283,17 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return whole.unionByName(copies).unionByName(written(compared, "compared")).unionByName(counted)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per row of ``df``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the bytes that stay)."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _finish(batches):
+        yield batch.select(batch.schema.names[:-1])
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_kept: bool = True) -> DataFrame:
+    """One row per row of ``df``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (the bytes that stay)."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, hot).groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     named = spans.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     joined = docs.join(named, docs["id"].eqNullSafe(named["__id"]) & (docs["th"] == named["__th"]), "left").select("id", "text", "spans")
     kind = df.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_finish, f"id {kind}, {RESULT}, kept binary").withColumnRenamed("id", id_col)
+    found = joined.mapInArrow(_finish, f"id {kind}, {RESULT}, kept binary") if with_kept else joined.mapInArrow(_digests, f"id {kind}, {RESULT}")
+    return found.withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import append_columns
+from tidelog.llm.common import append_columns, slices
 
 SAMPLE_ROWS = 20_000
 LENGTHS = (4, 5, 6, 7, 8)
@@ -94,7 +94,7 @@ class Matcher:
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             (toxic if label else clean).update(stems(text))
     both = sorted(toxic.keys() | clean.keys())
