@@ -174,7 +174,7 @@ def decode_records(df: DataFrame, column: str, first_offset: str = "first_offset
 def encode_column(df: DataFrame, encode: Callable[[dict], bytes], name: str, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The ``keep`` columns with ``name``, the encoding of each row's ``columns``."""
     kept = [df.schema[c] for c in keep]
-    out = StructType([*kept, *schemas.struct_of(f"`{name}` binary").fields])
+    out = StructType([*kept, *schemas.struct_of(f"{name} binary").fields])
     names = [c for c in columns if c not in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
