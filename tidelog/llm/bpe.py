@@ -28,8 +28,10 @@ from tidelog.llm.common import append_columns
 
 LONG_WORD = 48
 #: Chunks whose encodings a task keeps; the store is emptied when full, so a task's memory has a bound.
-CACHE = 250_000
+CACHE = 150_000
 NONE = 1 << 60
+#: A private code point, which is neither letter, number nor space.
+OPEN = "\ue000"
 #: Control characters that Python's str.split() takes for white space and Unicode's White_Space does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -116,7 +118,7 @@ class WordBPE:
         """Ids of a stretch without white space; words never reach across white space."""
         lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         known, ids = self.word_cache, []
-        for w in self.words.findall(lowered):
+        for w in self._split(lowered):
             got = known.get(w)
             if got is None:
                 got = tuple(self.word(w))
@@ -127,6 +129,13 @@ class WordBPE:
             ids += got
         return tuple(ids)
 
+    def _split(self, lowered: str) -> list[str]:
+        """The words. Code points that Python's Unicode table leaves open count as marks, whatever the newer table of the pattern's library says."""
+        if lowered.isascii() or not any(unicodedata.category(c) == "Cn" for c in lowered):
+            return self.words.findall(lowered)
+        masked = "".join(OPEN if unicodedata.category(c) == "Cn" else c for c in lowered)
+        return [lowered[m.start() : m.end()] for m in self.words.finditer(masked)]
+
     def _plain(self, text: str, ids: list[int]) -> None:
         cache = self.cache
         for c in SPACE.split(text) if ODD_SPACE.search(text) else text.split():
@@ -152,6 +161,10 @@ class WordBPE:
         self._plain(text[at:] if at else text, ids)
         return ids
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.word_cache.clear()
+
     def decode(self, ids: Iterable[int]) -> str:
         """As ``decode(ids, skip_special_tokens=False)`` of a file that names no decoder: the tokens, one space between; unknown ids give nothing."""
         tokens = self.token_of
@@ -189,6 +202,7 @@ def encode_texts(df: DataFrame, text_col: str = "text", path: str | None = None)
             ids = [bpe.encode(t) for t in texts]
             return [ids, [len(i) for i in ids]]
 
+        apply.close = bpe.forget
         return apply
 
     return append_columns(df, text_col, ENCODED, make)
@@ -215,6 +229,7 @@ def encode_and_check(df: DataFrame, text_col: str = "text", path: str | None = N
             ids = [bpe.encode(t) for t in texts]
             return [ids, [len(i) for i in ids], [hashlib.sha256(bpe.decode(i).encode("utf-8")).hexdigest() for i in ids]]
 
+        apply.close = bpe.forget
         return apply
 
     return append_columns(df, text_col, fields, make)
@@ -236,6 +251,7 @@ def round_trip_digests(df: DataFrame, text_col: str = "text", path: str | None =
                 decoded_sha.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
             return [counts, ids_sha, decoded_sha]
 
+        apply.close = bpe.forget
         return apply
 
     return append_columns(df, text_col, DIGESTS, make)

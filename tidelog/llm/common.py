@@ -69,6 +69,7 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
             made = apply(batch.column(0).to_pylist())
             arrays = [*batch.columns[1:], *(pa.array(v, t) for v, t in zip(made, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, labels)
+        getattr(apply, "close", lambda: None)()  # workers serve later tasks too
 
     return frame.mapInArrow(run, out)
 

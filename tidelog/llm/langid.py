@@ -171,7 +171,7 @@ class Scorer:
             for k in range(n):
                 keys = _longer(keys, codes[:, n - 1 - k], k)
             order = np.argsort(keys)
-            table = np.array([model.pieces[p] for p in pieces], float).reshape(len(pieces), -1)
+            table = np.array([model.pieces[p] for p in pieces], float).reshape(len(pieces), len(model.languages))
             self.tables.append((keys[order], table[order]))
 
     def words(self, words: list[str]) -> np.ndarray:

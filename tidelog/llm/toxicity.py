@@ -92,22 +92,32 @@ class Matcher:
         return math.log1p(total), math.log1p(total / (1 + flat.count(" ") / 100))
 
 
-def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic, clean = Counter(), Counter()
-    for batch in slices(batches):
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(stems(text))
-    both = sorted(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[s] for s in both], pa.int64()), pa.array([clean[s] for s in both], pa.int64())], ["stem", "toxic", "clean"])
+def _stem_counts(wanted: frozenset[str] | None = None):
+    """Counts documents per stem in each task; of all stems, or of ``wanted`` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                found = stems(text)
+                counts.update(found if wanted is None else found & wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "n"])
+
+    return run
+
+
+def ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """How much likelier toxic documents hold a stem than others."""
+    return (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
 
 
 def choose_terms(counts: Sequence[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[tuple[str, float], ...]:
     """Terms with weights from (stem, toxic documents, clean documents); what a shorter kept start covers is left out."""
     kept: dict[str, float] = {}
     for stem, toxic, clean in sorted(counts, key=lambda c: (len(c[0]), c[0])):
-        ratio = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
-        if toxic >= MIN_TOXIC and ratio >= MIN_RATIO and not any(stem[:n] + "+" in kept for n in LENGTHS if n < len(stem) - 1):
-            kept[stem] = math.log(ratio)
+        times = ratio(toxic, clean, n_toxic, n_clean)
+        if toxic >= MIN_TOXIC and times >= MIN_RATIO and not any(stem[:n] + "+" in kept for n in LENGTHS if n < len(stem) - 1):
+            kept[stem] = math.log(times)
     return tuple(sorted(kept.items()))
 
 
@@ -129,11 +139,13 @@ def fit(sample: DataFrame) -> Model:
     n_toxic, n_clean = by_label.get(True, 0), by_label.get(False, 0)
     if not n_toxic or not n_clean:
         return Model((), (0.0, 0.0, -3.0))
-    counted = sample.select("text", (F.col("label") > 0).cast("int").alias("label")).mapInArrow(_stem_counts, "stem string, toxic long, clean long")
-    sums = counted.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    likely = sums.where((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS)
-    terms = choose_terms([tuple(r) for r in likely.select("stem", "toxic", "clean").collect()], n_toxic, n_clean)
+    # stems of toxic documents first, then the likely ones among them in the others; both tables are bounded by the sample
+    count = lambda rows, wanted=None: rows.select("text").mapInArrow(_stem_counts(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    toxic = {r["stem"]: r["n"] for r in count(sample.where("label > 0")).where(F.col("n") >= MIN_TOXIC).collect()}
+    clean = {r["stem"]: r["n"] for r in count(sample.where("label <= 0"), frozenset(toxic)).collect()}
+    counts = [(s, n, clean.get(s, 0)) for s, n in toxic.items()]
+    likely = sorted((c for c in counts if ratio(c[1], c[2], n_toxic, n_clean) >= MIN_RATIO), key=lambda c: (-c[1], c[0]))[:MAX_TERMS]
+    terms = choose_terms(likely, n_toxic, n_clean)
     seen = append_columns(sample, "text", _FEATURES, _featurer(terms, EXCEPTIONS)).select("f0", "f1", (F.col("label") > 0).cast("int").alias("y")).collect()
     table = np.array(sorted(map(tuple, seen)), float).reshape(-1, 3)
     return Model(terms, fit_curve(table[:, :2], table[:, 2]))
