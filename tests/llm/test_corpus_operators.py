@@ -1,0 +1,268 @@
+"""Chat, near-duplicates, repeated strings, mixing, personal data, pipeline: against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tests.llm.fixtures import empty, prose, table, texts
+from tidelog.llm import chat, mixing, neardup, pii, substrings
+
+
+# -- chat -----------------------------------------------------------------------------------------------------------------
+def conversations(spark):
+    rng = random.Random(3)
+    rows = []
+    for c in range(12):
+        if c % 2:
+            rows.append((c, 0, "system", f"rules & <b> [x] {c}"))
+        rows += [(c, t, ("user", "assistant")[t % 2], prose(c * 100 + t, rng.randrange(0, 300))) for t in range(1, rng.randrange(2, 14))]
+    rows += [(50, 0, "assistant", prose(7, 3000)), (51, 0, "system", "only rules"), (52, 1, None, None), (52, 1, "assistant", "same turn"), (None, 0, "user", "&lt; <s>[user]\n</s>"), (53, 0, "assistant", "a"), (53, 0, "assistant", "a")]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), rows
+
+
+def test_chat_reads_back(spark):
+    df, rows = conversations(spark)
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t, role or "", text or ""))
+    windows = chat.format_windows(df, budget=400, history=120)
+    got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for w in windows.collect():
+        assert w["tokens"] <= 400 or w["n_new"] == 1
+        assert w["n_repeated"] <= 3
+    assert windows.where("window_no > 0 and n_repeated > 0").count() > 0
+
+
+def test_chat_masks_only_assistant(spark):
+    w = chat.format_windows(spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "say <x>")], "conv_id long, turn long, role string, text string")).first()
+    assert w["formatted"] == "<s>[user]\nask</s>\n<s>[assistant]\nsay &lt;x&gt;</s>\n"
+    (span,) = w["loss_spans"]
+    assert w["formatted"][span["start"] : span["start"] + span["length"]] == "say &lt;x&gt;"
+    assert chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# -- near-duplicates ------------------------------------------------------------------------------------------------------
+def components_by_hand(rows, percent):
+    sets = {}
+    for k, (i, t) in enumerate(rows):
+        w = (t or "").encode().lower().split()
+        sets[k] = (i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if None not in (sets[a][0], sets[b][0]) and x and y and 100 * len(x & y) >= percent * len(x | y):
+                up[root(a)] = root(b)
+    least = {}
+    for k in range(len(rows)):
+        if sets[k][0] is not None:
+            least[root(k)] = min(least.get(root(k), 10**9), sets[k][0])
+    return [(sets[k][0], len(sets[k][1]), least[root(k)] if sets[k][0] is not None else None) for k in range(len(rows))]
+
+
+def near_rows():
+    rng = random.Random(11)
+    rows = texts()
+    base = prose(77, 220).split()
+    for k in range(60):  # a chain of edits: neighbours are similar, ends are not
+        base[rng.randrange(len(base))] = f"edit{k}"
+        rows.append((200 + k, " ".join(base)))
+    hub = prose(78, 150).split()
+    for k in range(60):
+        copy = list(hub)
+        for _ in range(k % 7):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(1000)}"
+        rows.append((300 + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 16])
+def test_near_duplicate_components(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = near_rows()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.component_table(table(spark, rows)).collect()), key=str)
+    assert got == sorted(components_by_hand(rows, 85), key=str)
+
+
+def test_near_duplicates_kept_once(spark):
+    rows = near_rows()
+    kept = neardup.drop_near_duplicates(table(spark, rows))
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    want = Counter(i for i, _, c in components_by_hand(rows, 85) if i is None or i == c)
+    assert ids == want and set(kept.columns) == set(table(spark, rows).columns)
+    assert neardup.component_table(empty(spark)).count() == 0
+
+
+def test_odd_sketch_estimates():
+    rng = np.random.default_rng(0)
+    for similarity in (0.7, 0.85, 0.95, 1.0):
+        common = rng.integers(0, 2**63, int(2000 * similarity)).astype(np.uint64)
+        own = [rng.integers(0, 2**63, (2000 - len(common)) // 2).astype(np.uint64) for _ in range(2)]
+        a, b = (neardup.odd_sketch(neardup.samples(np.unique(np.concatenate([common, o])))).view(np.uint64) for o in own)
+        true = len(common) / (len(common) + len(own[0]) + len(own[1]))
+        assert abs(float(neardup.estimate(np.bitwise_count(a ^ b).sum())) - true) < 0.08
+
+
+# -- repeated strings -----------------------------------------------------------------------------------------------------
+def repeats_by_hand(rows):
+    where = Counter()
+    data = [(t or "").encode() for _, t in rows]
+    for b in data:
+        where.update(b[i : i + 400] for i in range(len(b) - 399))
+    out = []
+    for (i, _), b in zip(rows, data, strict=True):
+        mask = np.zeros(len(b) + 1, np.int64)
+        for p in range(len(b) - 399):
+            if where[b[p : p + 400]] > 1:
+                mask[p] += 1
+                mask[p + 400] -= 1
+        gone = np.cumsum(mask)[:-1] > 0 if len(b) else np.zeros(0, bool)
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_repeated_strings(spark, hot):
+    passage = prose(5, 70)
+    rows = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in texts()]
+    rows += [(400 + k, prose(600 + k, 30 + k) + " " + passage[: 380 + 10 * k] + " " + prose(700 + k, 20)) for k in range(10)]
+    rows += [(500, "é" * 600), (501, "é" * 450 + "x"), (502, ("0123456789" * 50) + "end")]
+    got = substrings.remove_repeats(table(spark, rows), hot=hot)
+    have = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()), key=str)
+    assert have == repeats_by_hand(rows)
+
+
+def test_repeated_strings_empty(spark):
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+    assert substrings.kept_bytes(b"0123456789", [(2, 4), (4, 6), (5, 7), (8, 9)]) == (b"0179", 2)
+
+
+def test_multikey_order_and_common_lengths():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 2, (200, 24)).astype(np.uint8)
+    rows[50:60] = rows[0]
+    order, common = substrings.sorted_runs(rows)
+    ordered = [rows[i].tobytes() for i in order]
+    assert ordered == sorted(ordered) and common[0] == -1
+    for k in range(1, 200):
+        a, b = ordered[k - 1], ordered[k]
+        assert common[k] == next((j for j in range(24) if a[j] != b[j]), 24)
+
+
+# -- mixing ---------------------------------------------------------------------------------------------------------------
+def test_targets(spark):
+    sizes = {"a": 1000, "b": 10, "c": 500, "d": 3, None: 200, "e": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    names = sorted(k for k in sizes if k is not None) + [None]
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    free, left, want = set(names), float(sum(sizes.values())), {}
+    while True:
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] > 3 * sizes[n]}
+        if not over:
+            want |= share
+            break
+        want |= {n: 3.0 * sizes[n] for n in over}
+        left -= sum(want[n] for n in over)
+        free -= over
+    assert got == pytest.approx(want)
+
+
+def test_mix_near_targets(spark):
+    rows = [(i, prose(i, 20 + i % 30)) for i in range(600)]
+    df = table(spark, rows)
+    report = mixing.report(df)
+    taken = defaultdict(int)
+    target = {}
+    for r in report.join(df.select("doc_id", "source"), "doc_id").collect():
+        assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 50 for s in target)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, mixing.report(df).collect()))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    have = Counter(r["doc_id"] for r in mixed.collect())
+    assert all(have.get(r["doc_id"], 0) * r["size"] == r["taken"] for r in report.collect())
+
+
+def test_mix_odd_rows(spark):
+    assert mixing.report(table(spark)).count() == len(texts())
+    assert mixing.report(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+# -- personal data --------------------------------------------------------------------------------------------------------
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_by_hand(text):
+    out = []
+    for k, (name, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            right = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if name == "ip" else False, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[name]
+            if right:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_personal_data_base(spark):
+    odd = ["a@b.c_d@e.f x@y.z.w@q.r", "9" * 5000, "1 " * 3000, "@" * 500 + "a.b@c.d", "x@" + "a." * 3000, "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 1.2.3", "+1 (988) 555-2485 +49" + "-" * 900 + "1", "+" * 3000, "é😀 a@b.c 4111-1111-1111-1111-", "1.1.1.11111111111111111111"]
+    rows = [*texts(), *[(900 + k, t) for k, t in enumerate(odd)]]
+    got = pii.report(table(spark, rows)).collect()
+    want = Counter()
+    for i, t in rows:
+        spans = base_by_hand(t)
+        listed = ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in spans)
+        counts = Counter(k for _, k, _ in spans)
+        want[(i, *(counts[k] for k in range(4)), hashlib.sha256(listed.encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == want
+
+
+def test_terms_that_give_entities_away(spark):
+    shared = [(i, f"common words here Quibblethorn writes from q@secret{i % 2}.example today with common words") for i in range(12)]
+    rows = [(i, t.replace("Quibblethorn", "Quibblethorn" if i % 2 == 0 else "everyone")) for i, t in shared] + [(100 + i, prose(i, 30) + " common words here everyone today") for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.report(table(spark, rows)).collect()}
+    text = dict(rows)
+    flagged = {i: [text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",")) if k == "term"] for i, r in got.items() if r["spans"]}
+    assert all("Quibblethorn" in flagged[i] for i in range(0, 12, 2)) and not any("common" in v or "everyone" in v for v in flagged.values())
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table(spark, rows)).collect()}
+    assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "secret" not in clean[0] and clean[100] == text[100]
+
+
+def test_sanitise_odd_rows(spark):
+    df = table(spark)
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns and clean.count() == df.count()
+    (line,) = [r["text"] for r in clean.where("doc_id = 14").collect()]
+    assert line == "Write to [EMAIL] or [PHONE] about [IP] and [CARD] now"
+    assert pii.report(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
