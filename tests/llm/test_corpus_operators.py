@@ -250,7 +250,7 @@ def test_personal_data_base(spark):
 
 def test_terms_that_give_entities_away(spark):
     shared = [(i, f"common words here Quibblethorn writes from q@secret{i % 2}.example today with common words") for i in range(12)]
-    rows = [(i, t.replace("Quibblethorn", "Quibblethorn" if i % 2 == 0 else "everyone")) for i, t in shared] + [(100 + i, prose(i, 30) + " common words here everyone today") for i in range(60)]
+    rows = [(i, t.replace("Quibblethorn", "Quibblethorn" if i % 2 == 0 else "everyone")) for i, t in shared] + [(100 + i, prose(i, 30) + " common words here everyone today") for i in range(200)]
     got = {r["doc_id"]: r for r in pii.report(table(spark, rows)).collect()}
     text = dict(rows)
     flagged = {i: [text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",")) if k == "term"] for i, r in got.items() if r["spans"]}

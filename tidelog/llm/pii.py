@@ -28,7 +28,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}+"
-PART = r"0*+(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 REACH, SHARE, BITS, SUPPORT = 48, 0.5, 4.0, 3
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 

@@ -34,7 +34,7 @@ MIN_TOXIC, MIN_RATIO = 4, 12.0
 MAX_TERMS = 5_000
 #: Look-alikes of Latin letters: Cyrillic, then Greek, then digits and signs. Fixed values.
 LOOKS = dict(
-    zip("аеорсухіјѕԁһӏкмтвнғ", "aeopcyxijsdhlkmtbhf", strict=True),
+    zip("аеорсухіјѕԁһӏкмтвнғб", "aeopcyxijsdhlkmtbhfb", strict=True),
 ) | dict(zip("αοερικντυχ", "aoepikvtux", strict=True)) | dict(zip("013457@$", "oieastas", strict=True))
 #: Phrases in which a listed word is harmless. Fixed values.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "class clown", "idiot proof", "disgusting smell of")
