@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,7 +75,25 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
             yield pa.RecordBatch.from_arrays(arrays, labels)
         getattr(apply, "close", lambda: None)()  # workers serve later tasks too
 
-    return frame.mapInArrow(run, out)
+    return frame.mapInArrow(tidy(run), out)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker serves later tasks, and text-sized blocks would stay with it."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has the call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """An Arrow map that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
 
 
 #: Bytes of a batch that are Python objects at a time.

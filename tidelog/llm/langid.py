@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import append_columns, fold, slices, written
+from tidelog.llm.common import append_columns, fold, slices, tidy, written
 
 SAMPLE_ROWS = 10_000
 TOP_WORDS = 15_000
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None, id_co
     taught = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)
     chosen = docs.where(taught).select(id_col).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(rows).distinct()
     sample = docs.where(taught).select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("lang", "text")
-    counted = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= TOP_WORDS)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in written(ranked, "words").select("lang", "word", "n").collect():

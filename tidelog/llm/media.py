@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch, slices, written
+from tidelog.llm.common import scratch, slices, tidy, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -127,7 +127,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     frame = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     kind = df.schema[id_col].dataType.simpleString()
-    return written(frame.mapInArrow(run, f"`{id_col}` {kind}, {INDEX}"), "media-index")
+    return written(frame.mapInArrow(tidy(run), f"`{id_col}` {kind}, {INDEX}"), "media-index")
 
 
 _INDEX_NAMES = [c.split()[0] for c in INDEX.split(", ")]
@@ -170,7 +170,7 @@ def _read(index: DataFrame, schema: str, row_of) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(_column, columns, types)], [*batch.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(run, f"{kinds}, {schema}")
+    return index.mapInArrow(tidy(run), f"{kinds}, {schema}")
 
 
 def read_headers(index: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import slices, written
+from tidelog.llm.common import slices, tidy, written
 
 WIDTH = 5
 BANDS, ROWS, BITS = 32, 8, 1024
@@ -146,7 +146,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, n_shingles, digest, bands, sketch) of every row, th a hash of its text, written to the shared folder."""
     kind = df.schema[id_col].dataType.simpleString()
     frame = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    return written(frame.mapInArrow(_sign, f"id {kind}, th long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
+    return written(frame.mapInArrow(tidy(_sign), f"id {kind}, th long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
 
 
 def components(links: DataFrame) -> DataFrame:

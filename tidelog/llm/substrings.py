@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import slices, written
+from tidelog.llm.common import slices, tidy, written
 
 LENGTH = 400
 SPAN = 256
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, th, low, high): byte ranges of ``docs`` (id, th, text) that repeated strings cover; they may overlap."""
     spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
     where = F.octet_length("text") >= LENGTH
-    seen = written(docs.where(where).mapInArrow(_scan, f"id {kind}, th long, {ANCHORS}"), "anchors")
+    seen = written(docs.where(where).mapInArrow(tidy(_scan), f"id {kind}, th long, {ANCHORS}"), "anchors")
     cores = seen.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("n > 1")
     cores = written(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "cores")  # a plain join follows, whose large partitions Spark splits
     hits = written(seen.join(cores, "core"), "hits")
@@ -272,11 +272,11 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = docs.where(where)
     named = asked.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     fetched = texts.join(named, texts["id"].eqNullSafe(named["__id"]) & (texts["th"] == named["__th"])).select("id", "th", "text", "wanted")
-    contexts = written(fetched.mapInArrow(_contexts, f"id {kind}, th long, lead binary, hot boolean, start int, before int, context binary"), "contexts")
+    contexts = written(fetched.mapInArrow(tidy(_contexts), f"id {kind}, th long, lead binary, hot boolean, start int, before int, context binary"), "contexts")
     cool, warm = contexts.where("not hot"), contexts.where("hot")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(contexts.count() / BUCKET_ROWS))
     spans = f"id {kind}, th long, low long, high long"
-    compared = cool.repartitionByRange(buckets, "lead").mapInArrow(_bucket, spans)
+    compared = cool.repartitionByRange(buckets, "lead").mapInArrow(tidy(_bucket), spans)
     strings = written(warm.mapInArrow(_strings, f"id {kind}, th long, h1 long, h2 long, low long, high long"), "strings")
     twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = strings.join(twice, ["h1", "h2"]).select("id", "th", "low", "high")
@@ -295,5 +295,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = spans.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     joined = docs.join(named, docs["id"].eqNullSafe(named["__id"]) & (docs["th"] == named["__th"]), "left").select("id", "text", "spans")
     kind = df.schema[id_col].dataType.simpleString()
-    found = joined.mapInArrow(_finish, f"id {kind}, {RESULT}, kept binary") if with_kept else joined.mapInArrow(_digests, f"id {kind}, {RESULT}")
+    found = joined.mapInArrow(tidy(_finish), f"id {kind}, {RESULT}, kept binary") if with_kept else joined.mapInArrow(tidy(_digests), f"id {kind}, {RESULT}")
     return found.withColumnRenamed("id", id_col)

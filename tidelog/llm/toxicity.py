@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import append_columns, slices
+from tidelog.llm.common import append_columns, slices, tidy
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 LENGTHS = (4, 5, 6, 7, 8)
 #: A term is in at least so many toxic documents of the sample, and so many times likelier there than elsewhere.
 MIN_TOXIC, MIN_RATIO = 4, 12.0
@@ -140,7 +140,7 @@ def fit(sample: DataFrame) -> Model:
     if not n_toxic or not n_clean:
         return Model((), (0.0, 0.0, -3.0))
     # stems of toxic documents first, then the likely ones among them in the others; both tables are bounded by the sample
-    count = lambda rows, wanted=None: rows.select("text").mapInArrow(_stem_counts(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    count = lambda rows, wanted=None: rows.select("text").mapInArrow(tidy(_stem_counts(wanted)), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     toxic = {r["stem"]: r["n"] for r in count(sample.where("label > 0")).where(F.col("n") >= MIN_TOXIC).collect()}
     clean = {r["stem"]: r["n"] for r in count(sample.where("label <= 0"), frozenset(toxic)).collect()}
     counts = [(s, n, clean.get(s, 0)) for s, n in toxic.items()]
