@@ -89,6 +89,23 @@ def _flagged(row: dict, flag: str, names: tuple[str, ...]) -> None:
         row.update(dict.fromkeys(names))
 
 
+_PARTS = {
+    "has_producer": ("producer_id", "epoch", "producer_first_sequence", "digest_algorithm", "payload_digest"),
+    "has_event": ("event_id",),
+    "has_group": ("transaction_id", "chunk_sequence", "group_digest"),
+}
+
+
+def _flags(row: dict) -> dict:
+    """The flags of optional parts, and null for every field of an absent part."""
+    out: dict = {}
+    for flag, names in _PARTS.items():
+        out[flag] = row.get(names[0]) is not None
+        if not out[flag]:
+            out.update(dict.fromkeys(names))
+    return out
+
+
 def _check_range(row: dict, at: int) -> None:
     if not row["record_count"] or row["first_offset"] + row["record_count"] - 1 != row["last_offset"]:
         raise FormatError("invalid_record_range", at)
@@ -97,7 +114,7 @@ def _check_range(row: dict, at: int) -> None:
 # -- stored extents -------------------------------------------------------------------------------------------------------
 def encode_extent(row: dict) -> bytes:
     payload = bytes(row["payload"])
-    flags = {"has_producer": row.get("producer_id") is not None, "has_event": row.get("event_id") is not None, "has_group": row.get("transaction_id") is not None, "payload_len": len(payload)}
+    flags = _flags(row) | {"payload_len": len(payload)}
     flags["digest_algorithm"] = XXH3_128_DIGEST if flags["has_producer"] else 0
     size = EXTENT_HEADER + len(payload) + 8
     header = EXTENT_MAGIC + struct.pack("<BBHQ", EXTENT_VERSION, 0, EXTENT_HEADER, size) + pack(_EXTENT, row | flags)
@@ -118,9 +135,8 @@ def decode_extent(frame: bytes, at: int = 0) -> dict:
         raise FormatError("digest_algorithm", at)
     if row["has_event"] and not row["has_producer"]:
         raise FormatError("invalid_has_event", at)
-    _flagged(row, "has_producer", ("producer_id", "epoch", "producer_first_sequence", "digest_algorithm", "payload_digest"))
-    _flagged(row, "has_event", ("event_id",))
-    _flagged(row, "has_group", ("transaction_id", "chunk_sequence", "group_digest"))
+    for flag, names in _PARTS.items():
+        _flagged(row, flag, names)
     return row | {"payload": bytes(payload)}
 
 
@@ -234,7 +250,7 @@ def scan_journal(data: bytes) -> tuple[list[dict], int]:
 # -- fetch frames and receipts --------------------------------------------------------------------------------------------
 def encode_frame(row: dict) -> bytes:
     payload = bytes(row["payload"])
-    flags = {"has_event": row.get("event_id") is not None, "has_group": row.get("transaction_id") is not None, "payload_len": len(payload)}
+    flags = _flags(row) | {"payload_len": len(payload)}
     header = FRAME_MAGIC + struct.pack("<BBHQ", FRAME_VERSION, 0, FRAME_HEADER, FRAME_HEADER + len(payload) + 4) + pack(_FRAME, row | flags)
     return header + payload + struct.pack("<I", zlib.crc32(payload, zlib.crc32(header)))
 
@@ -256,8 +272,8 @@ def decode_frames(data: bytes, max_frame: int = 1 << 30) -> list[dict]:
         if row.pop("payload_len") != len(payload):
             raise FormatError("invalid_frame_length", at)
         _check_range(row, at)
-        _flagged(row, "has_event", ("event_id",))
-        _flagged(row, "has_group", ("transaction_id", "chunk_sequence"))
+        _flagged(row, "has_event", _PARTS["has_event"])
+        _flagged(row, "has_group", _PARTS["has_group"][:2])
         rows.append(row | {"payload": payload})
         at += size
     return rows

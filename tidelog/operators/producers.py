@@ -42,26 +42,34 @@ def judge(cursor: Cursor, epoch: int, first: int, count: int, digest: object, ev
     return "accepted"
 
 
+def restore(cursor: Cursor, epoch: int, first: int, count: int, digest: object, event: object) -> str:
+    """Takes up an append that the log already holds."""
+    cursor.epoch, cursor.next_sequence = max(cursor.epoch, epoch), max(cursor.next_sequence, first + count)
+    cursor.seen[(epoch, first)] = (digest, event, count)
+    return "stored"
+
+
 def judge_all(rows: Iterable[tuple]) -> Iterator[str]:
-    """Outcomes of (producer, epoch, first, count, digest, event) rows that come producer by producer, in arrival order."""
+    """Outcomes of (producer, epoch, first, count, digest, event, stored) rows that come producer by producer, in arrival order."""
     at, cursor = object(), Cursor()
-    for producer, *append in rows:
+    for producer, *append, stored in rows:
         if producer is None or producer != producer:  # no identity: nothing to hold against
-            yield "accepted"
+            yield "stored" if stored else "accepted"
             continue
         if producer != at:
             at, cursor = producer, Cursor()
-        yield judge(cursor, *append)
+        yield (restore if stored else judge)(cursor, *append)
 
 
 COLUMNS = ("producer_id", "epoch", "first_sequence", "record_count", "digest", "event_id")
 
 
 def outcomes(df: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
-    """``df`` (the columns of COLUMNS and the arrival order) with ``outcome``.
+    """``df`` (the columns of COLUMNS, the arrival order, and ``stored`` for what the log holds already) with ``outcome``.
 
     A producer's appends form one sequence and are read in order by one task, in batches; producers are spread by hash.
     """
+    df = df if "stored" in df.columns else df.withColumn("stored", F.lit(False))
     names = df.columns
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +78,7 @@ def outcomes(df: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
         def rows() -> Iterator[tuple]:
             for frame in frames:
                 held.append(frame)
-                yield from zip(*(frame[c].tolist() for c in COLUMNS), strict=True)
+                yield from zip(*(frame[c].tolist() for c in (*COLUMNS, "stored")), strict=True)
 
         found, done = judge_all(rows()), []
         for outcome in found:
