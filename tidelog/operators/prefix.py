@@ -68,12 +68,14 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFr
 def run_end(df: DataFrame, keys: Sequence[str], first: str, last: str, start: DataFrame, start_col: str) -> DataFrame:
     """(keys, run_end): where the unbroken run of ranges that begins at each partition's start ends (exclusive).
 
-    Ranges do not overlap. The run ends at the least end after which no range begins; an anti-join finds such ends.
+    Ranges do not overlap. The run ends at the least place after the start where more ranges end than begin; places are summed
+    in every task before they are shuffled, and nothing is ordered. ``start`` has one row per partition.
     """
-    ranges = df.select(*keys, F.col(first).alias("__first"), (F.col(last) + 1).alias("__end")).distinct()
-    begins = ranges.select(*keys, F.col("__first").alias("__end"))
-    ends = ranges.join(begins, [*keys, "__end"], "left_anti")
     origin = start.select(*keys, F.col(start_col).alias("__start"))
-    begun = begins.join(origin, keys, "inner").where(F.col("__end") == F.col("__start")).select(*keys, F.lit(True).alias("__begun")).distinct()
-    after = ends.join(origin, keys).where(F.col("__end") > F.col("__start")).groupBy(*keys).agg(F.min("__end").alias("__stop"))
-    return origin.join(after, keys, "left").join(begun, keys, "left").select(*keys, F.when(F.col("__begun"), F.col("__stop")).otherwise(F.col("__start")).alias("run_end"))
+    begins = F.struct(F.col(first).alias("place"), F.lit(-1).alias("net"), F.lit(1).alias("begins"))
+    ends = F.struct((F.col(last) + 1).alias("place"), F.lit(1).alias("net"), F.lit(0).alias("begins"))
+    places = df.select(*keys, F.explode(F.array(begins, ends)).alias("x")).groupBy(*keys, F.col("x.place").alias("place")).agg(F.sum("x.net").alias("net"), F.max("x.begins").alias("begins"))
+    stop = F.min(F.when((F.col("net") > 0) & (F.col("place") > F.col("__start")), F.col("place")))
+    begun = F.max((F.col("place") == F.col("__start")) & (F.col("begins") == 1))
+    found = places.join(origin, list(keys)).groupBy(*keys).agg(stop.alias("__stop"), begun.alias("__begun"))
+    return origin.join(found, list(keys), "left").select(*keys, F.when(F.col("__begun"), F.col("__stop")).otherwise(F.col("__start")).alias("run_end"))
