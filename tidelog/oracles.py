@@ -149,6 +149,11 @@ SELECT partition_id, CAST(ring_epoch AS BIGINT) AS ring_epoch, CAST(count(*) AS
 SELECT max(value) FILTER (i = ceil((n - 1) * 0.5::DOUBLE)) AS p50, max(value) FILTER (i = ceil((n - 1) * 0.95::DOUBLE)) AS p95, max(value) FILTER (i = ceil((n - 1) * 0.99::DOUBLE)) AS p99, max(value) FILTER (i = ceil((n - 1) * 0.999::DOUBLE)) AS p999, max(value) AS max FROM s""",
     "stage_histogram": "WITH e AS (SELECT event_type, CAST(floor(value * 100000) AS BIGINT) AS nanos FROM events), b AS (SELECT unnest(" + repr([*BOUNDS, -1]) + ") AS bound) SELECT event_type AS stage, CAST(bound AS BIGINT) AS bound, CAST(count(*) FILTER (bound < 0 OR nanos <= bound) AS BIGINT) AS observations FROM e, b GROUP BY 1, 2",
     "throughput": LOG + "SELECT count(*) / 4.0::DOUBLE AS batches_per_second, CAST(sum(record_count) AS BIGINT) / 4.0::DOUBLE AS records_per_second, CAST(sum(payload_bytes) AS BIGINT) / 1048576::DOUBLE / 4.0::DOUBLE AS mib_per_second FROM batches",
+    "acknowledged_batches": LOG + """SELECT partition_id, batch_id, ['leader', 'quorum', 'all_replicas', 'object'][batch_id % 4 + 1] AS durability,
+  CASE batch_id % 4 WHEN 0 THEN durable_replicas >= 1 WHEN 1 THEN durable_replicas >= 2 WHEN 2 THEN durable_replicas >= 3 ELSE batch_id % 3 = 0 END AS acknowledged FROM batches""",
+    "hosted_partitions": LOG + "SELECT DISTINCT '1' AS topic_id, partition_id FROM batches WHERE partition_id IN (1, 2)",
+    "recovered_statuses": CHUNKS + "SELECT partition_id, CASE conv_id % 3 WHEN 0 THEN 'committed' WHEN 1 THEN 'aborted' ELSE 'unresolved' END AS status, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM chunks GROUP BY 1, 2",
+    "replication_backlog": LOG + "SELECT CAST(count(*) AS BIGINT) AS jobs, CAST(coalesce(sum(payload_bytes), 0) AS BIGINT) AS bytes, min(e0) AS oldest FROM batches WHERE status <> 'aborted' AND durable_replicas < 3",
     "spellings": """WITH n AS (SELECT ['leader', 'async', 'sync-quorum', 'all', 'object', 'as_available', 'ordered', 'replicated', 'none'][event_id % 9 + 1] AS name, count(*) AS n FROM events GROUP BY 1)
 SELECT name, CAST(n AS BIGINT) AS n, CASE WHEN name IN ('leader', 'async') THEN 'leader' WHEN name = 'sync-quorum' THEN 'quorum' WHEN name = 'all' THEN 'all_replicas' WHEN name = 'object' THEN 'object' END AS durability,
   CASE WHEN name IN ('ordered', 'replicated', 'as_available') THEN name END AS fetch_mode FROM n""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import fetch, groups, health, producers, recovery, reserve, retention, visibility
+from tidelog.operators import admission, fetch, groups, health, producers, recovery, reserve, retention, visibility
 from tidelog.plans import derived
 
 FETCHED = ("partition_id", "batch_id", "first_offset", "last_offset", "record_count", "payload_bytes")
@@ -258,6 +258,34 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("name", "n", durability(F.col("name")).alias("durability"), fetch_mode(F.col("name")).alias("fetch_mode"))
 
 
+def acknowledged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends of the four durabilities in turn, three replicas wanted and two in sync at least, against the replicas' reports."""
+    log = derived.batches(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("leader", "quorum", "all_replicas", "object"))), (F.col("batch_id") % 4 + 1).cast("int"))
+    asked = log.select("partition_id", "batch_id", kind.alias("durability"), F.lit(3).alias("replication_factor"), F.lit(2).alias("min_isr"), (F.col("batch_id") % 3 == 0).alias("object_durable"))
+    return admission.acknowledged(asked, log.select("partition_id", "batch_id", "durable_replicas")).select("partition_id", "batch_id", "durability", "acknowledged")
+
+
+def hosted_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions that broker 2 has a replica of."""
+    parts = recovered_partitions(spark, sf_dir)
+    assigned = parts.select("topic_id", "partition_id", F.array(F.col("partition_id"), F.col("partition_id") + 1).alias("replicas"), F.col("partition_id").alias("leader"))
+    return admission.hosted(parts, assigned, 2)
+
+
+def recovered_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at recovery: what the journal's markers say of their groups, unresolved where it says nothing."""
+    chunks = derived.chunks(spark, sf_dir)
+    markers = derived.group_outcomes(spark, sf_dir).join(chunks.select("transaction_id", "partition_id").distinct(), "transaction_id")
+    return recovery.statuses(chunks, markers).groupBy("partition_id", "status").agg(F.count("*").alias("chunks"), F.sum("payload_bytes").alias("payload_bytes"))
+
+
+def replication_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that lack a copy, as jobs waiting."""
+    log = derived.batches(spark, sf_dir).where("status <> 'aborted' and durable_replicas < 3")
+    return health.backlog(log.select(F.col("payload_bytes").alias("bytes"), F.col("e0").alias("queued_at")))
+
+
 def queries() -> dict:
     from tidelog import codec_queries
 
@@ -266,7 +294,7 @@ def queries() -> dict:
         uneven_fetch, batch_count_limited_fetch, embedded_read, point_read, catalog_scan, retained_payload_bytes, list_offsets, producer_dedup_outcome, producer_progress, producer_gaps,
         atomic_group_inspect, atomic_group_open_visibility, atomic_group_commit_visibility, atomic_group_abort_visibility, retention_truncate, retention_errors, gc_removable_packs, tier_coverage,
         object_durable_batches, replica_progress, recovered_partitions, ring_validation, log_bounds, lane_kway_merge, cursor_pages, request_validation, topic_bindings, health_rollup, readiness_blockers,
-        latency_quantiles, stage_histogram, throughput, spellings,
+        latency_quantiles, stage_histogram, throughput, spellings, acknowledged_batches, hosted_partitions, recovered_statuses, replication_backlog,
     ]
     return {f.__name__: f for f in own} | codec_queries.queries()
 
