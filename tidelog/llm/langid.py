@@ -5,7 +5,8 @@ language is the sum over all ways to cut it into pieces, which a forward pass gi
 over its words. Probabilities are fitted by expectation-maximisation (forward and backward passes) on the word counts of each language.
 
 Words are runs of letters, lowered, with the vocabulary's word-start mark before them. Counts come from at most ``SAMPLE_ROWS``
-documents with a language outside the held-out fold; of their words, the ``TOP_WORDS`` most frequent of each language are fitted.
+documents with a language outside the held-out fold; of their words, at most ``TOP_WORDS`` of each language are fitted, the
+most frequent ones (words of the last count are taken together or not at all).
 Prediction reads whole texts and nothing but the text. A null text or one without a letter is ``und`` with score 0; with no language
 learned everything is ``und``.
 """
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,11 +142,20 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None, id_co
     taught = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)
     chosen = docs.where(taught).select(id_col).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(rows).distinct()
     sample = docs.where(taught).select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("lang", "text")
-    counted = sample.mapInArrow(tidy(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= TOP_WORDS)
+    counted = written(sample.mapInArrow(tidy(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    # the least count that leaves at most TOP_WORDS words of each language; no task orders a language's words
+    cuts: dict[str, int] = {}
+    left: dict[str, int] = {}
+    for r in sorted(counted.groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), key=lambda r: (r["lang"], -r["n"])):
+        lang, room = r["lang"], left.get(r["lang"], TOP_WORDS)
+        left[lang] = room - r["words"]
+        if left[lang] >= 0 or lang not in cuts:
+            cuts[lang] = r["n"]
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in written(ranked, "words").select("lang", "word", "n").collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    if cuts:
+        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        for r in counted.where(F.col("n") >= cut[F.col("lang")]).collect():
+            counts[r["lang"]][r["word"]] = r["n"]
     languages, pieces = tuple(sorted(counts)), vocabulary(path)
     fitted = [fit_language(counts[lang], pieces) for lang in languages]
     # pieces that no language has seen are left out: the characters' floor stands for them
