@@ -32,7 +32,7 @@ from tidelog.llm.common import slices, tidy, written
 
 WIDTH = 5
 BANDS, ROWS, BITS = 32, 8, 1024
-MARGIN = 0.12
+MARGIN = 0.15
 BLOCK = 96
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
