@@ -3,7 +3,9 @@
 Every source has a target number of words. A target of k whole sources and a rest means k copies of each document, and one more
 of those whose hash lies under a threshold. The threshold is found without sorting documents: words are summed by source and the
 first 12 bits of the hash, the bucket where the running sum passes the rest is the boundary, and only its documents are
-summed again by the next 12 bits, three times in all. Of the two ends of the last bucket the nearer one to the rest is taken.
+summed again by the next 12 bits, three times in all. The last bucket, which holds one document or a few, is then passed over and the search
+goes on behind it, so that a long document at the threshold does not spoil a small source; after ``ROUNDS`` searches the nearer of
+the last bucket's two ends is taken.
 
 Sources are ordered by code point, null last; their weights repeat. A target is stopped at ``most`` times its source's words and
 what is over is shared among the others by weight until no target is above.
@@ -24,6 +26,7 @@ from tidelog.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BITS, LEVELS = 12, 3
+ROUNDS = 3
 #: The table of sources is broadcast up to so many rows, and joined by shuffling beyond.
 BROADCAST_ROWS = 50_000
 
@@ -70,7 +73,8 @@ def bucket(level: int) -> Column:
 
 
 def thresholds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, share: float = 1.0) -> tuple[DataFrame, int]:
-    """One row per source: source_size, target, copies of every document, and ``below``, the hash under which there is one more.
+    """One row per source: source_size, target, copies of every document, ``below``, the hash under which there is one more, and
+    ``skipped``, hashes for which there is not.
 
     ``sizes`` has source, size and h (a small table; text is not read here). Returns the number of sources too.
     """
@@ -78,21 +82,31 @@ def thresholds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
     n = sources.count()
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     found = sources.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    found = found.withColumn("under", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
+    found = found.withColumn("skipped", F.array().cast("array<bigint>"))
     running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for level in range(LEVELS):
-        edge = found.select("source", "prefix", "under", "rest")
-        inside = by_source(sizes, edge, n).where(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
-        sums = inside.groupBy("source", bucket(level).alias("b")).agg(F.sum("size").alias("words"), F.first("under").alias("under"), F.first("rest").alias("rest"))
-        summed = sums.withColumn("upto", F.col("under") + F.sum("words").over(running))
-        passing = summed.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("b", "upto", (F.col("upto") - F.col("words")).alias("before")), "b").alias("edge"))
-        found = by_source_left(found, passing, n)
-        found = written(
-            found.select("source", "source_size", "target", "copies", "rest", F.coalesce("edge.before", "under").alias("under"), F.coalesce("edge.upto", "under").alias("upto"), (F.col("prefix") * 2**BITS + F.coalesce("edge.b", F.lit(0))).alias("prefix")),
-            "edges",
-        )
+    for turn in range(ROUNDS):
+        # prefix: the boundary bucket so far, null if all that is left fits
+        found = found.withColumns({"under": F.lit(0).cast("long"), "upto": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")})
+        for level in range(LEVELS):
+            edge = found.select("source", "prefix", "under", "rest", "skipped")
+            inside = by_source(sizes, edge, n).where((F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix")) & ~F.array_contains("skipped", F.col("h")))
+            sums = inside.groupBy("source", bucket(level).alias("b")).agg(F.sum("size").alias("words"), F.first("under").alias("under"), F.first("rest").alias("rest"))
+            summed = sums.withColumn("upto", F.col("under") + F.sum("words").over(running))
+            passing = summed.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("b", "upto", (F.col("upto") - F.col("words")).alias("before")), "b").alias("edge"))
+            columns = ("source", "source_size", "target", "copies", "rest", "skipped")
+            found = by_source_left(found, passing, n).select(*columns, F.col("edge.before").alias("under"), F.col("edge.upto").alias("upto"), (F.col("prefix") * 2**BITS + F.col("edge.b")).alias("prefix"))
+            found = written(found, "edges")
+        if turn < ROUNDS - 1:
+            found = found.withColumn("skipped", F.when(F.col("prefix").isNotNull(), F.array_append("skipped", F.col("prefix"))).otherwise(F.col("skipped")))
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")
-    return found.select("source", "source_size", "target", "copies", (F.col("prefix") + nearer.cast("long")).alias("below")), n
+    everything = F.when(F.col("source_size") > 0, F.lit(2 ** (BITS * LEVELS))).otherwise(0)
+    return found.select("source", "source_size", "target", "copies", "skipped", F.coalesce(F.col("prefix") + nearer.cast("long"), everything).alias("below")), n
+
+
+def times_taken() -> Column:
+    """Copies of a row with ``h`` and its source's ``copies``, ``below`` and ``skipped``."""
+    more = (F.col("h") < F.col("below")) & ~F.array_contains("skipped", F.col("h"))
+    return F.col("copies") + more.cast("long")
 
 
 def by_source_left(many: DataFrame, few: DataFrame, n_sources: int) -> DataFrame:
@@ -110,17 +124,16 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(id, size, source_size, target, taken) of every row."""
     sizes = size_table(df, id_col, text_col, source_col)
     edges, n = thresholds(sizes, weights, most, share)
-    taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("below")).cast("long"))
-    return by_source(sizes, edges, n).select(id_col, "size", "source_size", "target", taken.alias("taken"))
+    return by_source(sizes, edges, n).select(id_col, "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
     """The rows that the mix takes, all columns kept, each row as often as it is taken (at most ``most`` times)."""
     edges, n = thresholds(size_table(df, id_col, text_col, source_col), weights, most, share)
-    keyed = df.withColumn("__h", id_hash(F.col(id_col)))
-    side = edges.select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("below").alias("__below"))
+    side = edges.select(F.col("source").alias("__source"), F.struct("copies", "below", "skipped").alias("__edge"))
     side = F.broadcast(side) if n <= BROADCAST_ROWS else side
-    joined = keyed.join(side, keyed[source_col].eqNullSafe(side["__source"]))
-    times = (F.col("__copies") + (F.col("__h") < F.col("__below")).cast("long")).cast("int")
+    joined = df.join(side, df[source_col].eqNullSafe(side["__source"])).withColumn("__h", id_hash(F.col(id_col)))
+    more = (F.col("__h") < F.col("__edge.below")) & ~F.array_contains("__edge.skipped", F.col("__h"))
+    times = (F.col("__edge.copies") + more.cast("long")).cast("int")
     repeated = joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
     return repeated.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -79,10 +79,15 @@ MIX = rf"""WITH d AS (SELECT doc_id, source, len({WORDS.format("text")}) AS size
 ), t AS (SELECT source, source_size, least(stop::DOUBLE, coalesce(weight * final, stop::DOUBLE)) AS target FROM chosen
 ), c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t
 ), r AS (SELECT *, target - copies * source_size AS rest FROM c
-), b AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY 1, 2
-), e AS (SELECT b.source, arg_min(struct_pack(h := h, upto := upto, before := upto - words), h) AS edge FROM b JOIN r ON r.source IS NOT DISTINCT FROM b.source WHERE upto > rest GROUP BY 1
-), x AS (SELECT r.*, e.edge.h + CASE WHEN e.edge.upto - rest < rest - e.edge.before THEN 1 ELSE 0 END AS below FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (copies + CASE WHEN h < below THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source"""
+), b AS (SELECT d.source, h, rest, sum(size) AS words FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source GROUP BY 1, 2, 3
+), e1 AS (SELECT source, min(h) AS h FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM b) WHERE upto > rest GROUP BY 1
+), b2 AS (SELECT b.* FROM b LEFT JOIN e1 ON e1.source IS NOT DISTINCT FROM b.source AND e1.h = b.h WHERE e1.h IS NULL
+), e2 AS (SELECT source, min(h) AS h FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM b2) WHERE upto > rest GROUP BY 1
+), b3 AS (SELECT b2.* FROM b2 LEFT JOIN e2 ON e2.source IS NOT DISTINCT FROM b2.source AND e2.h = b2.h WHERE e2.h IS NULL
+), e3 AS (SELECT source, min(h) AS h, arg_min(upto, h) AS upto, arg_min(upto - words, h) AS before FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM b3) WHERE upto > rest GROUP BY 1
+), x AS (SELECT r.*, e1.h AS h1, e2.h AS h2, coalesce(e3.h + CASE WHEN e3.upto - rest < rest - e3.before THEN 1 ELSE 0 END, CASE WHEN source_size > 0 THEN 68719476736 ELSE 0 END) AS below
+  FROM r LEFT JOIN e1 ON e1.source IS NOT DISTINCT FROM r.source LEFT JOIN e2 ON e2.source IS NOT DISTINCT FROM r.source LEFT JOIN e3 ON e3.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (copies + CASE WHEN h < below AND h IS DISTINCT FROM h1 AND h IS DISTINCT FROM h2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source"""
 
 SQL: dict[str, str] = {
     "op1_quality": QUALITY,
