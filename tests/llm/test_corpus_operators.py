@@ -110,6 +110,28 @@ def test_near_duplicates_kept_once(spark):
     assert neardup.component_table(empty(spark)).count() == 0
 
 
+def test_near_duplicates_among_shared_passages(spark):
+    """Two near copies of a passage that 2,400 unlike texts hold: in every bucket where the copies meet, the ends of the star are others."""
+    passage = prose(24, 104)
+    edited = passage.split()
+    edited[50] = edited[-3] = "edit"
+    rows = [(0, passage), (1, " ".join(edited))] + [(2 + k, passage + " " + prose(240_000 + k, 62)) for k in range(2400)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.component_table(table(spark, rows)).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {1: 0}
+
+
+def test_near_forest_over_blocks():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (5, 16)).astype(np.uint64)
+    kind = rng.integers(0, 5, 60)
+    sketches = base[kind] ^ (np.uint64(1) << rng.integers(0, 63, (60, 16)).astype(np.uint64))
+    for side in (np.zeros(60, int), rng.integers(0, 2, 60)):
+        labels = np.arange(60)
+        links = neardup.near_forest(labels, sketches, side, 40)
+        assert all(kind[i] == kind[j] and (len(set(side)) == 1 or side[i] != side[j]) for i, j in links)
+        assert len(links) == 55 and neardup.near_forest(kind, sketches, side, 40) == []
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     for similarity in (0.7, 0.85, 0.95, 1.0):

@@ -6,14 +6,17 @@ class member, the one of the lowest id, stands for it, so copies are never paire
 1. Each class gets ``BANDS`` x ``ROWS`` MinHash samples. A band is ``ROWS`` samples; classes that agree in a band meet in a bucket,
    which is linked to its lowest and its highest member by id XOR bucket (a star, never all pairs; each bucket mixes ids its way).
 2. The samples are also folded into an odd sketch: each (place, sample) flips one of ``BITS`` bits. The population count of two
-   sketches' XOR estimates their similarity; star links under ``threshold - MARGIN`` go.
+   sketches' XOR estimates their similarity; star links under ``threshold - MARGIN`` go. Members of a bucket that star links leave
+   apart are compared with all its others by sketch, in pairs of blocks of about ``PAIRED``, and what passes is linked too: all pairs
+   of a bucket whose estimate passes end up connected.
 3. The links' connected components are clusters, which contain the true links; texts of clustered classes are fetched and their full sets
    compared. A cluster is dealt into blocks of about ``BLOCK`` documents by hash and each pair of blocks is a task's unit of work, so
    no cluster lands in one task. In a unit, pairs are taken by falling sketch estimate and compared exactly unless they are
    connected already; what leaves a unit is a spanning forest of confirmed links.
 4. Components of the confirmed links, over all units, give ``component_id``.
 
-A pair at the threshold meets in no band with probability (1 - t ** ROWS) ** BANDS, 4e-5 at 0.85; components need not every link.
+A pair at the threshold meets in no band with probability (1 - t ** ROWS) ** BANDS, 4e-5 at 0.85, and is sifted away where its
+estimate falls under ``threshold - MARGIN``, about five standard deviations; components need not every link.
 
 Defined cases: an empty or null text has an empty set and is linked with nothing; a row with a null id is linked with nothing and
 has no component; rows of one id and one set are one; extra columns are left out. Ids are integers.
@@ -34,6 +37,8 @@ WIDTH = 5
 BANDS, ROWS, BITS = 32, 8, 1024
 MARGIN = 0.15
 BLOCK = 96
+#: Members of a bucket in a block whose sketches are compared.
+PAIRED = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -221,6 +226,56 @@ def confirmed_forest(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndar
     return links
 
 
+def near_forest(labels: np.ndarray, sketches: np.ndarray, side: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs whose sketches differ in ``most`` bits at most, where equal labels are connected already.
+
+    ``side``: the block of each; where there are two, pairs of one block are compared in the unit of that block alone.
+    """
+    labels, links = np.unique(labels, return_inverse=True)[1], []
+    one = len(np.unique(side)) == 1
+    for i in range(len(labels)):
+        apart = labels[i + 1 :] != labels[i]
+        others = np.flatnonzero(apart if one else apart & (side[i + 1 :] != side[i])) + i + 1
+        if not len(others):
+            continue
+        near = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= most]
+        for label, at in zip(*np.unique(labels[near], return_index=True), strict=True):
+            links.append((i, int(near[at])))
+            labels[labels == label] = labels[i]
+    return links
+
+
+def _near_unit(most: int):
+    def run(unit: pa.Table) -> pa.Table:
+        ids, side, labels = (unit.column(c).to_numpy() for c in ("rep", "block", "label"))
+        sketches = unit.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        links = np.array(near_forest(labels, sketches, side, most), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+
+    return run
+
+
+def near_links(banded: DataFrame, ends: DataFrame, sketch: DataFrame, star: DataFrame, most: int) -> DataFrame:
+    """(a, b): links between components of the sifted stars (``star``: id, component) that connect all pairs of a bucket whose sketches pass.
+
+    A star holds all pairs of a bucket of three. In a larger one the members of its first member's component need no comparison among
+    themselves; the rest, dealt into blocks, meet each other and them.
+    """
+    label = F.coalesce("component", "rep")
+    large = banded.join(ends.where("m > 3").select("bucket", "first"), "bucket").join(star.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "first", "rep", label.alias("label"))
+    large = written(large, "buckets")
+    main = large.groupBy("bucket").agg(F.max(F.when(F.col("rep") == F.col("first"), F.col("label"))).alias("main"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket", "main")
+    mixed = large.join(main, "bucket").select("bucket", "rep", "label", (F.col("label") == F.col("main")).alias("inside"))
+    blocks = lambda inside: F.ceil(F.count_if(F.col("inside") if inside else ~F.col("inside")) / PAIRED).cast("int")
+    sizes = mixed.groupBy("bucket").agg(blocks(False).alias("rest"), blocks(True).alias("settled"))
+    spread = F.xxhash64("rep", "bucket")
+    dealt = mixed.join(sizes, "bucket").withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(spread, "settled")).otherwise(F.pmod(spread, "rest")).cast("int"))
+    # the rest's blocks meet all blocks; those of the first member's component only the rest's
+    reach = F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("settled"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1))).select("bucket", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "rep", "label")
+    return units.join(sketch.select(F.col("rep").cast("long").alias("rep"), "sketch"), "rep").groupBy("bucket", "u", "v").applyInArrow(_near_unit(most), "a long, b long")
+
+
 def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept, th) of every row, th a hash of its text; rows whose sets' Jaccard similarity is at least ``percent`` / 100 are linked."""
     signed = signatures(df, id_col, text_col)
@@ -229,14 +284,19 @@ def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     # links of each bucket to its lowest and highest member by id XOR bucket
     banded = classes.select(F.col("rep").cast("long").alias("rep"), F.explode("bands").alias("bucket"))
     mix = F.col("rep").bitwiseXOR(F.col("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min(mix).alias("low"), F.max(mix).alias("high")).where("low <> high")
-    ends = ends.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("first"), F.col("high").bitwiseXOR(F.col("bucket")).alias("last"))
+    ends = banded.groupBy("bucket").agg(F.min(mix).alias("low"), F.max(mix).alias("high"), F.count("*").alias("m")).where("low <> high")
+    ends = written(ends.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("first"), F.col("high").bitwiseXOR(F.col("bucket")).alias("last"), "m"), "ends")
     star = banded.join(ends, "bucket").select("rep", F.explode(F.array("first", "last")).alias("end")).where("rep <> end")
     pairs = written(star.select(F.greatest("rep", "end").alias("a"), F.least("rep", "end").alias("b")).distinct(), "pairs")
     most = most_differing(percent / 100 - MARGIN)
     sketch = classes.select("rep", "sketch")
     sifted = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(_differing(F.col("sa"), F.col("sb")) <= most).select("a", "b")
-    clusters = written(components(sifted).join(classes.select(F.col("rep").alias("id"), "digest", "sketch"), "id"), "clusters")
+    stars = components(sifted)
+    # what the sift of the stars leaves apart in a bucket, exactly
+    further = written(near_links(banded, ends, sketch, stars, most), "further")
+    if not further.isEmpty():
+        stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(further))
+    clusters = written(stars.join(classes.select(F.col("rep").alias("id"), "digest", "sketch"), "id"), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     members = clusters.join(sizes, "component")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
