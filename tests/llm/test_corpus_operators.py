@@ -281,6 +281,15 @@ def test_terms_that_give_entities_away(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "secret" not in clean[0] and clean[100] == text[100]
 
 
+def test_terms_far_from_their_entities(spark):
+    far = " " + "so it is " * 12
+    rows = [(i, "Quibblethorn" + far + "q@secret.example " + far + "also Vandersmythe") for i in range(4)]
+    rows += [(4, "a note of Vandersmythe alone"), (5, None)] + [(100 + i, prose(i, 30) + " also note alone") for i in range(100)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table(spark, rows)).collect()}
+    assert all(clean[i] == "[TERM]" + far + "[EMAIL] " + far + "also [TERM]" for i in range(4))
+    assert clean[4] == "a note of [TERM] alone" and clean[5] is None and clean[100] == dict(rows)[100]
+
+
 def test_sanitise_odd_rows(spark):
     df = table(spark)
     clean = pii.sanitise(df)

@@ -1,13 +1,13 @@
 """Personal data: patterns find protected entities, corpus co-occurrence finds the terms that give them away. DataFrame operations only.
 
 Base spans are leftmost non-overlapping matches per kind: e-mail, IP, card (Luhn) and phone numbers; a match that fails its test is
-dropped. Each entity (kind and value) has contexts: up to ``REACH`` characters on either side, of which whole terms, runs of four letters or more,
-are taken. Over all documents, a term t discloses an entity e by log2(P(e | t) / P(e)) bits, with
-P(e | t) the share of the documents that hold t in which t stands in a context of e. A term whose disclosure and share reach ``BITS`` and
-``SHARE``, seen with e in ``SUPPORT`` documents or more, is a span of its own wherever it stands in a context of e, unless it overlaps a
-base span. Sanitising puts a kind's mark in place of a span: entities are generalised to their kind, terms to ``[TERM]``.
+dropped. Terms are runs of four letters or more that overlap no base span. Over all documents and their whole texts, a term t discloses
+an entity e (kind and value) by log2(P(e | t) / P(e)) bits, with P(e | t) the share of the documents that hold t which hold e too. A term
+whose disclosure and share reach ``BITS`` and ``SHARE``, seen with e in ``SUPPORT`` documents or more, is a span of its own wherever it
+stands in any document. Sanitising puts a kind's mark in place of a span: entities are generalised to their kind, terms to ``[TERM]``.
 
-Document counts of terms are taken over all documents and terms, summed in each task before they are shuffled.
+Document counts of terms are taken over all documents and terms, summed in each task before they are shuffled. Terms are paired with an
+entity only where it is in ``SUPPORT`` documents and rare enough that some term could reach ``BITS``, which loses nothing.
 
 Defined cases: null and empty texts have no spans; rows of one id and one text get the same spans; a null id is an id of its own; other
 columns are left out of tables of spans and kept by ``sanitise``.
@@ -29,7 +29,10 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}+"
 PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-REACH, SHARE, BITS, SUPPORT = 48, 0.5, 4.0, 3
+#: Stands for base spans while terms are sought; no character of a text. A run of letters that touches it overlaps a base span.
+HIDDEN = "\uffff"
+APART = rf"(?<![\p{{L}}{HIDDEN}])\p{{L}}{{4,}}+(?!{HIDDEN})"
+SHARE, BITS, SUPPORT = 0.5, 4.0, 3
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -64,18 +67,16 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each span: its entity and the terms around it, each a span; a term cut off by the reach is left out."""
+def entities_of(spans: Column) -> Column:
+    """The distinct entities of base spans."""
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.substring(text, low + 1, s["start"] - low)
-        before_terms = located(before, TERM, 4, lambda m: F.lit(True), low)
-        after_terms = located(F.substring(text, s["end"] + 1, F.lit(REACH)), TERM, 4, lambda m: F.lit(True), s["end"])
-        whole = F.filter(F.concat(before_terms, after_terms), lambda t: ((t["start"] > low) | (low == 0)) & (t["end"] < s["end"] + REACH))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), whole.alias("terms"))
 
-    return F.transform(spans, around)
+def terms_of(text: Column, base: Column) -> Column:
+    """The distinct terms of a text, lowered."""
+    hidden = F.when(F.size(base) > 0, replaced(text, base, F.lit(HIDDEN))).otherwise(text)
+    found = F.array_distinct(F.regexp_extract_all(hidden, F.lit(APART), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
 
 
 def overlaps(spans: Column, t: Column) -> Column:
@@ -83,36 +84,50 @@ def overlaps(spans: Column, t: Column) -> Column:
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, base, around): base spans of each row, and entities with the terms around them; written to the shared folder."""
+    """(id, th, base, terms): base spans of each row and, where there are any, the distinct terms; written to the shared folder."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     based = docs.withColumn("base", base_spans(F.col("text")))
-    around = F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base")))
-    return written(based.select("id", "th", "base", around.alias("around")), "pii")
+    terms = F.when(F.size("base") > 0, terms_of(F.col("text"), F.col("base")))
+    return written(based.select("id", "th", "base", terms.alias("terms")), "pii")
+
+
+def disclosing_terms(df: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term): the distinct terms that disclose an entity."""
+    n = df.agg(F.count("*").cast("double").alias("n"))
+    # one row per document, ``times`` its rows
+    held = found.where(F.size("base") > 0).groupBy("id", "th").agg(F.count("*").alias("times"), F.first(entities_of(F.col("base"))).alias("entities"), F.first("terms").alias("terms"))
+    held = written(held.withColumn("doc", F.xxhash64(F.struct("id", "th"))), "held")
+    each = held.select("doc", "times", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.sum("times").alias("with_entity"), F.count("*").alias("documents"))
+    # a share is 1 at most: a more frequent entity is given away by no term
+    likely = entities.where((F.col("documents") >= SUPPORT) & (F.log2(n.scalar() / F.col("with_entity")) >= BITS))
+    likely = written(likely.select("entity", "with_entity"), "entities")
+    together = each.join(likely, "entity").select("doc", "times", "entity", "with_entity").join(held.select("doc", "terms"), "doc").select("entity", "with_entity", "times", F.explode("terms").alias("term"))
+    together = together.groupBy("entity", "with_entity", "term").agg(F.count("*").alias("documents"), F.sum("times").alias("both")).where(F.col("documents") >= SUPPORT)
+    together = written(together, "together")
+    # the documents that hold each term: one row per document and distinct term, summed in every task before it is shuffled
+    counts = df.select(F.explode(terms_of(F.col(text_col), base_spans(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    share = F.col("both") / F.col("with_term")
+    scored = together.join(counts, "term").where((share >= SHARE) & (F.log2(share * n.scalar() / F.col("with_entity")) >= BITS))
+    return written(scored.select("term").distinct(), "disclosing")
 
 
 def term_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, terms): for rows that have them, the spans of disclosing terms."""
-    pairs = found.where("around is not null").select("id", "th", "base", F.explode("around").alias("c")).select("id", "th", "base", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("t"))
-    pairs = written(pairs.where(~overlaps(F.col("base"), F.col("t"))).select("id", "th", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")), "pairs")
-    together = pairs.groupBy("entity", "term").agg(F.count_distinct(F.struct("id", "th")).alias("both")).where(F.col("both") >= SUPPORT)
-    together = written(together, "together")
-    held = found.where("around is not null").select("id", "th", F.explode(F.array_distinct(F.transform("around", lambda c: c["entity"]))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # the documents that hold each term: one row per document and distinct term, summed in every task before it is shuffled
-    likely = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = likely.groupBy("term").agg(F.count("*").alias("with_term"))
-    n = df.agg(F.count("*").alias("n"))
-    scored = together.join(counts, "term").join(entities, "entity").withColumn("n", n.scalar().cast("double"))
-    share = F.col("both") / F.col("with_term")
-    disclosing = scored.where((share >= SHARE) & (F.log2(share * F.col("n") / F.col("with_entity")) >= BITS)).select("entity", "term")
-    span = F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"))
-    return written(pairs.join(disclosing, ["entity", "term"]).groupBy("id", "th").agg(F.array_sort(F.collect_set(span)).alias("terms")), "terms")
+    disclosing = disclosing_terms(df, found, text_col)
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    each = docs.select("id", "th", F.explode(terms_of(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    holding = written(each.join(disclosing, "term").groupBy("id", "th").agg(F.collect_set("term").alias("__held")), "holding").toDF("__id", "__th", "__held")
+    marked = docs.join(holding, docs["id"].eqNullSafe(holding["__id"]) & (docs["th"] == holding["__th"])).withColumn("base", base_spans(F.col("text")))
+    spans = F.filter(located(F.col("text"), TERM, 4, lambda m: F.array_contains("__held", F.lower(m))), lambda t: ~overlaps(F.col("base"), t))
+    return written(marked.select("id", "th", spans.alias("terms")).groupBy("id", "th").agg(F.first("terms").alias("terms")), "terms")
 
 
 def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) of every row: arrays of spans, the second with the disclosing terms."""
     found = find(df, id_col, text_col)
     terms = term_spans(df, found, id_col, text_col).withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
+    found = found.select("id", "th", "base")
     joined = found.join(terms, found["id"].eqNullSafe(terms["__id"]) & (found["th"] == terms["__th"]), "left")
     everything = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>"))))
     return joined.select(F.col("id").alias(id_col), "base", everything.alias("spans"))
@@ -125,14 +140,14 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return spans.select(id_col, *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count(4, "spans").alias("n_term"))
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """The text with a mark in place of each span; overlapping spans get the mark of the first."""
+def replaced(text: Column, spans: Column, mark: Column | None = None) -> Column:
+    """The text with a mark in place of each span, that of its kind if none is given; overlapping spans get the mark of the first."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]
-        piece = F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(marks, x["kind"]))
+        piece = F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(marks, x["kind"]) if mark is None else mark)
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["pieces"], piece)).otherwise(s["pieces"]).alias("pieces"))
 
     return F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["pieces"], ""), F.substring(text, s["at"] + 1, F.length(text))))
