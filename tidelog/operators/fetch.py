@@ -82,6 +82,13 @@ def bounds(batches: DataFrame, keys: Sequence[str] = ("partition_id",)) -> DataF
     )
 
 
+def dense_bounds(batches: DataFrame, keys: Sequence[str] = ("partition_id",)) -> DataFrame:
+    """``bounds`` of a log that must have no gap; a gap raises where the result is read."""
+    gap = F.concat(F.lit("the retained sequence has a gap in "), F.to_json(F.struct(*keys)))
+    found = bounds(batches, keys)
+    return found.select(*keys, F.when(F.col("dense"), F.col("first_offset")).otherwise(F.raise_error(gap).cast("long")).alias("first_offset"), "next_offset")
+
+
 def merge_lanes(lanes: Sequence[DataFrame]) -> DataFrame:
     """Lane tables as one stream by (first_offset, lane)."""
     merged = lanes[0]

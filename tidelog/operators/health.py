@@ -44,28 +44,36 @@ def blockers(partitions: DataFrame, broker: DataFrame) -> DataFrame:
     return own.unionByName(each).unionByName(stale)
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+#: Distinct values that one task may order.
+ORDERED = 100_000
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], ordered: int = ORDERED) -> DataFrame:
     """One row: for each name the value at place ceil((n - 1) * share) of the ascending values, and ``max``.
 
-    Approximate quantiles bracket each place; the values inside a bracket are few, are ordered exactly, and the values below
-    it are counted, so no task orders the whole column.
+    Approximate quantiles bracket each place, and brackets are narrowed until they hold at most ``ordered`` distinct values, whose
+    counts are summed in order; the values below are counted. So no task orders more than that, however often one value comes.
     """
     spark, accuracy = df.sparkSession, 10_000
     values = df.select(F.col(value).alias("v")).where("v is not null")
-    around = [p for s in shares.values() for p in (max(0.0, s - 3 / accuracy), min(1.0, s + 3 / accuracy))]
-    n, near, top = values.agg(F.count("*"), F.percentile_approx("v", around, accuracy), F.max("v")).first()
+    n, top = values.agg(F.count("*"), F.max("v")).first()
     if not n:
         return spark.range(1).select(*[F.lit(None).cast("double").alias(c) for c in [*shares, "max"]])
-    brackets = [(name, near[2 * i] if around[2 * i] > 0 else None, near[2 * i + 1] if around[2 * i + 1] < 1 else None, -(-(n - 1) * share // 1)) for i, (name, share) in enumerate(shares.items())]
-    inside = [(F.lit(True) if low is None else F.col("v") >= low) & (F.lit(True) if high is None else F.col("v") <= high) for _, low, high, _ in brackets]
-    names = F.array(*[F.when(c, F.struct(F.lit(b[0]).alias("name"), F.lit(float(b[3])).alias("place"))) for c, b in zip(inside, brackets, strict=True)])
-    joined = values.select("v", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("x")).select("v", "x.name", "x.place")
-    below = values.agg(*[F.count(F.when(F.col("v") < low, 1)).alias(name) if low is not None else F.lit(0).alias(name) for name, low, _, _ in brackets]).first()
-    ranked = joined.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("v")) - 1)
-    offset = F.create_map(*[x for name, *_ in brackets for x in (F.lit(name), F.lit(int(below[name])))])
-    hit = ranked.where(F.col("at") + offset[F.col("name")] == F.col("place"))
-    picked = hit.groupBy().agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
-    return picked.withColumn("max", F.lit(top))
+    found = {}
+    for name, share in shares.items():
+        place, before, held, inside, bracket = int(-(-(n - 1) * share // 1)), 0, n, values, None
+        while inside.select("v").distinct().limit(ordered + 1).count() > ordered:
+            at = (place - before) / max(held - 1, 1)
+            around = [max(0.0, at - 3 / accuracy), min(1.0, at + 3 / accuracy)]
+            narrower = inside.agg(F.percentile_approx("v", around, accuracy)).first()[0]
+            if narrower == bracket:
+                break
+            bracket = narrower
+            inside = values.where(F.col("v").between(*bracket))
+            before, held = values.agg(F.count(F.when(F.col("v") < bracket[0], 1)), F.count(F.when(F.col("v").between(*bracket), 1))).first()
+        counted = inside.groupBy("v").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+        found[name] = counted.where(F.col("upto") > place - before).agg(F.min("v")).first()[0]
+    return spark.range(1).select(*[F.lit(found[name]).alias(name) for name in shares], F.lit(top).alias("max"))
 
 
 def stage_histogram(df: DataFrame, stage: str, nanos: str, bounds: Sequence[int] = LATENCY_BOUNDS_NANOS) -> DataFrame:

@@ -42,6 +42,17 @@ def judge(cursor: Cursor, epoch: int, first: int, count: int, digest: object, ev
     return "accepted"
 
 
+#: Completions of an accepted append after which its producer needs a new epoch: written or not is open, or certainly not written.
+FAILURES = ("failed", "aborted")
+
+
+def complete(cursor: Cursor, epoch: int, first: int, completion: str | None) -> None:
+    """What becomes of an accepted append: a failed one is not remembered as sent, and its producer has to start a new epoch."""
+    if completion in FAILURES:
+        cursor.failed = True
+        cursor.seen.pop((epoch, first), None)
+
+
 def restore(cursor: Cursor, epoch: int, first: int, count: int, digest: object, event: object) -> str:
     """Takes up an append that the log already holds."""
     cursor.epoch, cursor.next_sequence = max(cursor.epoch, epoch), max(cursor.next_sequence, first + count)
@@ -50,26 +61,31 @@ def restore(cursor: Cursor, epoch: int, first: int, count: int, digest: object,
 
 
 def judge_all(rows: Iterable[tuple]) -> Iterator[str]:
-    """Outcomes of (producer, epoch, first, count, digest, event, stored) rows that come producer by producer, in arrival order."""
+    """Outcomes of (producer, epoch, first, count, digest, event, completion, stored) rows that come producer by producer, in arrival order."""
     at, cursor = object(), Cursor()
-    for producer, *append, stored in rows:
+    for producer, *append, completion, stored in rows:
         if producer is None or producer != producer:  # no identity: nothing to hold against
             yield "stored" if stored else "accepted"
             continue
         if producer != at:
             at, cursor = producer, Cursor()
-        yield (restore if stored else judge)(cursor, *append)
+        outcome = (restore if stored else judge)(cursor, *append)
+        if outcome == "accepted":
+            complete(cursor, append[0], append[1], completion)
+        yield outcome
 
 
 COLUMNS = ("producer_id", "epoch", "first_sequence", "record_count", "digest", "event_id")
 
 
 def outcomes(df: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
-    """``df`` (the columns of COLUMNS, the arrival order, and ``stored`` for what the log holds already) with ``outcome``.
+    """``df`` (the columns of COLUMNS, the arrival order, ``stored`` for what the log holds already, and, if it is there, ``completion``, what
+    became of an append that was accepted: one of FAILURES, or anything else for success) with ``outcome``.
 
-    A producer's appends form one sequence and are read in order by one task, in batches; producers are spread by hash.
+    An append is complete before the producer's next one is judged. A producer's appends form one sequence and are read in order by one task, in batches; producers are spread by hash.
     """
     df = df if "stored" in df.columns else df.withColumn("stored", F.lit(False))
+    df = df if "completion" in df.columns else df.withColumn("completion", F.lit(None).cast("string"))
     names = df.columns
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +94,7 @@ def outcomes(df: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
         def rows() -> Iterator[tuple]:
             for frame in frames:
                 held.append(frame)
-                yield from zip(*(frame[c].tolist() for c in (*COLUMNS, "stored")), strict=True)
+                yield from zip(*(frame[c].tolist() for c in (*COLUMNS, "completion", "stored")), strict=True)
 
         found, done = judge_all(rows()), []
         for outcome in found:
@@ -92,8 +108,11 @@ def outcomes(df: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
     return df.repartition("producer_id").sortWithinPartitions("producer_id", arrival).select(*names).mapInPandas(walk, f"{schema}, outcome string")
 
 
-def progress(judged: DataFrame) -> DataFrame:
-    """(producer_id, epoch, next_sequence, requires_new_epoch) after all appends."""
+def progress(judged: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
+    """(producer_id, epoch, next_sequence, requires_new_epoch) after all appends, from the rows and outcomes of ``outcomes``.
+
+    A failure bars its epoch until a later one is accepted, so the last accepted append's completion says whether the producer is barred.
+    """
     taken = judged.where(F.col("outcome") == "accepted")
-    ends = taken.groupBy("producer_id").agg(F.max("epoch").alias("epoch"), F.max(F.col("first_sequence") + F.col("record_count")).alias("next_sequence"))
-    return ends.withColumn("requires_new_epoch", F.lit(False))
+    barred = F.coalesce(F.max_by(F.coalesce(F.col("completion").isin(*FAILURES), F.lit(False)), arrival), F.lit(False))
+    return taken.groupBy("producer_id").agg(F.max("epoch").alias("epoch"), F.max(F.col("first_sequence") + F.col("record_count")).alias("next_sequence"), barred.alias("requires_new_epoch"))

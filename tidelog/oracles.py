@@ -89,6 +89,28 @@ APPENDS = """WITH numbered AS (
 BOUNDS = (10_000, 50_000, 100_000, 500_000, 1_000_000, 5_000_000, 10_000_000, 50_000_000, 100_000_000, 500_000_000, 1_000_000_000, 5_000_000_000, 10_000_000_000)
 FIELDS = "partition_id, batch_id, first_offset, last_offset, record_count, payload_bytes"
 
+FAILING = """WITH numbered AS (
+  SELECT event_id, user_id AS producer_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n FROM events
+), failed AS (SELECT producer_id, min(n) AS f, min(event_id) AS fe FROM numbered WHERE event_id % 53 = 11 GROUP BY 1
+), rows AS (SELECT * FROM numbered LEFT JOIN failed USING (producer_id)
+), judged AS (
+  SELECT producer_id, CAST(0 AS BIGINT) AS epoch, n AS first_sequence, event_id * 4 AS arrival_seq, f, CASE WHEN f IS NULL OR n <= f THEN 'accepted' WHEN n = f + 1 THEN 'requires_new_epoch' ELSE 'stale_epoch' END AS outcome FROM rows
+  UNION ALL SELECT producer_id, 0, n, event_id * 4 + 1, f, 'requires_new_epoch' FROM rows WHERE n = f
+  UNION ALL SELECT producer_id, 0, n, fe * 4 + 2, f, 'duplicate' FROM rows WHERE n = f - 1
+  UNION ALL SELECT producer_id, 1, n, event_id * 4 + 3, f, 'accepted' FROM rows WHERE n > f
+)
+"""
+ASKED = LOG + """, asked AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS request_id, CAST(n_nationkey % 6 - 1 AS INTEGER) AS pid, CAST(n_nationkey * 3 - 2 AS BIGINT) AS fetch_offset, CAST(n_nationkey % 5 * 90 - 30 AS BIGINT) AS max_bytes FROM nation
+), checked AS (
+  SELECT a.*, m.replicated_high_watermark AS hw, CASE WHEN m.partition_id IS NOT NULL THEN CAST(5 AS BIGINT) END AS start, pid >= 0 AND fetch_offset >= 0 AND max_bytes > 0 AND pid NOT IN (2, 4) AS shown,
+    CASE WHEN pid < 0 OR fetch_offset < 0 OR max_bytes <= 0 THEN 'OFFSET_OUT_OF_RANGE' WHEN pid IN (2, 4) THEN 'NOT_LEADER_OR_FOLLOWER' WHEN fetch_offset < 5 THEN 'OFFSET_OUT_OF_RANGE' END AS error
+  FROM asked a LEFT JOIN marks m ON m.partition_id = a.pid
+)
+"""
+STORED = """WITH stored AS (SELECT doc_id, coalesce(text, '') AS text, CAST(row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS BIGINT) AS batch_id FROM documents)
+"""
+
 SQL: dict[str, str] = {
     "reserve_offsets": """WITH r AS (SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS partition_id, 1 + doc_id % 5 AS n FROM documents), w AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY partition_id ORDER BY doc_id) - 1 AS BIGINT) AS batch_id, CAST(sum(n) OVER (PARTITION BY partition_id ORDER BY doc_id) AS BIGINT) AS upto FROM r
@@ -157,4 +179,48 @@ SELECT max(value) FILTER (i = ceil((n - 1) * 0.5::DOUBLE)) AS p50, max(value) FI
     "spellings": """WITH n AS (SELECT ['leader', 'async', 'sync-quorum', 'all', 'object', 'as_available', 'ordered', 'replicated', 'none'][event_id % 9 + 1] AS name, count(*) AS n FROM events GROUP BY 1)
 SELECT name, CAST(n AS BIGINT) AS n, CASE WHEN name IN ('leader', 'async') THEN 'leader' WHEN name = 'sync-quorum' THEN 'quorum' WHEN name = 'all' THEN 'all_replicas' WHEN name = 'object' THEN 'object' END AS durability,
   CASE WHEN name IN ('ordered', 'replicated', 'as_available') THEN name END AS fetch_mode FROM n""",
+    "producer_failures": FAILING + "SELECT producer_id, epoch, first_sequence, arrival_seq, outcome FROM judged",
+    "producer_failure_progress": FAILING + "SELECT producer_id, max(epoch) AS epoch, max(first_sequence) + 1 AS next_sequence, coalesce(max(f) = max(n), false) AS requires_new_epoch FROM (SELECT *, max(first_sequence) OVER (PARTITION BY producer_id) AS n FROM judged) WHERE outcome = 'accepted' GROUP BY 1",
+    "atomic_chunk_outcomes": """WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS i FROM conversations), c AS (
+  SELECT t.*, copy FROM t, (VALUES (0), (1), (2)) v(copy) WHERE NOT (conv_id % 7 = 3 AND i = 1) AND (copy = 0 OR (copy = 1 AND i % 2 = 0) OR (copy = 2 AND conv_id % 5 = 2 AND i = 0))
+) SELECT CAST(conv_id AS VARCHAR) AS transaction_id, i AS chunk_sequence, i * 3 + copy AS arrival_seq,
+  CASE WHEN conv_id % 11 = 5 THEN 'finalized' WHEN conv_id % 7 = 3 AND i > 1 THEN 'out_of_order' WHEN copy = 0 THEN 'accepted' WHEN copy = 1 THEN 'duplicate' ELSE 'chunk_mismatch' END AS outcome FROM c""",
+    "group_finish_blockers": CHUNKS + """SELECT transaction_id, CASE WHEN bool_or(first_offset % 29 = 7) THEN 'ReplicaInFlight' ELSE 'DurabilityUnavailable' END AS committed_blocker, CASE WHEN bool_or(first_offset % 29 = 7) THEN 'ReplicaInFlight' END AS aborted_blocker
+  FROM chunks GROUP BY 1 HAVING bool_or(first_offset % 29 = 7 OR first_offset % 3 = 0)""",
+    "protocol_produce_checks": """SELECT event_id AS request_id, CASE WHEN event_id % 4 = 0 THEN 'all_replicas' WHEN event_id % 4 < 3 THEN 'leader' END AS durability,
+  CASE WHEN event_id % 13 = 0 THEN 'UNSUPPORTED_FOR_MESSAGE_FORMAT' WHEN event_id % 6 = 0 THEN 'UNKNOWN_TOPIC_OR_PARTITION' WHEN event_id % 6 IN (3, 5) THEN 'NOT_LEADER_OR_FOLLOWER' WHEN event_id % 4 = 3 THEN 'INVALID_REQUIRED_ACKS'
+    WHEN event_id % 17 = 0 THEN 'INVALID_RECORD' WHEN event_id % 19 = 0 THEN 'CORRUPT_MESSAGE' END AS error, event_id % 4 <> 1 AS answered FROM events""",
+    "protocol_list_offsets": LOG + """, r AS (SELECT event_id AS request_id, CAST(event_id % 6 - 1 AS INTEGER) AS partition_id, -(event_id % 4) AS ts FROM events), j AS (
+  SELECT r.*, m.*, CASE WHEN r.partition_id < 0 THEN 'UNKNOWN_TOPIC_OR_PARTITION' WHEN r.partition_id IN (2, 4) THEN 'NOT_LEADER_OR_FOLLOWER' WHEN ts NOT IN (-1, -2) THEN 'UNSUPPORTED_VERSION' END AS error FROM r LEFT JOIN marks m ON m.partition_id = r.partition_id
+) SELECT request_id, CASE WHEN error IS NOT NULL THEN -1 WHEN ts = -2 THEN log_start ELSE replicated_high_watermark END AS "offset", error FROM j""",
+    "protocol_fetch_checks": ASKED + "SELECT request_id, least(max_bytes, 200) AS bytes, CASE WHEN shown THEN hw END AS high_watermark, CASE WHEN shown THEN hw END AS last_stable_offset, CASE WHEN shown THEN start END AS log_start, error FROM checked",
+    "protocol_fetch": ASKED + """, seen AS (
+  SELECT c.request_id, least(c.max_bytes, 200) AS bytes, b.*, row_number() OVER w AS rn, sum(b.payload_bytes) OVER w AS upto FROM checked c JOIN batches b ON b.partition_id = c.pid JOIN marks m ON m.partition_id = b.partition_id
+  WHERE c.error IS NULL AND b.last_offset >= c.fetch_offset AND b.status = 'committed' AND b.last_offset < least(m.replicated_high_watermark, m.last_stable_offset) WINDOW w AS (PARTITION BY c.request_id ORDER BY b.first_offset)
+) SELECT request_id, """ + FIELDS + " FROM seen WHERE rn = 1 OR upto <= bytes",
+    "protocol_metadata": LOG + """, p AS (SELECT DISTINCT partition_id FROM batches)
+SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'UNKNOWN_TOPIC_OR_PARTITION' END AS topic_error, partition_id, CASE WHEN partition_id <> 3 THEN partition_id END AS leader,
+  CASE WHEN partition_id <> 3 THEN partition_id || ',' || (partition_id + 1) END AS replicas, CASE WHEN partition_id <> 3 THEN partition_id || ',' || (partition_id + 1) END AS isr, CASE WHEN partition_id = 3 THEN 'UNKNOWN_TOPIC_OR_PARTITION' END AS error
+FROM nation LEFT JOIN p ON n_nationkey % 3 <> 0""",
+    "dense_index": LOG + """SELECT partition_id, CAST(log_offset + CASE WHEN event_id % 23 = 9 AND copy = 0 THEN 1 ELSE 0 END AS BIGINT) AS key, event_id * 2 + copy AS arrival_seq, CAST(log_offset AS BIGINT) AS expected,
+  CASE WHEN event_id % 23 = 9 AND copy = 0 THEN 'out_of_order' ELSE 'accepted' END AS outcome FROM records, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 23 = 9""",
+    "sparse_index": "SELECT user_id, arg_max(event_type, event_id) AS event_type, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS ordinal FROM events GROUP BY 1",
+    "replica_append_outcomes": LOG + """, s AS (SELECT b.*, copy, copy = 1 AND e0 % 11 = 0 AS changed FROM batches b, (VALUES (0), (1)) c(copy) WHERE NOT (partition_id = 0 AND batch_id = 300) AND (copy = 0 OR e0 % 7 = 0))
+SELECT partition_id, batch_id, batch_id * 2 + copy AS arrival_seq, CASE WHEN batch_id < 40 AND status = 'aborted' THEN 'retried' WHEN batch_id < 40 AND changed THEN 'corrupt' WHEN batch_id < 40 AND status = 'pending' THEN 'in_flight' WHEN batch_id < 40 THEN 'duplicate'
+  WHEN partition_id = 0 AND batch_id > 300 THEN 'fenced' WHEN copy = 0 THEN 'reserved' WHEN changed THEN 'corrupt' ELSE 'in_flight' END AS outcome FROM s""",
+    "recovery_replay": LOG + "SELECT partition_id, batch_id, first_offset, first_offset // 65536 AS stretch FROM batches JOIN marks USING (partition_id) WHERE status IN ('committed', 'unresolved') AND last_offset < contiguous_log_end",
+    "journal_violations": """WITH j AS (SELECT event_id AS event_no, CAST(user_id % 4 AS INTEGER) AS partition_id, event_id // 20 AS ring_epoch, event_id - CASE WHEN event_id % 31 = 1 THEN 40 ELSE 0 END AS log_start FROM events)
+SELECT event_no, partition_id, 'ring_epoch' AS violation FROM (SELECT *, lag(ring_epoch) OVER (PARTITION BY partition_id ORDER BY event_no) AS before FROM j WHERE event_no % 3 = 0) WHERE ring_epoch <= before
+UNION ALL SELECT event_no, partition_id, 'log_start' FROM (SELECT *, lag(log_start) OVER (PARTITION BY partition_id ORDER BY event_no) AS before FROM j WHERE event_no % 3 = 1) WHERE log_start < before""",
+    "fenced_appends": "SELECT event_id AS request_id, CASE WHEN event_id % 5 <> 0 AND event_id % 4 < user_id % 4 THEN 'Fenced' ELSE 'accepted' END AS outcome FROM events",
+    "request_values": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders), n AS (SELECT *, '1844674407370955' || substr(lpad(k, 4, '9'), 1, 4) AS big FROM o)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN CAST(big AS HUGEINT) <= 18446744073709551615 THEN big END ELSE k END AS number,
+  CASE WHEN length(k) % 2 = 0 THEN k END AS hex, NOT (o_orderkey % 2 <> 0 AND o_orderkey % 7 = 0) AS producer_complete FROM n""",
+    "frame_roundtrip": STORED + "SELECT doc_id, CAST(batch_id AS VARCHAR) AS batch_id, batch_id AS first_offset, batch_id AS last_offset, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS VARCHAR) END AS transaction_id, sha256(text) AS payload_sha256 FROM stored",
+    "extent_roundtrip": STORED + "SELECT doc_id, CAST(batch_id AS VARCHAR) AS batch_id, batch_id AS first_offset, CAST(strlen(text) AS BIGINT) AS payload_bytes, sha256(text) AS payload_sha256 FROM stored",
+    "record_batch_scan": LOG + "SELECT r.partition_id, CAST(log_offset // 5 AS BIGINT) AS batch_id, CAST(log_offset AS BIGINT) AS record_offset, props AS value, CAST(log_offset AS BIGINT) AS producer_sequence FROM records r JOIN events USING (event_id)",
+    "stream_sequencer": """WITH r AS (SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS partition_id, 1 + doc_id % 5 AS n FROM documents), w AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY partition_id ORDER BY doc_id) - 1 AS BIGINT) AS batch_id, CAST(sum(n) OVER (PARTITION BY partition_id ORDER BY doc_id) AS BIGINT) AS upto FROM r
+) SELECT partition_id, doc_id AS arrival_seq, batch_id, upto - n AS first_offset, upto - 1 AS last_offset FROM w""",
+    "stream_reorder": LOG + "SELECT partition_id, batch_id, CAST(e0 AS VARCHAR) AS payload, 'released' AS outcome FROM batches",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import admission, fetch, groups, health, producers, recovery, reserve, retention, visibility
+from tidelog import protocol
+from tidelog.operators import admission, fetch, groups, health, index, producers, recovery, replica, reserve, retention, visibility
 from tidelog.plans import derived
 
 FETCHED = ("partition_id", "batch_id", "first_offset", "last_offset", "record_count", "payload_bytes")
@@ -286,6 +287,120 @@ def replication_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.backlog(log.select(F.col("payload_bytes").alias("bytes"), F.col("e0").alias("queued_at")))
 
 
+def producer_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes around a failed append: its epoch is barred until the next one goes on behind it."""
+    return producers.outcomes(derived.failing_appends(spark, sf_dir)).select("producer_id", "epoch", "first_sequence", "arrival_seq", "outcome")
+
+
+def producer_failure_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return producers.progress(producers.outcomes(derived.failing_appends(spark, sf_dir)))
+
+
+def atomic_chunk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.chunk_outcomes(derived.sent_chunks(spark, sf_dir)).select("transaction_id", "chunk_sequence", "arrival_seq", "outcome")
+
+
+def group_finish_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why groups cannot be committed or aborted, some chunks being in flight and some on too few replicas."""
+    chunks = derived.chunks(spark, sf_dir).withColumn("status", F.when(F.col("first_offset") % 29 == 7, "pending").otherwise("unresolved")).withColumn("durable_replicas", 1 + F.col("first_offset") % 3)
+    commit, abort = (groups.finish_blockers(chunks, o, 2).withColumnRenamed("reason", f"{o}_blocker") for o in ("committed", "aborted"))
+    return commit.join(abort, "transaction_id", "left")
+
+
+def _protocol_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = derived.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 6 - 1).cast("int").alias("partition_id"))
+    return events.withColumn("leader", derived.led())
+
+
+def protocol_produce_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("request_id")
+    rows = _protocol_requests(spark, sf_dir).withColumns({"acks": (e % 4 - 1).cast("int"), "transactional_id": F.when(e % 13 == 0, "tx"), "has_records": e % 17 != 0, "records_error": F.when(e % 19 == 0, "corrupt_message")})
+    return protocol.produce_checks(rows).select("request_id", "durability", "error", "answered")
+
+
+def protocol_list_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _protocol_requests(spark, sf_dir).withColumn("timestamp", -(F.col("request_id") % 4))
+    return protocol.list_offsets(rows, derived.marks(derived.batches(spark, sf_dir))).select("request_id", "offset", "error")
+
+
+def _fetch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("long")
+    rows = derived.table(spark, sf_dir, "nation").select(n.alias("request_id"), (n % 6 - 1).cast("int").alias("partition_id"), (n * 3 - 2).alias("fetch_offset"), (n % 5 * 90 - 30).alias("max_bytes"))
+    return rows.withColumn("leader", derived.led())
+
+
+def protocol_fetch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = derived.marks(derived.batches(spark, sf_dir)).withColumn("log_start", F.lit(5).cast("long"))
+    return protocol.fetch_checks(_fetch_requests(spark, sf_dir), marks, 200).select("request_id", "bytes", "high_watermark", "last_stable_offset", "log_start", "error")
+
+
+def protocol_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches that answer a fetch request of each nation, every one with a place and a budget of its own."""
+    log = derived.batches(spark, sf_dir)
+    marks = derived.marks(log).withColumn("log_start", F.lit(5).cast("long"))
+    return protocol.fetch(_fetch_requests(spark, sf_dir), log, marks, 200).select("request_id", *FETCHED)
+
+
+def protocol_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as topics of the log's partitions: every third does not exist, and the last partition of the others has no assignment."""
+    names = derived.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("topic_id"))
+    parts = derived.batches(spark, sf_dir).select("partition_id").distinct()
+    partitions = names.where("topic_id % 3 <> 0").select("topic_id").join(F.broadcast(parts))
+    assigned = partitions.where("partition_id <> 3").select("topic_id", "partition_id", F.col("partition_id").alias("leader"), F.array(F.col("partition_id"), F.col("partition_id") + 1).alias("replicas"))
+    found = protocol.metadata(names, partitions, assigned)
+    return found.select("name", "topic_error", "partition_id", "leader", F.array_join("replicas", ",").alias("replicas"), F.array_join("isr", ",").alias("isr"), "error")
+
+
+def dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records pushed by offset; some come one too far, and again as they should."""
+    rows = derived.records(spark, sf_dir)
+    wrong = F.col("event_id") % 23 == 9
+    pushed = rows.withColumn("copy", F.explode(F.when(wrong, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    pushed = pushed.select("partition_id", (F.col("log_offset") + (wrong & (F.col("copy") == 0)).cast("int")).alias("key"), (F.col("event_id") * 2 + F.col("copy")).alias("arrival_seq"))
+    return index.dense_appends(pushed, "partition_id", "key", "arrival_seq")
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in order of their first event, each with the type of the last."""
+    return index.sparse(derived.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id")
+
+
+def replica_append_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, sent = derived.replica_feed(spark, sf_dir)
+    return replica.replica_outcomes(held, sent).select("partition_id", "batch_id", "arrival_seq", "outcome")
+
+
+def recovery_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derived.batches(spark, sf_dir)
+    return replica.replayed(log, derived.marks(log)).select("partition_id", "batch_id", "first_offset", "stretch")
+
+
+def journal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as control events, some of whose ring epochs stand still and some of whose log starts fall back."""
+    e = F.col("event_id")
+    rows = derived.table(spark, sf_dir, "events").select(F.lit("1").alias("topic_id"), (F.col("user_id") % 4).cast("int").alias("partition_id"), e.alias("event_no"), F.when(e % 3 == 0, F.floor(e / 20).cast("long")).alias("ring_epoch"), F.when(e % 3 == 1, e - F.when(e % 31 == 1, 40).otherwise(0)).alias("log_start"))
+    return recovery.journal_violations(rows).select("event_no", "partition_id", "violation")
+
+
+def fenced_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends with the leader epoch that their sender knows, against the partitions' epochs."""
+    e = F.col("event_id")
+    asked = derived.table(spark, sf_dir, "events").select(e.alias("request_id"), F.lit("1").alias("topic_id"), (F.col("user_id") % 4).cast("int").alias("partition_id"), F.when(e % 5 != 0, e % 4).alias("leader_epoch"))
+    epochs = asked.select("topic_id", "partition_id").distinct().withColumn("leader_epoch", F.col("partition_id").cast("long"))
+    return admission.fenced(asked, epochs).select("request_id", "outcome")
+
+
+def request_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict numbers, hexadecimal texts and producer fields as requests carry them."""
+    from tidelog.functions.values import hex_bytes, producer_complete, unsigned
+
+    o = derived.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"))
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("00"), "k")).when(k % 5 == 1, F.concat("k", F.lit("x"))).when(k % 5 == 2, F.concat(F.lit("1844674407370955"), F.substring(F.lpad("k", 4, "9"), 1, 4))).otherwise(F.col("k"))
+    given = [F.when(k % 2 == 0, F.lit(1)), F.when((k % 2 == 0) | (k % 7 == 0), F.lit(2))]
+    return o.select("o_orderkey", unsigned(text, 64).alias("number"), F.lower(F.hex(hex_bytes(F.col("k")))).alias("hex"), producer_complete(*given).alias("producer_complete"))
+
+
 def queries() -> dict:
     from tidelog import codec_queries
 
@@ -295,6 +410,8 @@ def queries() -> dict:
         atomic_group_inspect, atomic_group_open_visibility, atomic_group_commit_visibility, atomic_group_abort_visibility, retention_truncate, retention_errors, gc_removable_packs, tier_coverage,
         object_durable_batches, replica_progress, recovered_partitions, ring_validation, log_bounds, lane_kway_merge, cursor_pages, request_validation, topic_bindings, health_rollup, readiness_blockers,
         latency_quantiles, stage_histogram, throughput, spellings, acknowledged_batches, hosted_partitions, recovered_statuses, replication_backlog,
+        producer_failures, producer_failure_progress, atomic_chunk_outcomes, group_finish_blockers, protocol_produce_checks, protocol_list_offsets, protocol_fetch_checks, protocol_fetch, protocol_metadata,
+        dense_index, sparse_index, replica_append_outcomes, recovery_replay, journal_violations, fenced_appends, request_values,
     ]
     return {f.__name__: f for f in own} | codec_queries.queries()
 

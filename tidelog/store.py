@@ -1,15 +1,20 @@
 """A log of topics over Parquet: one writer, numbered manifests, and reads as DataFrames.
 
-Every change writes its data first and then publishes manifest generation n + 1; a writer that has not seen generation n is
-refused. ``CURRENT`` names the newest generation. Manifests hold what is small: topics, rings, next offsets, log starts, group
+Every change writes its data first and then publishes manifest generation n + 1 by creating its file, which succeeds for one writer
+only (a link on local disks, a rename that does not overwrite elsewhere); others are refused. ``CURRENT`` hints at the newest
+generation, and what has been created after it counts too. Manifests hold what is small: topics, rings, next offsets, log starts, group
 outcomes and the list of data folders. Batches are Parquet rows, so all reads are plans that Spark prunes by offset.
 A batch is durable once its manifest is published. Payloads are fetched last, for the batches that the budget has chosen.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyarrow import fs
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import codecs
 from tidelog.operators import fetch as reads
 from tidelog.operators import groups, producers, reserve, visibility
+from tidelog.sources import objects
 
 
 class LogError(Exception):
@@ -36,13 +42,51 @@ class Limits:
     pack_bytes: int = 128 << 20
 
 
-EMPTY = {"generation": 0, "topics": {}, "outcomes": [], "data": [], "objects": []}
+EMPTY = {"generation": 0, "token": None, "plan_epoch": 0, "events": [], "topics": {}, "outcomes": [], "data": [], "objects": []}
+#: What marks a folder as data of another edition, which this store does not open. Fixed values.
+FOREIGN = ("ha-metadata", "active-active", "ha-leases.ssl")
+#: Columns of a batch that a reader gets: neither producer nor digest.
+FETCHED = ("partition_id", "batch_id", "event_id", "transaction_id", "chunk_sequence", "first_offset", "last_offset", "record_count", "lane", "ring_epoch", "sequence", "payload_bytes", "status", "durable_replicas")
 STORED = (
     "topic_id string, partition_id int, batch_id bigint, sequence bigint, first_offset bigint, last_offset bigint, record_count bigint, lane int, ring_epoch bigint, "
     "producer_id string, epoch bigint, first_sequence bigint, event_id string, digest string, transaction_id string, chunk_sequence bigint, payload_bytes bigint, payload binary"
 )
 
 
+@dataclass(frozen=True)
+class FetchPlan:
+    """The batches that a read has chosen, without payloads, and the state of the store that it holds for."""
+
+    token: str
+    epoch: int
+    topic_id: str
+    partition_id: int
+    start: int
+    batches: DataFrame
+
+    def lanes(self) -> DataFrame:
+        """(lane, first_offset, batches, payload_bytes): each lane's part of the plan and its first extent."""
+        return self.batches.groupBy("lane").agg(F.min("first_offset").alias("first_offset"), F.count("*").alias("batches"), F.sum("payload_bytes").alias("payload_bytes"))
+
+    def next_offset(self) -> int:
+        """Where the next read starts: behind the last batch, or where this one started if it has none."""
+        end = self.batches.agg(F.max("last_offset")).first()[0]
+        return self.start if end is None else end + 1
+
+
+@dataclass(frozen=True)
+class Page:
+    """One page of a reader: its range, the number of batches, and their rows, which are read when they are asked for."""
+
+    first_offset: int
+    next_offset: int
+    n: int
+    rows: DataFrame
+
+    def __len__(self) -> int:
+        return self.n
+
+
 @dataclass
 class LogStore:
     """``root``: a folder that the driver and all executors share."""
@@ -53,9 +97,12 @@ class LogStore:
 
     def __post_init__(self) -> None:
         self.files, self.path = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
+        if found := [m for m in FOREIGN if self.files.get_file_info(f"{self.path}/{m}").type != fs.FileType.NotFound]:
+            raise LogError("PrivateData", f"{self.root} holds {', '.join(found)}")
         self.files.create_dir(f"{self.path}/manifests", recursive=True)
         self.files.create_dir(f"{self.path}/journal", recursive=True)
         self.state = self._current()
+        self._finish(self.state)
 
     # -- control plane --------------------------------------------------------------------------------------------------
     def _read(self, name: str) -> bytes | None:
@@ -64,24 +111,61 @@ class LogStore:
         with self.files.open_input_stream(f"{self.path}/{name}") as f:
             return f.read()
 
-    def _write(self, name: str, data: bytes) -> None:
-        with self.files.open_output_stream(f"{self.path}/{name}.part") as f:
+    def _put(self, name: str, data: bytes) -> None:
+        with self.files.open_output_stream(f"{self.path}/{name}") as f:
             f.write(data)
-        self.files.move(f"{self.path}/{name}.part", f"{self.path}/{name}")
+
+    def _write(self, name: str, data: bytes) -> None:
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        self._put(part, data)
+        self.files.move(f"{self.path}/{part}", f"{self.path}/{name}")
+
+    def _create(self, name: str, data: bytes) -> bool:
+        """Creates a file that must not be there yet; False where it is."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        self._put(part, data)
+        try:
+            if isinstance(self.files, fs.LocalFileSystem):
+                os.link(f"{self.path}/{part}", f"{self.path}/{name}")
+            else:
+                hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+                source, target = hadoop.Path(f"{self.root}/{part}"), hadoop.Path(f"{self.root}/{name}")
+                context = hadoop.FileContext.getFileContext(source.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+                context.rename(source, target, gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:
+            if self._read(name) is None:
+                raise
+            return False
+        finally:
+            with contextlib.suppress(OSError):
+                self.files.delete_file(f"{self.path}/{part}")
+        return True
+
+    def _manifest(self, generation: int) -> dict | None:
+        data = self._read(f"manifests/{generation:020d}.json")
+        return None if data is None else json.loads(data)
 
     def _current(self) -> dict:
-        now = self._read("CURRENT")
-        return json.loads(self._read(f"manifests/{int(now):020d}.json")) if now else json.loads(json.dumps(EMPTY))
+        generation = int(self._read("CURRENT") or 0)
+        state = self._manifest(generation) if generation else json.loads(json.dumps(EMPTY)) | {"token": uuid.uuid4().hex}
+        while (later := self._manifest(state["generation"] + 1)) is not None:  # its writer stopped before it moved CURRENT
+            state = later
+        return state
+
+    def _finish(self, state: dict) -> None:
+        """The journal's file of a generation, which its manifest holds too, and CURRENT; a writer that stopped may have left them out."""
+        name = f"{state['generation']:020d}"
+        if state["events"] and self._read(f"journal/{name}.ssj") is None:
+            self._write(f"journal/{name}.ssj", b"".join(map(codecs.encode_event, state["events"])))
+        if state["generation"] > int(self._read("CURRENT") or 0):
+            self._write("CURRENT", str(state["generation"]).encode())
 
     def _publish(self, state: dict, events: list[dict] = ()) -> None:
-        if int(self._read("CURRENT") or 0) != self.state["generation"]:
-            raise LogError("Fenced", "another writer has published")
         state["generation"] = self.state["generation"] + 1
-        name = f"{state['generation']:020d}"
-        if events:
-            self._write(f"journal/{name}.ssj", b"".join(map(codecs.encode_event, events)))
-        self._write(f"manifests/{name}.json", json.dumps(state).encode())
-        self._write("CURRENT", str(state["generation"]).encode())
+        state["events"] = list(events)
+        if not self._create(f"manifests/{state['generation']:020d}.json", json.dumps(state).encode()):
+            raise LogError("Fenced", "another writer has published")
+        self._finish(state)
         self.state = state
 
     def _copy(self) -> dict:
@@ -191,13 +275,19 @@ class LogStore:
             for r in ends:
                 state["topics"][topic_id]["parts"][str(r["partition_id"])] |= {"next_batch": r["b"], "next_offset": r["o"]}
             state["data"].append(folder)
-            self._publish(state)
+            try:
+                self._publish(state)
+            except LogError:
+                self.files.delete_dir(f"{self.path}/{folder}")
+                raise
         receipts = new.select(F.col("partition_id").cast("int").alias("partition_id"), "arrival_seq", "batch_id", "first_offset", "last_offset")
         known = self.batches(topic_id).where("producer_id is not null").select("partition_id", "producer_id", "epoch", "first_sequence", F.col("batch_id").alias("kb"), F.col("first_offset").alias("kf"), F.col("last_offset").alias("kl"))
-        answered = judged.select("partition_id", "arrival_seq", "outcome", "producer_id", "epoch", "first_sequence").join(receipts, ["partition_id", "arrival_seq"], "left")
-        answered = answered.join(known, ["partition_id", "producer_id", "epoch", "first_sequence"], "left")
+        chunks = self.batches(topic_id).where("transaction_id is not null").select("partition_id", "transaction_id", "chunk_sequence", F.col("batch_id").alias("gb"), F.col("first_offset").alias("gf"), F.col("last_offset").alias("gl"))
+        answered = judged.select("partition_id", "arrival_seq", "outcome", "producer_id", "epoch", "first_sequence", "transaction_id", "chunk_sequence").join(receipts, ["partition_id", "arrival_seq"], "left")
+        answered = answered.join(known, ["partition_id", "producer_id", "epoch", "first_sequence"], "left").join(chunks, ["partition_id", "transaction_id", "chunk_sequence"], "left")
         again = F.col("outcome") == "duplicate"
-        return answered.select("partition_id", "arrival_seq", "outcome", *[F.coalesce(a, F.when(again, F.col(b))).alias(a) for a, b in (("batch_id", "kb"), ("first_offset", "kf"), ("last_offset", "kl"))])
+        columns = (("batch_id", "kb", "gb"), ("first_offset", "kf", "gf"), ("last_offset", "kl", "gl"))
+        return answered.select("partition_id", "arrival_seq", "outcome", *[F.coalesce(a, F.when(again, F.coalesce(b, c))).alias(a) for a, b, c in columns])
 
     def _judged(self, topic_id: str, checked: DataFrame) -> DataFrame:
         """Outcomes of the checked requests against what the log holds of their producers. Payloads stay out of the ordered walk."""
@@ -210,14 +300,31 @@ class LogStore:
         walked = producers.outcomes(held.join(new.select("who").distinct(), "who", "left_semi").select(*columns).unionByName(new.select(*columns)).withColumnRenamed("who", "producer_id"))
         verdicts = walked.where("not stored").select("partition_id", "arrival_seq", F.col("outcome").alias("verdict"))
         judged = fresh.join(verdicts, ["partition_id", "arrival_seq"]).withColumn("outcome", F.col("verdict")).drop("verdict")
-        return plain.unionByName(judged.select(*plain.columns))
-
-    def fetch(self, topic_id: str, partition_id: int, start: int = 0, max_bytes: int | None = None, mode: str = "ordered", max_batches: int | None = None, cursor: str | None = None) -> DataFrame:
-        """Batches with payloads, in offset order; a cursor, if given, says where to start."""
+        return self._chunks_judged(topic_id, plain.unionByName(judged.select(*plain.columns)))
+
+    def _chunks_judged(self, topic_id: str, judged: DataFrame) -> DataFrame:
+        """The outcomes of accepted chunks of groups, against the chunks and decisions that the log holds."""
+        chunk = (F.col("outcome") == "accepted") & F.col("transaction_id").isNotNull()
+        columns = ["partition_id", "transaction_id", "chunk_sequence", "record_count", "payload_bytes", "digest", "arrival_seq", "stored"]
+        new = judged.where(chunk).withColumn("stored", F.lit(False)).select(*columns)
+        held = self.batches(topic_id).where("transaction_id is not null").withColumns({"arrival_seq": F.col("chunk_sequence"), "stored": F.lit(True)})
+        held = held.join(new.select("partition_id", "transaction_id").distinct(), ["partition_id", "transaction_id"], "left_semi").select(*columns)
+        decided = self._table([(p, x, True) for t, p, x, _ in self.state["outcomes"] if t == topic_id], "partition_id int, transaction_id string, finalized boolean")
+        walked = held.unionByName(new).join(decided, ["partition_id", "transaction_id"], "left").withColumn("finalized", F.coalesce("finalized", F.lit(False)))
+        verdicts = groups.chunk_outcomes(walked).where("not stored").select("partition_id", "arrival_seq", F.col("outcome").alias("verdict"))
+        joined = judged.join(verdicts, ["partition_id", "arrival_seq"], "left")
+        return joined.withColumn("outcome", F.coalesce("verdict", "outcome")).select(*judged.columns)
+
+    def plan(self, topic_id: str, partition_id: int, start: int = 0, max_bytes: int | None = None, mode: str = "ordered", max_batches: int | None = None, cursor: str | None = None, expected_data_generation: int | None = None) -> FetchPlan:
+        """What a read returns, without payloads. A cursor, if given, says where to start, whatever ``start`` says."""
+        if expected_data_generation not in (None, 1):
+            raise LogError("StaleDataGeneration", str(expected_data_generation))
         if cursor is not None:
             at = codecs.cursor_from_hex(cursor)
-            if at["mode"] != "active_passive" or (at["topic_id"], at["partition_id"]) != (topic_id, partition_id):
+            if (at["topic_id"], at["partition_id"]) != (topic_id, partition_id):
                 raise LogError("InvalidConfig", "the cursor belongs elsewhere")
+            if at["mode"] != "active_passive" or at["data_generation"] != 1:
+                raise LogError("StaleDataGeneration", str(at["data_generation"]))
             start = at["next_offset"]
         max_bytes = self.limits.max_fetch_bytes if max_bytes is None else max_bytes
         if not 0 < max_bytes <= self.limits.max_fetch_bytes or mode not in reads.MODES:
@@ -227,22 +334,68 @@ class LogStore:
             raise LogError("UnknownPartition")
         if start < part["log_start"]:
             raise LogError("OffsetOutOfRange", f"{start} is before {part['log_start']}")
-        rows = self.batches(topic_id).where(F.col("partition_id") == partition_id)
+        rows = self.batches(topic_id).where(F.col("partition_id") == partition_id).select(*FETCHED)
         marks = self.watermarks(topic_id).where(F.col("partition_id") == partition_id)
-        chosen = reads.fetch(rows.drop("payload"), marks, mode, start, max_bytes, max_batches)
-        return chosen.join(rows.select("partition_id", "batch_id", "payload"), ["partition_id", "batch_id"]).orderBy("first_offset")
+        return FetchPlan(self.state["token"], self.state["plan_epoch"], topic_id, partition_id, start, reads.fetch(rows, marks, mode, start, max_bytes, max_batches))
+
+    def read_plan(self, plan: FetchPlan) -> DataFrame:
+        """The batches of a plan with payloads, in offset order. A plan of another store, or one made before files were reclaimed, is refused."""
+        now = self._current()
+        if (plan.token, plan.epoch) != (now["token"], now["plan_epoch"]):
+            raise LogError("StalePlan", "the plan does not belong to the store as it is now")
+        payloads = self.batches(plan.topic_id).where(F.col("partition_id") == plan.partition_id).select("partition_id", "batch_id", "payload")
+        return plan.batches.join(payloads, ["partition_id", "batch_id"]).orderBy("first_offset")
+
+    def fetch(self, topic_id: str, partition_id: int, start: int = 0, max_bytes: int | None = None, mode: str = "ordered", max_batches: int | None = None, cursor: str | None = None, expected_data_generation: int | None = None) -> DataFrame:
+        """Batches with payloads, in offset order."""
+        return self.read_plan(self.plan(topic_id, partition_id, start, max_bytes, mode, max_batches, cursor, expected_data_generation))
+
+    def fetch_next(self, topic_id: str, partition_id: int, cursor: str, max_bytes: int | None = None, mode: str = "ordered", expected_data_generation: int | None = None) -> tuple[DataFrame, str]:
+        """The batches from a cursor on, and the cursor behind them."""
+        plan = self.plan(topic_id, partition_id, 0, max_bytes, mode, None, cursor, expected_data_generation)
+        return self.read_plan(plan), self.cursor(topic_id, partition_id, plan.next_offset())
+
+    def wait_until_visible(self, topic_id: str, partition_id: int, through: int, mode: str = "ordered", seconds: float = 30.0, pause: float = 0.1) -> bool:
+        """Whether everything before offset ``through`` becomes visible to readers in ``mode`` within the time."""
+        if mode not in ("ordered", "replicated"):
+            raise LogError("InvalidConfig", f"nothing waits for {mode} reads")
+        end = time.monotonic() + seconds
+        while True:
+            marks = self.watermarks(topic_id).where(F.col("partition_id") == partition_id).first()
+            if marks is None:
+                raise LogError("UnknownPartition")
+            visible = marks["last_stable_offset"] if mode == "ordered" else min(marks["replicated_high_watermark"], marks["last_stable_offset"])
+            if visible >= through or time.monotonic() >= end:
+                return visible >= through
+            time.sleep(pause)
+            self.state = self._current()
 
     def cursor(self, topic_id: str, partition_id: int, next_offset: int | None = None) -> str:
         """The cursor at ``next_offset``, or at the log's start."""
         part = self._topic(topic_id)["parts"][str(partition_id)]
         return codecs.encode_cursor({"topic_id": topic_id, "partition_id": partition_id, "data_generation": 1, "mode": "active_passive", "next_offset": part["log_start"] if next_offset is None else next_offset}).hex()
 
-    def pages(self, topic_id: str, partition_id: int, max_bytes: int, mode: str = "ordered"):
-        """Pages of batches from the log's start to what is visible now."""
-        at = self._topic(topic_id)["parts"][str(partition_id)]["log_start"]
-        while rows := self.fetch(topic_id, partition_id, at, max_bytes, mode).collect():
-            yield rows
-            at = rows[-1]["last_offset"] + 1
+    def pages(self, topic_id: str, partition_id: int, max_bytes: int, mode: str = "ordered", start: int | None = None) -> Iterator[Page]:
+        """Pages of batches from ``start`` (the log's start) to what is visible now. Payloads stay where they are until a page's rows are read."""
+        at = self._topic(topic_id)["parts"][str(partition_id)]["log_start"] if start is None else start
+        while True:
+            plan = self.plan(topic_id, partition_id, at, max_bytes, mode)
+            first, end, n = plan.batches.agg(F.min("first_offset"), F.max("last_offset"), F.count("*")).first()
+            if not n:
+                return
+            at = end + 1
+            yield Page(first, at, n, self.read_plan(plan))
+
+    def replay(self, topic_id: str, partition_id: int, max_bytes: int | None = None) -> Iterator[Page]:
+        """Pages of what a replica has to get again after recovery: committed and unresolved batches up to the contiguous end."""
+        marks = self.watermarks(topic_id).where(F.col("partition_id") == partition_id).first()
+        at, end = marks["log_start"], marks["contiguous_log_end"]
+        for page in self.pages(topic_id, partition_id, max_bytes or self.limits.max_fetch_bytes, "recovery", at):
+            yield page
+            at = page.next_offset
+        skipped = self.batches(topic_id).where((F.col("partition_id") == partition_id) & (F.col("status") != "aborted") & (F.col("first_offset") >= at) & (F.col("last_offset") < end))
+        if not skipped.isEmpty():
+            raise LogError("CorruptState", f"no batch at offset {at}")
 
     def retained_bytes(self, topic_id: str, start: int = 0) -> DataFrame:
         return reads.retained_bytes(self.batches(topic_id), self.watermarks(topic_id), start)
@@ -272,6 +425,7 @@ class LogStore:
         if gone:
             state = self._copy()
             state["data"] = [d for d in state["data"] if d not in gone]
+            state["plan_epoch"] += 1
             self._publish(state)
             for folder in gone:  # after publishing: a crash leaves files that no manifest names
                 self.files.delete_dir(f"{self.path}/{folder}")
@@ -290,26 +444,52 @@ class LogStore:
                 if o != outcome:
                     raise LogError("AtomicGroupFinalized", transaction_id)
                 return
-        if self.batches(topic_id).where((F.col("partition_id") == partition_id) & (F.col("transaction_id") == transaction_id)).isEmpty():
+        if outcome not in ("committed", "aborted"):
+            raise LogError("InvalidConfig", "a group is committed or aborted")
+        chunks = self.batches(topic_id).where((F.col("partition_id") == partition_id) & (F.col("transaction_id") == transaction_id)).drop("payload")
+        if chunks.isEmpty():
             raise LogError("UnknownAtomicGroup", transaction_id)
+        blocked = groups.finish_blockers(chunks, outcome, self._topic(topic_id)["policy"][2]).first()
+        if blocked is not None:
+            raise LogError(blocked["reason"], transaction_id)
         state = self._copy()
         state["outcomes"].append([topic_id, partition_id, transaction_id, outcome])
         kind = {"committed": "group_commit", "aborted": "group_abort"}[outcome]
         self._publish(state, [{"kind": kind, "topic_id": topic_id, "partition_id": partition_id, "transaction_id": transaction_id}])
 
     def offload(self, tier: str) -> list[dict]:
-        """Copies data folders that no object covers to ``tier`` and lists them in the manifest."""
-        files, path = fs.FileSystem.from_uri(tier) if "://" in tier else (fs.LocalFileSystem(), tier)
+        """Copies data folders that no object covers to ``tier`` and lists them, file by file with size and BLAKE3 checksum, in the manifest.
+
+        Executors copy and hash; the driver gets a row per file. Objects are listed once, in the order of their appends, and only if no
+        other writer has published meanwhile.
+        """
         done = {o["folder"] for o in self.state["objects"]}
-        fresh = [d for d in self.state["data"] if d not in done]
-        for folder in fresh:
-            fs.copy_files(f"{self.path}/{folder}", f"{path}/{folder}", source_filesystem=self.files, destination_filesystem=files)
+        fresh = sorted(d for d in self.state["data"] if d not in done)
         if fresh:
+            copied = objects.copy(self.spark, self._files_of(fresh), self.root, tier)
             state = self._copy()
-            state["objects"] += [{"folder": d, "key": f"{tier}/{d}"} for d in fresh]
+            state["objects"] += [{"folder": d, "key": f"{tier}/{d}", "checksum_algorithm": "blake3", "files": [f for f in copied if f["folder"] == d]} for d in fresh]
             self._publish(state)
         return self.state["objects"]
 
+    def _files_of(self, folders: list[str]) -> list[tuple[str, str]]:
+        return [(d, i.path.removeprefix(f"{self.path}/")) for d in folders for i in self.files.get_file_info(fs.FileSelector(f"{self.path}/{d}", recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".parquet")]
+
+    def verify_objects(self) -> list[str]:
+        """Files of the tier that are not what the manifest says."""
+        listed = [(f["folder"], f["name"], f["bytes"], f["checksum"], o["key"].removesuffix(f"/{o['folder']}")) for o in self.state["objects"] for f in o["files"]]
+        return objects.damaged(self.spark, listed)
+
+    def idempotent_receipt(self, topic_id: str, partition_id: int, producer_id: str, epoch: int, first_sequence: int, event_id: str | None = None) -> dict | None:
+        """The receipt of an append that the log holds already, or None."""
+        sent = self.batches(topic_id).where((F.col("partition_id") == partition_id) & (F.col("producer_id") == producer_id) & (F.col("epoch") == epoch) & (F.col("first_sequence") == first_sequence))
+        row = sent.select("batch_id", "first_offset", "last_offset", "event_id").first()
+        if row is None:
+            return None
+        if row["event_id"] != event_id:
+            raise LogError("DuplicateSequenceMismatch", producer_id)
+        return {c: row[c] for c in ("batch_id", "first_offset", "last_offset")}
+
     def producer_progress(self, topic_id: str) -> DataFrame:
         """(partition_id, producer_id, epoch, next_sequence) of what is retained."""
         rows = self.batches(topic_id).where("producer_id is not null")
