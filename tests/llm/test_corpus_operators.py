@@ -173,6 +173,45 @@ def test_repeated_strings(spark, hot):
     assert have == repeats_by_hand(rows)
 
 
+def passage_words_by_hand(rows):
+    holders = defaultdict(set)
+    words = [(t or "").encode().split() for _, t in rows]
+    for (i, t), w in zip(rows, words, strict=True):
+        for k in range(len(w) - 50):
+            holders[tuple(w[k : k + 51])].add((i, t))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        under = set()
+        for k in range(len(w) - 50):
+            if len(holders[tuple(w[k : k + 51])]) > 1:
+                under.update(range(k, k + 51))
+        out.append((i, len(under)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_passages_of_other_documents(spark, hot):
+    passage = prose(5, 70)
+    words = passage.split()
+    rows = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in texts()]
+    rows += [(400 + k, prose(600 + k, 30 + k) + "\n\t" + " ".join(words[: 46 + k]) + " " + prose(700 + k, 20)) for k in range(12)]
+    rows += [(450 + k, prose(800 + k, 9) + " " + " ".join(words[k : k + 54]) + " end") for k in range(6)]
+    rows += [(500, "again " * 300), (501, "twice in me " * 60), (502, prose(9, 60) + " and " + prose(9, 60)), (503, "short " + " ".join(words[:51])), (503, "short " + " ".join(words[:51]))]
+    got = substrings.remove_repeats(table(spark, rows), hot=hot)
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in got.collect()), key=str) == passage_words_by_hand(rows)
+
+
+def test_one_lead_with_many_cores():
+    """Contexts that share a long start go through in stretches; a stretch ends where the core does."""
+    import pyarrow as pa
+
+    leads = sorted(b"the same start of many bytes " + bytes([a, b]) for a in range(50) for b in range(20) for _ in range(1 + a % 3))
+    batches = pa.table({"lead": leads, "n": range(len(leads))}).to_batches(max_chunksize=37)
+    parts = [t.column("lead").to_pylist() for t in substrings.whole_cores(iter(batches), rows=100)]
+    assert sum(parts, []) == leads and all(len(p) < 150 for p in parts)
+    assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_repeated_strings_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     assert substrings.kept_bytes(b"0123456789", [(2, 4), (4, 6), (5, 7), (8, 9)]) == (b"0179", 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -12,7 +13,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +56,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.paths[id(made)] = (made, path)
+    return made
+
+
+class Scope:
+    """Tables that ``written`` has made within a ``with`` block. They are deleted when the block ends, or earlier by ``drop``; those
+    given to ``keep`` stay, and belong to the block around, if there is one."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scope:
+        self.before = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCOPE.reset(self.before)
+        self.drop(*[df for df, _ in self.paths.values()])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        found = self.paths.pop(id(df))
+        if (outer := self.before.old_value) not in (None, contextvars.Token.MISSING):
+            outer.paths[id(df)] = found
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+_SCOPE: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process. Hashing a short word again is quicker than looking it up."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:

@@ -67,8 +67,16 @@ REPEATS = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS data FROM d
 ), marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM twice
 ), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
 ), runs AS (SELECT doc_id, run, min(i) AS low, max(i) + 400 AS high, lag(max(i) + 400, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM numbered GROUP BY 1, 2
-), parts AS (SELECT doc_id, string_agg(hex(data[before + 1:low]), '' ORDER BY run) AS head, max(high) AS tail, count(*) AS spans, sum(high - low) AS removed FROM runs JOIN d USING (doc_id) GROUP BY 1)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || hex(data[coalesce(tail, 0) + 1:n]))) AS kept_sha256 FROM n LEFT JOIN parts USING (doc_id)"""
+), parts AS (SELECT doc_id, string_agg(hex(data[before + 1:low]), '' ORDER BY run) AS head, max(high) AS tail, count(*) AS spans, sum(high - low) AS removed FROM runs JOIN d USING (doc_id) GROUP BY 1
+), w AS (SELECT doc_id, %s AS w FROM documents
+), five AS (SELECT doc_id, unnest(range(1, len(w) - 49)) AS i, w FROM w WHERE len(w) >= 51
+), wk AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 50], ' ')) AS k FROM five
+), shared AS (SELECT doc_id, i FROM wk QUALIFY min(doc_id) OVER (PARTITION BY k) <> max(doc_id) OVER (PARTITION BY k)
+), begun AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 51 THEN 0 ELSE 1 END AS fresh FROM shared
+), walked AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begun
+), passages AS (SELECT doc_id, sum(n) AS n_words FROM (SELECT doc_id, run, max(i) - min(i) + 51 AS n FROM walked GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || hex(data[coalesce(tail, 0) + 1:n]))) AS kept_sha256,
+  CAST(coalesce(n_words, 0) AS BIGINT) AS n_passage_words FROM n LEFT JOIN parts USING (doc_id) LEFT JOIN passages USING (doc_id)""" % WORDS.format("text")
 
 MIX = rf"""WITH d AS (SELECT doc_id, source, len({WORDS.format("text")}) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h FROM documents
 ), s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY 1

@@ -44,7 +44,7 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,25 @@
-"""Exact removal of repeated byte strings by sorted suffixes.
+"""Exact removal of repeated byte strings, and detection of shared passages, by sorted suffixes.
 
 Every 400-byte string that starts at two places, in one document or two, is found, and each byte under such a string is removed.
-Sorting a suffix for every byte would shuffle hundreds of times the input, so suffixes are taken where repeats can be seen:
-
-1. A 400-byte string's anchor is the leftmost least 16-byte hash among its first ``SPAN`` places. Equal strings have
-   equal anchors at equal distances, so it is enough to compare suffixes that start at anchors, with the bytes before them. One anchor
-   serves a run of starts; its context is all bytes that these strings cover, its core those that all of them share.
-2. Cores that occur once are dropped. Where a whole context occurs twice, all of it is repeated: counted, not compared.
+Passages are found by the same steps over words instead of bytes (``PASSAGES``): a text is then the row of its words' 64-bit hashes,
+and a string of 51 words counts where another document holds it too. Sorting a suffix for every byte would shuffle hundreds of
+times the input, so suffixes are taken where repeats can be seen:
+
+1. A string's anchor is the leftmost least hash among the short grams at its first ``span`` places. Equal strings have
+   equal anchors at equal distances, so it is enough to compare suffixes that start at anchors, with what stands before them. One anchor
+   serves a run of starts; its context is all that these strings cover, its core what all of them share.
+2. Cores that occur once are dropped. Where a whole context occurs twice, all of it is repeated: it is compared by the hashes of core
+   and context, 128 bits together, and counted.
 3. Contexts that share a core but differ go on as text, once per distinct context: sampled splitters range-partition them by the
-   leading bytes of the suffix, and each bucket sorts its suffixes by multikey quicksort, word by word, all parts of a depth
-   at once; the same for the bytes before the anchors, reversed. Neighbours' common lengths in both orders say for each distance which strings are
-   equal. Equal leading bytes are never cut by a splitter, so no comparison across bucket ends is left over.
+   core, and each bucket sorts its suffixes by multikey quicksort, word by word, all parts of a depth
+   at once; the same for what stands before the anchors, reversed. Neighbours' common lengths in both orders say for each distance which
+   strings are equal. Equal cores are never cut by a splitter, so no comparison across bucket ends is left over; a task holds
+   ``SORTED_ROWS`` contexts and the rest of one core at a time.
 4. A core with more than ``HOT`` distinct contexts would fill one bucket; its strings are hashed (128 bits) and counted instead.
    The rule is exact as well, and spreads by string.
 
-Defined cases: null and empty texts keep nothing and lose nothing; equal rows are copies of each other; extra columns are left out.
+Defined cases: null and empty texts keep nothing and lose nothing; equal rows are copies of each other; for passages, rows of one
+id and one text are one document; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +35,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import slices, tidy, written
+from tidelog.llm.common import Scope, slices, tidy, word_hashes, written
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """What a string is: ``length`` units of ``unit`` bytes, with its anchor at one of the first ``span`` places, the least gram of
+    ``gram`` units. ``across``: whether only another document's string counts."""
+
+    unit: int
+    length: int
+    span: int
+    gram: int
+    across: bool
+
+    @property
+    def size(self) -> int:
+        """Bytes of a string."""
+        return self.length * self.unit
+
+    @property
+    def core(self) -> int:
+        """Bytes that all strings of one anchor share, from the anchor on."""
+        return (self.length - self.span + 1) * self.unit
+
+    def units(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8")
+        return raw if self.unit == 1 else b"".join(map(xxhash.xxh3_64_digest, raw.split()))
 
-LENGTH = 400
-SPAN = 256
-GRAM = 16
-CORE = LENGTH - SPAN + 1
-LEAD = 24
+
+BYTES = Scheme(1, 400, 256, 16, False)
+PASSAGES = Scheme(8, 51, 40, 8, True)
+LENGTH = BYTES.length
 HOT = 2_000
-#: Distinct contexts a bucket is meant to hold.
-BUCKET_ROWS = 20_000
+#: Distinct contexts a bucket is meant to hold, and those that are sorted at once.
+BUCKET_ROWS, SORTED_ROWS = 20_000, 8_192
 #: Windows handled at once; fewer than the positions that the low bits of a key hold.
 STRETCH, PLACE = 1 << 18, np.uint64((1 << 20) - 1)
 
 
+def word_gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` words at each place."""
+    n = len(words) - gram + 1
+    h = np.full(n, 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(gram):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the 16 bytes at each place."""
     x = data.astype(np.uint64)
     for width in (1, 2, 4):
         x = x[:-width] | (x[width:] << np.uint64(8 * width))
     with np.errstate(over="ignore"):
-        a = (x * np.uint64(0x9E3779B97F4A7C15))[: len(data) - GRAM + 1]
+        a = (x * np.uint64(0x9E3779B97F4A7C15))[: len(data) - BYTES.gram + 1]
         b = (x * np.uint64(0xC2B2AE3D27D4EB4F))[8:]
         h = a ^ (b >> np.uint64(31)) ^ (b << np.uint64(33))
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,18 +110,18 @@ def window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, last start) of each run of string starts with one anchor."""
-    starts = len(data) - LENGTH + 1
+def anchors(data: bytes, scheme: Scheme = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first start, last start) of each run of string starts with one anchor, in units."""
+    starts = len(data) // scheme.unit - scheme.length + 1
     if starts < 1:
         return (np.zeros(0, np.int64),) * 3
-    h = gram_hashes(np.frombuffer(data, np.uint8))
+    h = gram_hashes(np.frombuffer(data, np.uint8)) if scheme.unit == 1 else word_gram_hashes(np.frombuffer(data, ">u8").astype(np.uint64), scheme.gram)
     places = []
     for at in range(0, starts, STRETCH):
         n = min(STRETCH, starts - at)
-        part = h[at : at + n + SPAN - 1]
+        part = h[at : at + n + scheme.span - 1]
         key = (part & ~PLACE) | np.arange(len(part), dtype=np.uint64)
-        places.append((window_minima(key, SPAN) & PLACE).astype(np.int64) + at)
+        places.append((window_minima(key, scheme.span) & PLACE).astype(np.int64) + at)
     place = np.concatenate(places)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     return place[first], first, np.r_[first[1:] - 1, starts - 1]
@@ -88,25 +130,29 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ANCHORS = "core long, ctx long, start int, before int, size int"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per anchor: hashes of core and context, the context's start, bytes before the anchor, and its size."""
-    digest = xxhash.xxh3_64_intdigest
-    for batch in slices(batches, 2):
-        rows, cores, contexts, starts, before, sizes = [], [], [], [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            data = (text or "").encode("utf-8")
-            place, low, high = anchors(data)
-            for a, lo, hi in zip(place.tolist(), low.tolist(), high.tolist(), strict=True):
-                cores.append(digest(data[a : a + CORE]))
-                contexts.append(digest(data[lo : hi + LENGTH], a - lo + 1))
-            rows += [i] * len(place)
-            starts.append(low)
-            before.append(place - low)
-            sizes.append(high + LENGTH - low)
-        signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-        joined = lambda v: pa.array(np.concatenate(v).astype(np.int32) if v else np.zeros(0, np.int32))
-        who = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), signed(cores), signed(contexts), joined(starts), joined(before), joined(sizes)], ["id", "th", *(c.split()[0] for c in ANCHORS.split(", "))])
+def _scan(scheme: Scheme):
+    """A row per anchor: hashes of core and context, and in bytes the context's start, what stands before the anchor, and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, unit = xxhash.xxh3_64_intdigest, scheme.unit
+        for batch in slices(batches, 2):
+            rows, cores, contexts, starts, before, sizes = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                data = scheme.units(text)
+                place, low, high = (x * unit for x in anchors(data, scheme))
+                for a, lo, hi in zip(place.tolist(), low.tolist(), high.tolist(), strict=True):
+                    cores.append(digest(data[a : a + scheme.core]))
+                    contexts.append(digest(data[lo : hi + scheme.size], a - lo + 1))
+                rows += [i] * len(place)
+                starts.append(low)
+                before.append(place - low)
+                sizes.append(high + scheme.size - low)
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            joined = lambda v: pa.array(np.concatenate(v).astype(np.int32) if v else np.zeros(0, np.int32))
+            who = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), signed(cores), signed(contexts), joined(starts), joined(before), joined(sizes)], ["id", "th", *(c.split()[0] for c in ANCHORS.split(", "))])
+
+    return run
 
 
 def sorted_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,83 +194,120 @@ def _first_apart(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarra
     return of
 
 
-def repeated_starts(contexts: list[bytes], before: np.ndarray) -> list[tuple[int, int]]:
-    """(row, start within the context) of each 400-byte string of the contexts that another row holds at the same distance from its anchor."""
+def repeated_starts(contexts: list[bytes], before: np.ndarray, who: np.ndarray, scheme: Scheme = BYTES) -> np.ndarray:
+    """(row, start within the context) of each string of the contexts that a row of another ``who`` holds at the same distance from its anchor."""
     n, sizes = len(contexts), np.array([len(c) for c in contexts])
-    right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, SPAN), np.uint8)
+    right, left = np.zeros((n, scheme.size), np.uint8), np.zeros((n, scheme.span * scheme.unit), np.uint8)
     for i, (c, b) in enumerate(zip(contexts, before.tolist(), strict=True)):
         data = np.frombuffer(c, np.uint8)
         right[i, : len(c) - b] = data[b:]
         left[i, :b] = data[:b][::-1]
     by_right, by_left = sorted_runs(right), sorted_runs(left)
-    nearest = before + LENGTH - sizes  # the least distance from a start to the anchor
+    nearest = before + scheme.size - sizes  # the least distance from a start to the anchor
     found = []
-    for d in range(int(before.max(initial=-1)) + 1):
+    for d in range(0, int(before.max(initial=-1)) + 1, scheme.unit):
         rows = np.flatnonzero((nearest <= d) & (d <= before))
         if len(rows) < 2:
             continue
-        key = _first_apart(*by_right, LENGTH - d)[rows] * (n + 1) + _first_apart(*by_left, d)[rows]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice = np.r_[False, same] | np.r_[same, False]
+        key = _first_apart(*by_right, scheme.size - d)[rows] * (n + 1) + _first_apart(*by_left, d)[rows]
+        order = np.lexsort((who[rows], key))
+        key, whose = key[order], who[rows[order]]
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[begins[1:], len(key)]
+        twice = np.repeat(whose[begins] != whose[ends - 1], ends - begins)
         found.append(np.column_stack([rows[order[twice]], before[rows[order[twice]]] - d]))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _spans(row: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, from, to) of the runs that strings starting at these places cover."""
+def _spans(row: np.ndarray, start: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(row, from, to) of the runs that strings of ``size`` bytes starting at these places cover."""
     if not len(row):
         return []
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
-    begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LENGTH)])
+    begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + size)])
     ends = np.r_[begins[1:] - 1, len(row) - 1]
-    return list(zip(row[begins].tolist(), start[begins].tolist(), (start[ends] + LENGTH).tolist(), strict=True))
-
-
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not len(table):
-        return
-    before, at = table.column("before").to_numpy(), table.column("start").to_numpy()
-    found = repeated_starts(table.column("context").to_pylist(), before.astype(np.int64))
-    spans = _spans(found[:, 0], found[:, 1])
-    who = pa.array([s[0] for s in spans], pa.int64())
-    ids = table.select(["id", "th"]).combine_chunks().take(who)
-    offset = at[[s[0] for s in spans]].astype(np.int64) if spans else np.zeros(0, np.int64)
-    ranges = [pa.array(offset + np.array([s[k] for s in spans], np.int64)) for k in (1, 2)]
-    for batch in pa.table([ids.column(0), ids.column(1), *ranges], names=["id", "th", "low", "high"]).to_batches():
-        yield batch
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all 400-byte strings of hot contexts, a distinct context at a time."""
-    for batch in batches:
-        for i, (context, start) in enumerate(zip(batch.column("context").to_pylist(), batch.column("start").to_pylist(), strict=True)):
-            n = len(context) - LENGTH + 1
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[k : k + LENGTH]) for k in range(n)), np.int64).reshape(n, 2)
-            who = pa.array([i] * n, pa.int64())
-            low = np.arange(start, start + n, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(who), batch.column("th").take(who), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(low), pa.array(low + LENGTH)], ["id", "th", "h1", "h2", "low", "high"])
-
+    return list(zip(row[begins].tolist(), start[begins].tolist(), (start[ends] + size).tolist(), strict=True))
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per wanted context, with its bytes."""
-    for batch in slices(batches, 2):
-        who, made = [], []
-        for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
-            data = text.encode("utf-8")
-            for w in wanted:
-                who.append(i)
-                at = w["start"] + w["before"]
-                made.append((data[at : at + LEAD], w["hot"], w["start"], w["before"], data[w["start"] : w["start"] + w["size"]]))
-        who = pa.array(who, pa.int64())
-        columns = list(zip(*made, strict=True)) if made else [[]] * 5
-        kinds = (pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(who), batch.column("th").take(who), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["id", "th", "lead", "hot", "start", "before", "context"])
 
-
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def whole_cores(batches: Iterator[pa.RecordBatch], rows: int = SORTED_ROWS) -> Iterator[pa.Table]:
+    """Rows that come in order of ``lead`` in stretches of about ``rows``, cut only where the lead changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        leads = table.column("lead").to_pylist()
+        cut = leads.index(leads[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if any(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _whose(table: pa.Table, scheme: Scheme) -> np.ndarray:
+    """A number for each row's document; representatives of contexts that several documents hold, and all rows of bytes, stand for themselves."""
+    own = -1 - np.arange(len(table))
+    if not scheme.across:
+        return own
+    codes = [table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "th")]
+    return np.where(table.column("shared").to_numpy(), own, (codes[0] + 1) * (len(table) + 1) + codes[1] + 1)
+
+
+def _bucket(scheme: Scheme):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cores(batches):
+            before, at = table.column("before").to_numpy(), table.column("start").to_numpy()
+            found = repeated_starts(table.column("context").to_pylist(), before.astype(np.int64), _whose(table, scheme), scheme)
+            spans = _spans(found[:, 0], found[:, 1], scheme.size)
+            who = pa.array([s[0] for s in spans], pa.int64())
+            ids = table.select(["id", "th"]).combine_chunks().take(who)
+            offset = at[[s[0] for s in spans]].astype(np.int64) if spans else np.zeros(0, np.int64)
+            ranges = [pa.array(offset + np.array([s[k] for s in spans], np.int64)) for k in (1, 2)]
+            yield from pa.table([ids.column(0), ids.column(1), *ranges], names=["id", "th", "low", "high"]).to_batches()
+
+    return run
+
+
+def _strings(scheme: Scheme):
+    """128-bit hashes of all strings of hot contexts, a context at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, unit = scheme.size, scheme.unit
+        for batch in batches:
+            for i, (context, start) in enumerate(zip(batch.column("context").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+                places = range(0, len(context) - size + 1, unit)
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[k : k + size]) for k in places), np.int64).reshape(-1, 2)
+                who = pa.array([i] * len(places), pa.int64())
+                low = start + np.array(places, np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in ("id", "th", "shared")), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(low), pa.array(low + size)], ["id", "th", "shared", "h1", "h2", "low", "high"])
+
+    return run
+
+
+def _contexts(scheme: Scheme):
+    """A row per wanted context, with its core and its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            who, made = [], []
+            for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                data = scheme.units(text)
+                for w in wanted:
+                    who.append(i)
+                    at = w["start"] + w["before"]
+                    made.append((data[at : at + scheme.core], w["hot"], w["shared"], w["start"], w["before"], data[w["start"] : w["start"] + w["size"]]))
+            who = pa.array(who, pa.int64())
+            columns = list(zip(*made, strict=True)) if made else [[]] * 6
+            kinds = (pa.binary(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(who), batch.column("th").take(who), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["id", "th", "lead", "hot", "shared", "start", "before", "context"])
+
+    return run
+
+
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -239,48 +322,67 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(pieces), runs
 
 
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How much the spans cover together."""
+    total = at = 0
+    for low, high in sorted(spans):
+        total += max(0, high - max(low, at))
+        at = max(at, high)
+    return total
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
         rows, left = [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = (text or "").encode("utf-8")
-            kept, runs = kept_bytes(data, [(s["low"], s["high"]) for s in spans or ()])
-            rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+            kept, runs = kept_bytes(data, [(s["low"], s["high"]) for s in spans or () if not s["words"]])
+            passages = covered([(s["low"], s["high"]) for s in spans or () if s["words"]]) // PASSAGES.unit
+            rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), passages))
             left.append(kept)
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), pa.array(left, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), pa.array(left, pa.binary())], ["id", *(c.split()[0] for c in RESULT.split(", ")), "kept"])
+
 
+def repeated_spans(docs: DataFrame, scheme: Scheme = BYTES, hot: int = HOT) -> DataFrame:
+    """(id, th, low, high): ranges of ``docs`` (id, th, text), in bytes of the scheme's units, that repeated strings cover; they may overlap.
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(id, th, low, high): byte ranges of ``docs`` (id, th, text) that repeated strings cover; they may overlap."""
+    Only the table of the ranges is left in the shared folder.
+    """
     spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
-    where = F.octet_length("text") >= LENGTH
-    seen = written(docs.where(where).mapInArrow(tidy(_scan), f"id {kind}, th long, {ANCHORS}"), "anchors")
-    cores = seen.groupBy("core").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("n > 1")
-    cores = written(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "cores")  # a plain join follows, whose large partitions Spark splits
-    hits = written(seen.join(cores, "core"), "hits")
-    whole = hits.where("alike").select("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("size")).cast("long").alias("high"))
-    mixed = hits.where("not alike").drop("alike")
-    classes = written(mixed.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.coalesce(F.hash("id", "th", "start"), F.lit(0))).alias("pick")), "classes")
-    spread = classes.groupBy("core").agg((F.count("*") > hot).alias("hot"))
-    classes = written(classes.join(spread, "core"), "classes")
-    judged = written(mixed.join(classes, ["core", "ctx"]), "judged")
-    copies = judged.where("n > 1").select("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("size")).cast("long").alias("high"))
-    wanted = judged.where((F.col("n") == 1) | (F.hash("id", "th", "start") == F.col("pick")))
-    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("hot", "start", "before", "size")).alias("wanted"))
-    texts = docs.where(where)
-    named = asked.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
-    fetched = texts.join(named, texts["id"].eqNullSafe(named["__id"]) & (texts["th"] == named["__th"])).select("id", "th", "text", "wanted")
-    contexts = written(fetched.mapInArrow(tidy(_contexts), f"id {kind}, th long, lead binary, hot boolean, start int, before int, context binary"), "contexts")
-    cool, warm = contexts.where("not hot"), contexts.where("hot")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(contexts.count() / BUCKET_ROWS))
+    where = F.octet_length("text") >= (scheme.length if scheme.unit == 1 else 2 * scheme.length - 1)
     spans = f"id {kind}, th long, low long, high long"
-    compared = cool.repartitionByRange(buckets, "lead").mapInArrow(tidy(_bucket), spans)
-    strings = written(warm.mapInArrow(_strings, f"id {kind}, th long, h1 long, h2 long, low long, high long"), "strings")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = strings.join(twice, ["h1", "h2"]).select("id", "th", "low", "high")
-    return whole.unionByName(copies).unionByName(written(compared, "compared")).unionByName(counted)
+    document = F.xxhash64("id", "th")
+    whole_context = ("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.col("size")).cast("long").alias("high"))
+    several = F.min(document) != F.max(document) if scheme.across else F.count("*") > 1
+    with Scope() as tables:
+        seen = written(docs.where(where).mapInArrow(tidy(_scan(scheme)), f"id {kind}, th long, {ANCHORS}"), "anchors")
+        cores = seen.groupBy("core").agg(several.alias("twice"), (F.min("ctx") == F.max("ctx")).alias("alike")).where("twice")
+        cores = written(cores.select("core", "alike"), "cores")  # a plain join follows, whose large partitions Spark splits
+        hits = written(seen.join(cores, "core"), "hits")
+        tables.drop(seen, cores)
+        whole, mixed = hits.where("alike").select(*whole_context), hits.where("not alike").drop("alike")
+        place = F.coalesce(F.hash("id", "th", "start"), F.lit(0))
+        contexts = written(mixed.groupBy("core", "ctx").agg(several.alias("shared"), F.count("*").alias("n"), F.min(place).alias("pick")), "classes")
+        spread = contexts.groupBy("core").agg((F.sum(F.when(F.col("shared"), 1).otherwise(F.col("n"))) > hot).alias("hot"))
+        classes = written(contexts.drop("n").join(spread, "core"), "classes")
+        judged = written(mixed.join(classes, ["core", "ctx"]), "judged")
+        copies = judged.where("shared").select(*whole_context)
+        wanted = judged.where(~F.col("shared") | (place == F.col("pick")))
+        asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("hot", "shared", "start", "before", "size")).alias("wanted"))
+        texts = docs.where(where)
+        named = asked.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
+        fetched = texts.join(named, texts["id"].eqNullSafe(named["__id"]) & (texts["th"] == named["__th"])).select("id", "th", "text", "wanted")
+        bytes_of = written(fetched.mapInArrow(tidy(_contexts(scheme)), f"id {kind}, th long, lead binary, hot boolean, shared boolean, start int, before int, context binary"), "contexts")
+        cool, warm = bytes_of.where("not hot"), bytes_of.where("hot")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_of.count() / BUCKET_ROWS))
+        compared = cool.repartitionByRange(buckets, "lead").sortWithinPartitions("lead").mapInArrow(tidy(_bucket(scheme)), spans)
+        strings = written(warm.mapInArrow(_strings(scheme), f"id {kind}, th long, shared boolean, h1 long, h2 long, low long, high long"), "strings")
+        more = F.max("shared") | (F.min(document) != F.max(document)) if scheme.across else F.count("*") > 1
+        twice = strings.groupBy("h1", "h2").agg(more.alias("more")).where("more").drop("more")
+        counted = strings.join(twice, ["h1", "h2"]).select("id", "th", "low", "high")
+        return tables.keep(written(whole.unionByName(copies).unionByName(compared).unionByName(counted), "spans"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +391,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_kept: bool = True) -> DataFrame:
-    """One row per row of ``df``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (the bytes that stay)."""
+    """One row per row of ``df``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_passage_words`` (words under strings
+    of 51 words that another document holds too; they are counted, not removed) and, if asked for, ``kept`` (the bytes that stay)."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs, hot).groupBy("id", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    each = [repeated_spans(docs, scheme, hot).withColumn("words", F.lit(scheme.unit > 1)) for scheme in (PASSAGES, BYTES)]
+    spans = each[0].unionByName(each[1]).groupBy("id", "th").agg(F.collect_list(F.struct("words", "low", "high")).alias("spans"))
     named = spans.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     joined = docs.join(named, docs["id"].eqNullSafe(named["__id"]) & (docs["th"] == named["__th"]), "left").select("id", "text", "spans")
     kind = df.schema[id_col].dataType.simpleString()
