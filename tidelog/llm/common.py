@@ -79,7 +79,7 @@ class Scope:
 
     def keep(self, df: DataFrame) -> DataFrame:
         found = self.paths.pop(id(df))
-        if (outer := self.before.old_value) not in (None, contextvars.Token.MISSING):
+        if isinstance(outer := self.before.old_value, Scope):
             outer.paths[id(df)] = found
         return df
 

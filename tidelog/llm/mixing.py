@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, written
+from tidelog.llm.common import WORD, Scope, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -78,6 +78,16 @@ def thresholds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
 
     ``sizes`` has source, size and h (a small table; text is not read here). Returns the number of sources too.
     """
+    with Scope() as tables:
+        found, n = _edges(sizes, weights, most, share)
+        found = tables.keep(written(found, "thresholds"))
+    nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")
+    everything = F.when(F.col("source_size") > 0, F.lit(2 ** (BITS * LEVELS))).otherwise(0)
+    return found.select("source", "source_size", "target", "copies", "skipped", F.coalesce(F.col("prefix") + nearer.cast("long"), everything).alias("below")), n
+
+
+def _edges(sizes: DataFrame, weights: Sequence[int], most: int, share: float) -> tuple[DataFrame, int]:
+    """One row per source with the last bucket that the searches have come to."""
     sources = written(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share), "targets")
     n = sources.count()
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -98,9 +108,7 @@ def thresholds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
             found = written(found, "edges")
         if turn < ROUNDS - 1:
             found = found.withColumn("skipped", F.when(F.col("prefix").isNotNull(), F.array_append("skipped", F.col("prefix"))).otherwise(F.col("skipped")))
-    nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")
-    everything = F.when(F.col("source_size") > 0, F.lit(2 ** (BITS * LEVELS))).otherwise(0)
-    return found.select("source", "source_size", "target", "copies", "skipped", F.coalesce(F.col("prefix") + nearer.cast("long"), everything).alias("below")), n
+    return found, n
 
 
 def times_taken() -> Column:

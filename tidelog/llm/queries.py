@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat, langid, media, mixing, neardup, pii, quality, substrings, toxicity
-from tidelog.llm.common import fold
+from tidelog.llm.common import Scope, fold
 from tidelog.llm.sampling import labelled_sample
 
 
@@ -33,7 +33,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    with Scope():
+        model = langid.fit(docs.select("doc_id", "text", "lang"))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
@@ -60,7 +61,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on labelled documents outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.fit(labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.SAMPLE_ROWS))
+    with Scope():
+        return toxicity.fit(labelled_sample(table(spark, sf_dir, "documents"), labels, "toxic", toxicity.SAMPLE_ROWS))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
