@@ -1,4 +1,4 @@
-"""Queries over codecs and streams; SQL has no counterpart for them, so the rows are checked in the tests."""
+"""Queries over codecs, files, the store and streams. SQL has no counterpart for the formats, but says which rows come back."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codecs, records
 from tidelog.operators import reserve
+from tidelog.operators.fetch import visible
 from tidelog.plans import derived
 from tidelog.schemas import struct_of
 from tidelog.sources import files
+from tidelog.store import Limits, LogStore
 from tidelog.streaming import operators as streaming
 
 FRAME_COLUMNS = ("request_id", "batch_id", "event_id", "transaction_id", "chunk_sequence", "first_offset", "last_offset", "record_count", "virtual_lane_id", "ring_epoch", "leader_epoch", "sequence", "payload")
@@ -79,6 +81,58 @@ def record_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.decode_records(encoded, "payload", keep=["partition_id", "batch_id"]).select("partition_id", "batch_id", "record_offset", F.col("record_value").cast("string").alias("value"), "producer_sequence")
 
 
+def pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as extents in pack files of their lanes, read back with their checksums by the pack source."""
+    stored = _stored(spark, sf_dir).withColumnsRenamed({"virtual_lane_id": "lane"})
+    sized = stored.select("lane", "partition_id", F.col("batch_id").cast("long").alias("batch_id"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    packs = reserve.packs(sized, derived.PACK_BYTES).withColumn("batch_id", F.col("batch_id").cast("string"))
+    rows = stored.join(packs.select("lane", "partition_id", "batch_id", "pack_sequence"), ["lane", "partition_id", "batch_id"])
+    columns = ("topic_id", "partition_id", "batch_id", "transaction_id", "chunk_sequence", "first_offset", "last_offset", "record_count", "ring_epoch", "leader_epoch", "sequence", "payload")
+    folder = scratch(spark, "packs")
+    files.write_packs(rows.select(F.col("lane").cast("int").alias("lane"), "pack_sequence", F.col("lane").alias("virtual_lane_id"), *columns), folder).collect()  # a row per pack
+    files.register(spark)
+    found = spark.read.format("extentlog").option("path", folder).load()
+    return found.select(F.col("placement.virtual_lane_id").cast("int").alias("lane"), "pack_sequence", F.col("partition_id").cast("int").alias("partition_id"), F.col("batch_id").cast("long").alias("batch_id"), "first_offset", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def journal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as truncations in one journal, read back with their checksums by the journal source."""
+    rows = derived.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    folder = scratch(spark, "journal")
+    target, root = files._open(folder)
+    target.create_dir(root, recursive=True)
+    with target.open_output_stream(f"{root}/control.ssj") as out:
+        for r in rows:
+            out.write(codecs.encode_event({"kind": "truncate", "topic_id": str(r["n_nationkey"]), "partition_id": r["n_regionkey"], "log_start": r["n_nationkey"] * 10}))
+    files.register(spark)
+    return spark.read.format("journallog").option("path", folder).load().select("event_no", "kind", "topic_id", F.col("partition_id").cast("long").alias("partition_id"), "log_start")
+
+
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the record batches of each log partition, as their scan counts them."""
+    rows = record_batch_scan(spark, sf_dir)
+    return rows.groupBy("partition_id").agg(F.count("*").alias("records"), F.countDistinct("batch_id").alias("batches"))
+
+
+def store_append_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended to a new log store, and read back as committed batches with their payloads' digests."""
+    log = LogStore(spark, scratch(spark, "store"), Limits(max_batch_bytes=1 << 30))
+    log.create_topic("1", 2, [0, 1, 2])
+    docs = derived.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("partition_id"), F.col("doc_id").alias("arrival_seq"), F.lit(1).alias("record_count"), F.coalesce("text", F.lit("")).alias("payload"))
+    log.append("1", docs)
+    rows = visible(log.batches("1"), log.watermarks("1"))
+    return rows.select("partition_id", "batch_id", "first_offset", "lane", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def stream_producer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Producers' appends as a stream: each gets the outcome that the batch operator gives it."""
+    appends = derived.appends(spark, sf_dir)
+    source, sink = scratch(spark, "appends"), scratch(spark, "judged")
+    appends.repartitionByRange(2, "arrival_seq").write.parquet(source)
+    streaming.run_to_end(streaming.judged(spark.readStream.schema(appends.schema).parquet(source)), sink, scratch(spark, "state"))
+    return spark.read.parquet(sink)
+
+
 def stream_sequencer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as live requests: the stream hands out the offsets that the batch operator does."""
     docs = derived.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("partition_id"), F.col("doc_id").alias("arrival_seq"), (1 + F.col("doc_id") % 5).alias("record_count"))
@@ -104,5 +158,5 @@ _CURSOR_ROWS = struct_of("partition_id bigint, next_offset bigint")
 
 
 def queries() -> dict:
-    own = [frame_roundtrip, extent_roundtrip, cursor_roundtrip, record_batch_scan, stream_sequencer, stream_reorder]
+    own = [frame_roundtrip, extent_roundtrip, cursor_roundtrip, record_batch_scan, record_counts, pack_scan, journal_scan, store_append_read, stream_sequencer, stream_reorder, stream_producer_check]
     return {f.__name__: f for f in own}

@@ -25,12 +25,31 @@ U64_MAX, U128_MAX = str(2**64 - 1), str(2**128 - 1)
 #: Engine errors and the status that HTTP, RPC and record-protocol callers get. Fixed values.
 ERROR_STATUS = {
     "InvalidConfig": (400, "INVALID_ARGUMENT", "INVALID_REQUEST"),
-    "TopicAlreadyExists": (409, "ALREADY_EXISTS", "TOPIC_ALREADY_EXISTS"),
     "UnknownPartition": (404, "NOT_FOUND", "UNKNOWN_TOPIC_OR_PARTITION"),
+    "UnknownShard": (409, "NOT_FOUND", "UNKNOWN_TOPIC_OR_PARTITION"),
+    "UnknownAtomicGroup": (409, "NOT_FOUND", "INVALID_REQUEST"),
+    "TopicAlreadyExists": (409, "FAILED_PRECONDITION", "TOPIC_ALREADY_EXISTS"),
+    "AdmissionLimited": (503, "UNAVAILABLE", "THROTTLING_QUOTA_EXCEEDED"),
+    "ReplicaReorderLimited": (409, "UNAVAILABLE", "THROTTLING_QUOTA_EXCEEDED"),
+    "ReplicaBufferLimited": (409, "UNAVAILABLE", "THROTTLING_QUOTA_EXCEEDED"),
+    "ReplicaInFlight": (503, "UNAVAILABLE", "THROTTLING_QUOTA_EXCEEDED"),
+    "WorkerStopped": (503, "UNAVAILABLE", "NOT_ENOUGH_REPLICAS"),
+    "DurabilityUnavailable": (503, "UNAVAILABLE", "NOT_ENOUGH_REPLICAS_AFTER_APPEND"),
+    "ObjectDurabilityUnavailable": (503, "UNAVAILABLE", "NOT_ENOUGH_REPLICAS"),
+    "UnsupportedDurability": (409, "UNIMPLEMENTED", "UNSUPPORTED_VERSION"),
     "OffsetOutOfRange": (416, "OUT_OF_RANGE", "OFFSET_OUT_OF_RANGE"),
-    "AdmissionLimited": (429, "RESOURCE_EXHAUSTED", "THROTTLING_QUOTA_EXCEEDED"),
+    "RetentionPinned": (409, "FAILED_PRECONDITION", "POLICY_VIOLATION"),
     "Fenced": (409, "FAILED_PRECONDITION", "NOT_LEADER_OR_FOLLOWER"),
-    "DurabilityUnavailable": (503, "UNAVAILABLE", "NOT_ENOUGH_REPLICAS"),
+    "StaleProducerEpoch": (409, "FAILED_PRECONDITION", "INVALID_PRODUCER_EPOCH"),
+    "ProducerSequenceOutOfOrder": (409, "FAILED_PRECONDITION", "OUT_OF_ORDER_SEQUENCE_NUMBER"),
+    "ProducerRequiresNewEpoch": (409, "FAILED_PRECONDITION", "OUT_OF_ORDER_SEQUENCE_NUMBER"),
+    "DuplicateSequenceMismatch": (409, "FAILED_PRECONDITION", "OUT_OF_ORDER_SEQUENCE_NUMBER"),
+    "AtomicGroupFinalized": (409, "FAILED_PRECONDITION", "INVALID_REQUEST"),
+    "AtomicGroupSequenceOutOfOrder": (409, "FAILED_PRECONDITION", "INVALID_REQUEST"),
+    "AtomicGroupChunkMismatch": (409, "FAILED_PRECONDITION", "INVALID_REQUEST"),
+    "Sequencer": (409, "FAILED_PRECONDITION", "INVALID_REQUEST"),
+    "CorruptState": (500, "INTERNAL", "UNKNOWN_SERVER_ERROR"),
+    "Storage": (500, "INTERNAL", "UNKNOWN_SERVER_ERROR"),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.values import ERROR_STATUS
+from tidelog.operators.prefix import running_max
 
 #: The states of a node and where each may go. Fixed values.
 LIFECYCLE = {
@@ -48,6 +49,37 @@ def duplicate_follow_up(durability: str, copies: int, needed: int, offloaded: bo
     return "receipt" if copies >= needed else "replicate"
 
 
+def duplicate_follow_ups(duplicates: DataFrame) -> DataFrame:
+    """``duplicates`` (durability, durable_replicas, replication_factor, min_isr, object_durable, transport) with ``follow_up``.
+
+    A repeated append gets its first receipt, more copies first (replicate), or an error: its pack is not offloaded, or copies are
+    missing and nothing can make them.
+    """
+    needed = required_followers(F.col("durability"), F.col("replication_factor"), F.col("min_isr")) + 1
+    pending = F.col("transport") & F.col("durability").isin("leader", "object") & (F.col("durable_replicas") < F.col("replication_factor"))
+    follow_up = (
+        F.when((F.col("durability") == "object") & ~F.col("object_durable"), "ObjectDurabilityUnavailable")
+        .when((F.col("durable_replicas") >= needed) & ~pending, "receipt")
+        .when(~F.col("transport"), "DurabilityUnavailable")
+        .otherwise("replicate")
+    )
+    return duplicates.withColumn("follow_up", follow_up)
+
+
+def placed(partitions: DataFrame, assignments: DataFrame, broker: int) -> DataFrame:
+    """``partitions`` with leader, replicas, leader_epoch and ``role`` of a broker: leader, follower, none, or unassigned."""
+    joined = partitions.join(assignments, ["topic_id", "partition_id"], "left")
+    role = F.when(F.col("leader").isNull(), "unassigned").when(F.col("leader") == broker, "leader").when(F.array_contains("replicas", broker), "follower").otherwise("none")
+    return joined.withColumn("role", role)
+
+
+def observed_epochs(reports: DataFrame, order: str = "report_no", keys: tuple[str, ...] = ("partition_id",)) -> DataFrame:
+    """Reported leader epochs in order, with ``current``, the epoch after each, and ``outcome``: an epoch behind the current one is Fenced."""
+    before = running_max(reports, list(keys), order, "leader_epoch", "__before")
+    outcome = F.when(F.col("leader_epoch") < F.col("__before"), "Fenced").otherwise("accepted")
+    return before.withColumns({"outcome": outcome, "current": F.greatest("leader_epoch", "__before")}).drop("__before")
+
+
 def hosted(partitions: DataFrame, assignments: DataFrame, broker: int, leaders_only: bool = False) -> DataFrame:
     """The partitions that a broker has a replica of, or leads."""
     mine = F.col("leader") == broker if leaders_only else F.array_contains("replicas", broker)

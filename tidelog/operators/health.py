@@ -91,3 +91,12 @@ def throughput(df: DataFrame, seconds: float) -> DataFrame:
 def backlog(jobs: DataFrame) -> DataFrame:
     """One row: jobs waiting, their bytes, and the oldest."""
     return jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("queued_at").alias("oldest"))
+
+
+def request_counters(requests: DataFrame) -> DataFrame:
+    """One row: requests, errors, and batches and bytes appended and fetched, over requests (kind append or fetch, error, batches, bytes)."""
+    good = F.col("error").isNull()
+    total = lambda kind, c: F.coalesce(F.sum(F.when(good & (F.col("kind") == kind), F.col(c))), F.lit(0)).cast("long")
+    return requests.agg(
+        F.count("*").alias("requests"), F.count("error").alias("errors"), total("append", "batches").alias("appended_batches"), total("append", "bytes").alias("appended_bytes"), total("fetch", "batches").alias("fetched_batches"), total("fetch", "bytes").alias("fetched_bytes")
+    )

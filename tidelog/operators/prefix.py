@@ -31,6 +31,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
     return out.drop("__block", *[f"__{p}_{n}" for n in sums for p in "vb"])
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int = BLOCK) -> DataFrame:
+    """``df`` with ``name``, the greatest value of the earlier rows of the partition; null for the first."""
+    cut = df.withColumn("__block", _block(order, width))
+    tops = cut.groupBy(*keys, "__block").agg(F.max(value).alias("__top"))
+    along = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*keys, "__block", F.max("__top").over(along).alias("__upto"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(before, [*keys, "__block"]).withColumn(name, F.greatest("__upto", F.max(value).over(inside))).drop("__block", "__upto")
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], width: int = BLOCK) -> DataFrame:
     """``df`` with ``previous``, a struct of ``columns`` of the row before in the partition; null for the first row."""
     row = F.struct(*columns)

@@ -98,6 +98,23 @@ def packs(df: DataFrame, target: int, order: Sequence[str] = ("batch_id", "parti
     return segments(framed, "lane", order, "__frame", target, "pack_sequence", columns)
 
 
+#: Extents that one write takes, and writes that one synchronisation covers. Fixed values.
+WRITE_EXTENTS, SYNC_WRITES = 128, 8
+
+
+def sync_groups(df: DataFrame, lane: str, order: str) -> DataFrame:
+    """A lane's waiting extents, in order (a number that never repeats), with ``write_group`` and ``sync``: extents are written in groups and groups synchronised together."""
+    numbered = running_sums(df, [lane], order, {"__n": F.lit(1)})
+    group = F.floor(F.col("__n") / WRITE_EXTENTS).cast("long")
+    return numbered.withColumn("write_group", group).withColumn("sync", F.floor(F.col("write_group") / SYNC_WRITES).cast("long")).drop("__n")
+
+
+def sealed_packs(packs: DataFrame, now: Column, max_age: int) -> DataFrame:
+    """``packs`` (lane, pack_sequence, opened) with ``sealed``: all but a lane's last, and the last one too when it is old enough."""
+    last = packs.groupBy("lane").agg(F.max("pack_sequence").alias("__active"))
+    return packs.join(last, "lane").withColumn("sealed", (F.col("pack_sequence") < F.col("__active")) | (now - F.col("opened") >= max_age)).drop("__active")
+
+
 def producer_gaps(df: DataFrame, keys: Sequence[str], first: str, count: str) -> DataFrame:
     """Rows that do not begin where the row before of the producer ends, with ``expected``."""
     from tidelog.operators.prefix import with_previous

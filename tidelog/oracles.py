@@ -218,9 +218,34 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN CA
   CASE WHEN length(k) % 2 = 0 THEN k END AS hex, NOT (o_orderkey % 2 <> 0 AND o_orderkey % 7 = 0) AS producer_complete FROM n""",
     "frame_roundtrip": STORED + "SELECT doc_id, CAST(batch_id AS VARCHAR) AS batch_id, batch_id AS first_offset, batch_id AS last_offset, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS VARCHAR) END AS transaction_id, sha256(text) AS payload_sha256 FROM stored",
     "extent_roundtrip": STORED + "SELECT doc_id, CAST(batch_id AS VARCHAR) AS batch_id, batch_id AS first_offset, CAST(strlen(text) AS BIGINT) AS payload_bytes, sha256(text) AS payload_sha256 FROM stored",
-    "record_batch_scan": LOG + "SELECT r.partition_id, CAST(log_offset // 5 AS BIGINT) AS batch_id, CAST(log_offset AS BIGINT) AS record_offset, props AS value, CAST(log_offset AS BIGINT) AS producer_sequence FROM records r JOIN events USING (event_id)",
+    "record_batch_scan": LOG + "SELECT r.partition_id, CAST(log_offset // 5 AS BIGINT) AS batch_id, CAST(log_offset AS BIGINT) AS record_offset, props AS value, CAST(log_offset AS INTEGER) AS producer_sequence FROM records r JOIN events USING (event_id)",
     "stream_sequencer": """WITH r AS (SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS partition_id, 1 + doc_id % 5 AS n FROM documents), w AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY partition_id ORDER BY doc_id) - 1 AS BIGINT) AS batch_id, CAST(sum(n) OVER (PARTITION BY partition_id ORDER BY doc_id) AS BIGINT) AS upto FROM r
 ) SELECT partition_id, doc_id AS arrival_seq, batch_id, upto - n AS first_offset, upto - 1 AS last_offset FROM w""",
     "stream_reorder": LOG + "SELECT partition_id, batch_id, CAST(e0 AS VARCHAR) AS payload, 'released' AS outcome FROM batches",
+    "error_status": """SELECT kind, CASE WHEN kind = 'InvalidConfig' THEN 400 WHEN kind = 'UnknownPartition' THEN 404 WHEN kind = 'OffsetOutOfRange' THEN 416 WHEN kind IN ('AdmissionLimited', 'WorkerStopped', 'DurabilityUnavailable', 'ObjectDurabilityUnavailable', 'ReplicaInFlight') THEN 503 WHEN kind IN ('CorruptState', 'Storage') THEN 500 ELSE 409 END AS http,
+  CASE WHEN kind = 'InvalidConfig' THEN 'INVALID_ARGUMENT' WHEN kind LIKE 'Unknown%' THEN 'NOT_FOUND' WHEN kind IN ('AdmissionLimited', 'ReplicaReorderLimited', 'ReplicaBufferLimited', 'ReplicaInFlight', 'WorkerStopped', 'DurabilityUnavailable', 'ObjectDurabilityUnavailable') THEN 'UNAVAILABLE'
+    WHEN kind = 'OffsetOutOfRange' THEN 'OUT_OF_RANGE' WHEN kind = 'UnsupportedDurability' THEN 'UNIMPLEMENTED' WHEN kind IN ('CorruptState', 'Storage') THEN 'INTERNAL' ELSE 'FAILED_PRECONDITION' END AS rpc,
+  CASE WHEN kind IN ('UnknownPartition', 'UnknownShard') THEN 'UNKNOWN_TOPIC_OR_PARTITION' WHEN kind IN ('AdmissionLimited', 'ReplicaReorderLimited', 'ReplicaBufferLimited', 'ReplicaInFlight') THEN 'THROTTLING_QUOTA_EXCEEDED' WHEN kind IN ('WorkerStopped', 'ObjectDurabilityUnavailable') THEN 'NOT_ENOUGH_REPLICAS'
+    WHEN kind = 'DurabilityUnavailable' THEN 'NOT_ENOUGH_REPLICAS_AFTER_APPEND' WHEN kind = 'OffsetOutOfRange' THEN 'OFFSET_OUT_OF_RANGE' WHEN kind = 'RetentionPinned' THEN 'POLICY_VIOLATION' WHEN kind = 'StaleProducerEpoch' THEN 'INVALID_PRODUCER_EPOCH'
+    WHEN kind IN ('ProducerSequenceOutOfOrder', 'ProducerRequiresNewEpoch', 'DuplicateSequenceMismatch') THEN 'OUT_OF_ORDER_SEQUENCE_NUMBER' WHEN kind = 'Fenced' THEN 'NOT_LEADER_OR_FOLLOWER' WHEN kind = 'UnsupportedDurability' THEN 'UNSUPPORTED_VERSION' WHEN kind = 'TopicAlreadyExists' THEN 'TOPIC_ALREADY_EXISTS'
+    WHEN kind IN ('CorruptState', 'Storage') THEN 'UNKNOWN_SERVER_ERROR' ELSE 'INVALID_REQUEST' END AS protocol
+FROM (SELECT unnest(['InvalidConfig', 'UnknownPartition', 'UnknownShard', 'UnknownAtomicGroup', 'TopicAlreadyExists', 'AdmissionLimited', 'ReplicaReorderLimited', 'ReplicaBufferLimited', 'ReplicaInFlight', 'WorkerStopped', 'DurabilityUnavailable', 'ObjectDurabilityUnavailable', 'UnsupportedDurability', 'OffsetOutOfRange', 'RetentionPinned', 'Fenced',
+  'StaleProducerEpoch', 'ProducerSequenceOutOfOrder', 'ProducerRequiresNewEpoch', 'DuplicateSequenceMismatch', 'AtomicGroupFinalized', 'AtomicGroupSequenceOutOfOrder', 'AtomicGroupChunkMismatch', 'Sequencer', 'CorruptState', 'Storage']) AS kind)""",
+    "sync_groups": DOCS + "SELECT lane, partition_id, batch_id, CAST((rn - 1) // 128 AS BIGINT) AS write_group, CAST((rn - 1) // 1024 AS BIGINT) AS sync FROM laned",
+    "sealed_packs": DOCS + """, p AS (SELECT lane, pack_sequence, min(batch_id) AS opened FROM fold GROUP BY 1, 2)
+SELECT lane, pack_sequence, opened, pack_sequence < max(pack_sequence) OVER (PARTITION BY lane) OR (SELECT max(batch_id) FROM fold) - opened >= 20 AS sealed FROM p""",
+    "duplicate_follow_ups": LOG + """SELECT partition_id, batch_id, ['leader', 'quorum', 'all_replicas', 'object'][batch_id % 4 + 1] AS durability,
+  CASE WHEN batch_id % 4 = 3 AND batch_id % 3 <> 0 THEN 'ObjectDurabilityUnavailable' WHEN batch_id % 5 = 0 THEN CASE WHEN durable_replicas >= [1, 2, 3, 1][batch_id % 4 + 1] THEN 'receipt' ELSE 'DurabilityUnavailable' END
+    WHEN durable_replicas >= [3, 2, 3, 3][batch_id % 4 + 1] THEN 'receipt' ELSE 'replicate' END AS follow_up FROM batches""",
+    "partition_roles": LOG + "SELECT DISTINCT '1' AS topic_id, partition_id, CASE WHEN partition_id <> 3 THEN partition_id END AS leader, CASE WHEN partition_id <> 3 THEN CAST(partition_id + 10 AS BIGINT) END AS leader_epoch, ['none', 'follower', 'leader', 'unassigned'][partition_id + 1] AS role FROM batches",
+    "observed_leader_epochs": """WITH r AS (SELECT event_id AS report_no, CAST(user_id % 4 AS INTEGER) AS partition_id, event_id // 50 - CASE WHEN event_id % 17 = 3 THEN 2 ELSE 0 END AS epoch FROM events), m AS (SELECT *, max(epoch) OVER (PARTITION BY partition_id ORDER BY report_no) AS top FROM r)
+SELECT report_no, partition_id, CASE WHEN epoch < top THEN 'Fenced' ELSE 'accepted' END AS outcome, top AS current FROM m""",
+    "request_counters": LOG + "SELECT count(*) AS requests, count(*) FILTER (status = 'aborted') AS errors, count(*) FILTER (status <> 'aborted' AND batch_id % 2 = 0) AS appended_batches, CAST(coalesce(sum(payload_bytes) FILTER (status <> 'aborted' AND batch_id % 2 = 0), 0) AS BIGINT) AS appended_bytes, count(*) FILTER (status <> 'aborted' AND batch_id % 2 = 1) AS fetched_batches, CAST(coalesce(sum(payload_bytes) FILTER (status <> 'aborted' AND batch_id % 2 = 1), 0) AS BIGINT) AS fetched_bytes FROM batches",
+    "batch_transitions": LOG + "SELECT partition_id, status, CASE WHEN status = 'aborted' THEN 'aborted' ELSE 'committed' END AS after, CAST(count(*) AS BIGINT) AS batches FROM batches GROUP BY 1, 2, 3",
+    "record_counts": LOG + "SELECT partition_id, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT log_offset // 5) AS BIGINT) AS batches FROM records GROUP BY 1",
+    "pack_scan": DOCS + ", texts AS (SELECT CAST(doc_id % 2 AS INTEGER) AS partition_id, CAST(row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS BIGINT) AS batch_id, sha256(coalesce(text, '')) AS payload_sha256 FROM documents) SELECT lane, pack_sequence, partition_id, batch_id, batch_id AS first_offset, payload_sha256 FROM fold JOIN texts USING (partition_id, batch_id)",
+    "journal_scan": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS event_no, 'truncate' AS kind, CAST(n_nationkey AS VARCHAR) AS topic_id, CAST(n_regionkey AS BIGINT) AS partition_id, CAST(n_nationkey * 10 AS BIGINT) AS log_start FROM nation",
+    "store_append_read": STORED + "SELECT CAST(doc_id % 2 AS INTEGER) AS partition_id, batch_id, batch_id AS first_offset, CAST(batch_id % 3 AS INTEGER) AS lane, sha256(text) AS payload_sha256 FROM stored",
+    "stream_producer_check": APPENDS + "SELECT producer_id, arrival_seq, outcome FROM judged",
 }

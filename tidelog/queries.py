@@ -401,6 +401,58 @@ def request_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", unsigned(text, 64).alias("number"), F.lower(F.hex(hex_bytes(F.col("k")))).alias("hex"), producer_complete(*given).alias("producer_complete"))
 
 
+def error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.error_status(spark)
+
+
+def sync_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents waiting in their lanes, by the write and the synchronisation that make them durable."""
+    rows = derived.doc_batches(spark, sf_dir).select("lane", "partition_id", "batch_id", (F.col("batch_id") * 2 + F.col("partition_id")).alias("place"))
+    return reserve.sync_groups(rows, "lane", "place").drop("place")
+
+
+def sealed_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs at the time of the last batch: full ones are sealed, and a lane's last one if it was opened 20 batches ago or more."""
+    extents = derived.packs(spark, sf_dir)
+    opened = extents.groupBy("lane", "pack_sequence").agg(F.min("batch_id").alias("opened"))
+    now = extents.agg(F.max("batch_id").alias("now"))
+    return reserve.sealed_packs(opened, now.scalar(), 20)
+
+
+def duplicate_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repeat of every batch gets, of the four durabilities in turn, with and without a way to make copies."""
+    b = F.col("batch_id")
+    kind = F.element_at(F.array(*map(F.lit, ("leader", "quorum", "all_replicas", "object"))), (b % 4 + 1).cast("int"))
+    rows = derived.batches(spark, sf_dir).select("partition_id", "batch_id", "durable_replicas", kind.alias("durability"), F.lit(3).alias("replication_factor"), F.lit(2).alias("min_isr"), (b % 3 == 0).alias("object_durable"), (b % 5 != 0).alias("transport"))
+    return admission.duplicate_follow_ups(rows).select("partition_id", "batch_id", "durability", "follow_up")
+
+
+def partition_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What broker 2 is to each partition."""
+    parts = recovered_partitions(spark, sf_dir)
+    assigned = parts.where("partition_id <> 3").select("topic_id", "partition_id", F.array(F.col("partition_id"), F.col("partition_id") + 1).alias("replicas"), F.col("partition_id").alias("leader"), (F.col("partition_id") + 10).cast("long").alias("leader_epoch"))
+    return admission.placed(parts, assigned, 2).select("topic_id", "partition_id", "leader", "leader_epoch", "role")
+
+
+def observed_leader_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reports of leader epochs that now and then fall back."""
+    e = F.col("event_id")
+    reports = derived.table(spark, sf_dir, "events").select(e.alias("report_no"), (F.col("user_id") % 4).cast("int").alias("partition_id"), (F.floor(e / 50) - F.when(e % 17 == 3, 2).otherwise(0)).cast("long").alias("leader_epoch"))
+    return admission.observed_epochs(reports).select("report_no", "partition_id", "outcome", "current")
+
+
+def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as requests, appends and fetches in turn, some of which fail."""
+    rows = derived.batches(spark, sf_dir)
+    return health.request_counters(rows.select(F.when(F.col("batch_id") % 2 == 0, "append").otherwise("fetch").alias("kind"), F.when(F.col("status") == "aborted", "Fenced").alias("error"), F.lit(1).alias("batches"), F.col("payload_bytes").alias("bytes")))
+
+
+def batch_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by status now and after a move to committed: pending and unresolved ones move, others stay."""
+    rows = derived.batches(spark, sf_dir).withColumn("after", visibility.transition(F.col("status"), "committed"))
+    return rows.groupBy("partition_id", "status", "after").agg(F.count("*").alias("batches"))
+
+
 def queries() -> dict:
     from tidelog import codec_queries
 
@@ -411,6 +463,7 @@ def queries() -> dict:
         object_durable_batches, replica_progress, recovered_partitions, ring_validation, log_bounds, lane_kway_merge, cursor_pages, request_validation, topic_bindings, health_rollup, readiness_blockers,
         latency_quantiles, stage_histogram, throughput, spellings, acknowledged_batches, hosted_partitions, recovered_statuses, replication_backlog,
         producer_failures, producer_failure_progress, atomic_chunk_outcomes, group_finish_blockers, protocol_produce_checks, protocol_list_offsets, protocol_fetch_checks, protocol_fetch, protocol_metadata,
+        error_status, sync_groups, sealed_packs, duplicate_follow_ups, partition_roles, observed_leader_epochs, request_counters, batch_transitions,
         dense_index, sparse_index, replica_append_outcomes, recovery_replay, journal_violations, fenced_appends, request_values,
     ]
     return {f.__name__: f for f in own} | codec_queries.queries()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,7 @@ class JournalLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the pack source takes filters
     spark.dataSource.register(ExtentLog)
     spark.dataSource.register(JournalLog)
 
@@ -183,3 +185,23 @@ def encode_column(df: DataFrame, encode: Callable[[dict], bytes], name: str, col
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([encode(r) for r in rows], pa.binary())], out.names)
 
     return df.select(*keep, *names).mapInArrow(run, out)
+
+
+def write_packs(extents: DataFrame, folder: str) -> DataFrame:
+    """Writes (lane, pack_sequence and the columns of an extent) rows as pack files, extents by ``sequence``; returns (lane, pack_sequence, bytes) of each.
+
+    A pack is one task's file, of the size that packs are cut to, and gets its name when it is whole.
+    """
+
+    def write(key, rows):
+        lane, number = key
+        data = b"".join(map(codecs.encode_extent, rows.sort_values("sequence").astype(object).where(rows.notna(), None).to_dict("records")))
+        files, root = _open(f"{folder}/lane-{lane:05d}")
+        files.create_dir(root, recursive=True)
+        name = f"{root}/pack-{number:020d}.sse"
+        with files.open_output_stream(f"{name}.part") as out:
+            out.write(data)
+        files.move(f"{name}.part", name)
+        return pd.DataFrame([(lane, number, len(data))], columns=["lane", "pack_sequence", "bytes"])
+
+    return extents.groupBy("lane", "pack_sequence").applyInPandas(write, "lane int, pack_sequence bigint, bytes bigint")
