@@ -2,11 +2,13 @@
 
 import hashlib
 import io
+import math
 import random
 import tarfile
 import unicodedata
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyarrow import fs
@@ -128,6 +130,53 @@ def test_language_forward_sums_all_segmentations():
     assert scorer.words(["abab", "b"])[0][0] == pytest.approx(math.log(langid.forward("abab", pieces)[-1]))
 
 
+def test_language_fit_sums_over_all_cuts():
+    """One step of expectation-maximisation against every segmentation of every word."""
+    import itertools
+
+    pieces = ["a", "ab", "abc", "b", "bc", "c", "▁", "▁a", "▁abcab"]
+    words, counts = ["abc", "cab", "abcabc", "b", "bbbb", "abcab"], np.array([3.0, 1, 2, 5, 1, 4])
+    lookup = langid.Lookup(pieces)
+    p = langid.probabilities(langid.expected_counts(words, counts, lookup, None, len(pieces)))
+    prob, want, occurs = dict(zip(pieces, p, strict=True)), np.zeros(len(pieces)), np.zeros(len(pieces))
+    for word, n in zip(words, counts, strict=True):
+        marked = "▁" + word
+        cuts = []
+        for k in range(len(marked)):
+            for ends in itertools.combinations(range(1, len(marked)), k):
+                at = (0, *ends, len(marked))
+                parts = [marked[i:j] for i, j in itertools.pairwise(at)]
+                # a single character may stand as a piece or at the floor
+                for floor in itertools.product(*[(False, True) if len(x) == 1 else (False,) for x in parts]):
+                    weight = np.prod([langid.FLOOR if f else prob.get(x, 0.0) for x, f in zip(parts, floor, strict=True)])
+                    if weight:
+                        cuts.append((weight, [x for x, f in zip(parts, floor, strict=True) if not f]))
+        total = sum(w for w, _ in cuts)
+        assert langid.forward(word, prob)[-1] == pytest.approx(total)
+        for w, used in cuts:
+            for x in used:
+                want[pieces.index(x)] += n * w / total
+        for i, x in enumerate(pieces):
+            occurs[i] += n * sum(marked.startswith(x, k) for k in range(len(marked)))
+    assert langid.expected_counts(words, counts, lookup, None, len(pieces)) == pytest.approx(occurs)
+    assert langid.expected_counts(words, counts, lookup, p, len(pieces)) == pytest.approx(want)
+
+
+def test_language_long_words_and_long_pieces():
+    rng = random.Random(3)
+    model = langid.Model(("x", "y"), {"▁": (0.1, 0.1), "a": (0.2, 0.1), "b": (0.1, 0.2), "abababababab": (0.01, 1e-5), "abab": (0.05, 0.04)})
+    scorer = langid.Scorer(model)
+    words = ["ab" * n for n in (1, 5, 6, 7, 30)] + ["".join(rng.choice("ab") for _ in range(n)) for n in (20, 47, 48, 49, 300)] + ["ü" * 12]
+    for word, got in zip(words, scorer.words(words), strict=True):
+        for i in range(2):
+            assert got[i] == pytest.approx(np.log(langid.forward(word, {p: q[i] for p, q in model.pieces.items()})[-1]), rel=1e-9)
+    long = ["a" * 5000, "b" * 5000, "zq" * 4000]
+    logs = scorer.words(long)
+    assert np.isfinite(logs).all() and logs[0][0] > logs[0][1] and logs[1][1] > logs[1][0]
+    assert scorer.predict("a" * 5000)[0] == "x" and scorer.predict("b" * 5000 + " a")[0] == "y"
+    assert any(len(p) > 12 for p in langid.vocabulary())
+
+
 def test_language_store_is_bounded(monkeypatch):
     monkeypatch.setattr(langid, "CACHE", 300)
     model = langid.Model(("x", "y"), {"a": (0.1, 0.2), "b": (0.2, 0.1)})
@@ -213,3 +262,33 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit(labelled_sample(table(spark), labels, "toxic", 10))
     assert toxicity.score(table(spark), model).where("score >= 0.5").count() == 0
     assert toxicity.score(empty(spark), model).count() == 0
+
+
+def test_scores_of_equal_texts_and_clashing_columns(spark):
+    """Ties and repeated rows score alike, a column of the score's name is replaced, and other columns stay."""
+    rows = [(i, ("you idiot " if i % 3 == 0 else "you friend ") + prose(i, 12)) for i in range(60)]
+    sample = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in rows], "text string, label int")
+    model = toxicity.fit(sample)
+    df = table(spark, [*rows, (900, rows[3][1]), (901, rows[3][1].upper()), (902, None), (903, "")])
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert got[900]["score"] == got[3]["score"] == got[901]["score"] > 0.5 > got[902]["score"] == got[903]["score"]
+    assert set(got[3].asDict()) == set(df.columns) and got[3]["spans"] == "x"
+    flat = toxicity.fit(sample.where("label = 0"))
+    assert flat.terms == () and toxicity.score(df, flat).where("score >= 0.5").count() == 0
+
+
+def test_lexicon_weights_by_hand(spark):
+    """Terms, weights and the choice of starts over whole words, from plain counts of documents; long words are terms too."""
+    long = "unspeakably" * 4
+    rows = [(f"{prose(i, 8)} {long} damnable{'' if i % 2 else 'd'}", 1) for i in range(12)] + [(prose(100 + i, 8) + (" damn" if i < 2 else ""), 0) for i in range(40)]
+    model = dict(toxicity.fit(spark.createDataFrame(rows, "text string, label int")).terms)
+    held = {w: [sum(w in toxicity.stems(t) for t, y in rows if y == label) for label in (1, 0)] for t, _ in rows for w in toxicity.stems(t)}
+    for term, weight in model.items():
+        toxic, clean = held[term]
+        ratio = (toxic + 0.5) / 13 / ((clean + 0.5) / 41)
+        assert toxic >= toxicity.MIN_TOXIC and ratio >= toxicity.MIN_RATIO and weight == pytest.approx(math.log(ratio))
+    for w, (toxic, clean) in held.items():
+        likely = toxic >= toxicity.MIN_TOXIC and (toxic + 0.5) / 13 / ((clean + 0.5) / 41) >= toxicity.MIN_RATIO
+        covered = any(w[:n] + "+" in model for n in toxicity.LENGTHS if n < len(w) - 1)
+        assert (w in model) == (likely and not covered)
+    assert "damn$" not in model and long[:4] + "+" in model

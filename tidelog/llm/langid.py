@@ -1,22 +1,23 @@
 """Language identification by unigrams whose segmentations are summed out.
 
-The pieces are those of a fixed public vocabulary. Each language has a probability for every piece; a word's probability in a
-language is the sum over all ways to cut it into pieces, which a forward pass gives in one sweep, and a text's is the product
-over its words. Probabilities are fitted by expectation-maximisation (forward and backward passes) on the word counts of each language.
-
-Words are runs of letters, lowered, with the vocabulary's word-start mark before them. Counts come from at most ``SAMPLE_ROWS``
-documents with a language outside the held-out fold; of their words, at most ``TOP_WORDS`` of each language are fitted, the
-most frequent ones (words of the last count are taken together or not at all).
-Prediction reads whole texts and nothing but the text. A null text or one without a letter is ``und`` with score 0; with no language
-learned everything is ``und``.
+The pieces are those of a fixed public vocabulary that consist of letters, of any length. Each language has a probability for every
+piece; a word's probability in a language is the sum over all ways to cut it into pieces, which a forward pass gives in one sweep, and
+a text's is the product over its words. Probabilities are fitted by expectation-maximisation (forward and backward passes) on the
+word counts of each language: tasks sum the expected counts of pieces over their words, the driver gets one number per piece and language.
+
+Words are runs of letters, whole, lowered, with the vocabulary's word-start mark before them. Counts come from at most ``SAMPLE_ROWS``
+documents with a language outside the held-out fold, all of their words. Prediction reads whole texts and nothing but the text.
+
+Defined cases: a null text or one without a letter is ``und`` with score 0; with no language learned everything is ``und``; of languages
+that are equally likely the first by name is predicted; repeated rows get equal answers; columns of the input that have a computed
+column's name are replaced, others stay.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,27 +30,25 @@ from pyspark.sql import types as T
 from tidelog.llm.common import append_columns, fold, slices, tidy, written
 
 SAMPLE_ROWS = 10_000
-TOP_WORDS = 15_000
-LONGEST = 7
 ROUNDS = 4
 UNKNOWN = "und"
 START = "▁"
 #: What a character gets that is no piece, and what is added to each piece's expected count.
 FLOOR, ADDED = 1e-9, 0.01
 LETTERS = regex.compile(r"\p{L}+")
-#: Words of more letters are scored in stretches of this length, each a word of its own.
-WORD_LIMIT = 48
-CACHE = 300_000
+#: Stretches without spaces whose scores a task keeps, and their characters; the store is emptied when either is passed.
+CACHE, CACHE_CHARS = 300_000, 1 << 25
+#: Letters of words of one length that are summed at once.
+CELLS = 1 << 19
 #: Characters of texts whose words are looked up together, and words of one text that are summed at once.
 GROUP_CHARS, STRETCH = 1_000_000, 20_000
 #: ASCII marks that are no letters, stripped before a stretch is looked up.
 MARKS = ".,;:!?|&$%#*()[]<>\"'-"
-POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(LONGEST)]
 
 
 def words_of(token: str) -> list[str]:
-    """The letter runs of a stretch without spaces, lowered, long ones in stretches."""
-    return [w[i : i + WORD_LIMIT] for w in LETTERS.findall(unicodedata.normalize("NFC", token).lower()) for i in range(0, len(w), WORD_LIMIT)]
+    """The letter runs of a stretch without spaces, lowered."""
+    return LETTERS.findall(unicodedata.normalize("NFC", token).lower())
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -62,7 +61,58 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {p.lower() for p in (model.id_to_piece(i) for i in range(model.get_piece_size()))}
-    return sorted(p for p in pieces if len(p) <= LONGEST and p.removeprefix(START).isalpha())
+    return sorted(p for p in pieces if p.removeprefix(START).isalpha())
+
+
+class Lookup:
+    """Finds pieces in words of one length, all at once, by hash in one sorted table for each piece length."""
+
+    def __init__(self, pieces: Sequence[str]):
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for i, piece in enumerate(pieces):
+            by_size[len(piece)].append(i)
+        self.longest = max(by_size, default=0)
+        self.powers = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(self.longest)]
+        self.tables = {}
+        for size, ids in by_size.items():
+            codes = _codes([pieces[i] for i in ids], size)
+            keys = np.zeros(len(ids), np.uint64)
+            for k in range(size):
+                keys += (codes[:, size - 1 - k] + np.uint64(1)) * self.powers[k]
+            order = np.argsort(keys)
+            self.tables[size] = keys[order], np.array(ids, np.int64)[order]
+
+    def hits(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """size -> (word, piece, where each start's hits begin) for marked words of one length; hits come by start."""
+        m, found = len(words[0]), {}
+        codes = _codes(words, m)
+        keys = np.zeros((len(words), m + 1), np.uint64)
+        for size in range(1, min(m, self.longest) + 1):
+            keys = keys[:, 1:] + (codes[:, : m - size + 1] + np.uint64(1)) * self.powers[size - 1]
+            if size not in self.tables:
+                continue
+            known, ids = self.tables[size]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            starts, rows = np.nonzero((known[at] == keys).T)
+            found[size] = rows, ids[at[rows, starts]], np.searchsorted(starts, np.arange(m + 1))
+        return found
+
+
+def _at(hits: tuple[np.ndarray, np.ndarray, np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    rows, ids, begins = hits
+    here = slice(begins[start], begins[start + 1])
+    return rows[here], ids[here]
+
+
+def in_groups(words: Sequence[str]) -> Iterator[list[int]]:
+    """Places of words of one length, at most ``CELLS`` letters or one word in a group."""
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        by_length[len(w)].append(i)
+    for n, places in by_length.items():
+        step = max(1, CELLS // (n + 1))
+        for at in range(0, len(places), step):
+            yield places[at : at + step]
 
 
 @dataclass(frozen=True)
@@ -73,59 +123,71 @@ class Model:
 
 
 def forward(word: str, pieces: dict[str, float]) -> list[float]:
-    """alpha[i]: the summed probability of all segmentations of the first i characters of the marked word."""
+    """alpha[i]: the summed probability of all segmentations of the first i characters of the marked word, by its definition."""
     marked = START + word
     alpha = [1.0] + [0.0] * len(marked)
     for end in range(1, len(marked) + 1):
-        total = alpha[end - 1] * FLOOR
-        for start in range(max(0, end - LONGEST), end):
-            p = pieces.get(marked[start:end])
-            if p is not None:
-                total += alpha[start] * p
-        alpha[end] = total
+        alpha[end] = alpha[end - 1] * FLOOR + sum(alpha[start] * pieces.get(marked[start:end], 0.0) for start in range(end))
     return alpha
 
 
-def backward(word: str, pieces: dict[str, float]) -> list[float]:
-    marked = START + word
-    beta = [0.0] * len(marked) + [1.0]
-    for start in range(len(marked) - 1, -1, -1):
-        total = beta[start + 1] * FLOOR
-        for end in range(start + 1, min(len(marked), start + LONGEST) + 1):
-            p = pieces.get(marked[start:end])
-            if p is not None:
-                total += p * beta[end]
-        beta[start] = total
-    return beta
-
-
-def fit_language(counts: dict[str, int], pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language from its word counts."""
-    known = set(pieces)
-    seen: Counter = Counter()
-    for word, n in counts.items():  # the first guess: every piece that occurs, by its occurrences
-        marked = START + word
-        for i in range(len(marked)):
-            for j in range(i + 1, min(len(marked), i + LONGEST) + 1):
-                if marked[i:j] in known:
-                    seen[marked[i:j]] += n
-    for _ in range(rounds):
-        total = sum(seen.values()) + ADDED * len(pieces)
-        p = {piece: (c + ADDED) / total for piece, c in seen.items()}
-        expected: dict[str, float] = defaultdict(float)
-        for word, n in counts.items():
-            marked, alpha, beta = START + word, forward(word, p), backward(word, p)
-            if alpha[-1] <= 0:
-                continue
-            for i in range(len(marked)):
-                if alpha[i]:
-                    for j in range(i + 1, min(len(marked), i + LONGEST) + 1):
-                        q = p.get(marked[i:j])
-                        if q is not None:
-                            expected[marked[i:j]] += n * alpha[i] * q * beta[j] / alpha[-1]
-        seen = Counter(expected)
-    total = sum(seen.values()) + ADDED * len(pieces)
-    return {piece: (seen[piece] + ADDED) / total for piece in pieces}
+def expected_counts(words: list[str], counts: np.ndarray, lookup: Lookup, p: np.ndarray | None, n_pieces: int) -> np.ndarray:
+    """How often each piece is used in the words, over all segmentations by their probability under ``p``; without ``p``, how often it occurs.
+
+    Sums are kept as logarithms, so a long word does not vanish.
+    """
+    total = np.zeros(n_pieces)
+    for places in in_groups(words):
+        marked = [START + words[i] for i in places]
+        n, m, found = counts[places], len(marked[0]), lookup.hits(marked)
+        if p is None:
+            for rows, ids, _ in found.values():
+                total += np.bincount(ids, n[rows], n_pieces)
+            continue
+        ahead, behind = np.zeros((m + 1, len(n))), np.zeros((m + 1, len(n)))
+        for end in range(1, m + 1):
+            ratio = np.full(len(n), FLOOR)
+            for size, hits in found.items():
+                if size <= end:
+                    rows, ids = _at(hits, end - size)
+                    ratio[rows] += np.exp(ahead[end - size, rows] - ahead[end - 1, rows]) * p[ids]
+            ahead[end] = ahead[end - 1] + np.log(ratio)
+        for start in range(m - 1, -1, -1):
+            ratio = np.full(len(n), FLOOR)
+            for size, hits in found.items():
+                if start + size <= m:
+                    rows, ids = _at(hits, start)
+                    ratio[rows] += np.exp(behind[start + size, rows] - behind[start + 1, rows]) * p[ids]
+            behind[start] = behind[start + 1] + np.log(ratio)
+        for size, (rows, ids, begins) in found.items():
+            starts = np.repeat(np.arange(m), np.diff(begins))
+            share = np.exp(ahead[starts, rows] + behind[starts + size, rows] - ahead[m, rows]) * p[ids]
+            total += np.bincount(ids, n[rows] * share, n_pieces)
+    return total
+
+
+def probabilities(counts: np.ndarray) -> np.ndarray:
+    return (counts + ADDED) / (counts.sum() + ADDED * len(counts))
+
+
+def _expect(pieces: list[str], fitted):
+    """Sums of expected counts over a task's words; ``fitted``: a broadcast of each language's probabilities, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, sums = Lookup(pieces), {}
+        for batch in batches:
+            lang = batch.column(0).to_pylist()
+            words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+            for one in dict.fromkeys(lang):
+                mine = [i for i, x in enumerate(lang) if x == one]
+                p = None if fitted is None else fitted.value[one]
+                got = expected_counts([words[i] for i in mine], counts[mine], lookup, p, len(pieces))
+                sums[one] = sums[one] + got if one in sums else got
+        for one, total in sums.items():
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([one] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(total[used])], ["lang", "piece", "n"])
+
+    return run
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,69 +205,53 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None, id_co
     chosen = docs.where(taught).select(id_col).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(rows).distinct()
     sample = docs.where(taught).select(id_col, F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("lang", "text")
     counted = written(sample.mapInArrow(tidy(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    # the least count that leaves at most TOP_WORDS words of each language; no task orders a language's words
-    cuts: dict[str, int] = {}
-    left: dict[str, int] = {}
-    for r in sorted(counted.groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), key=lambda r: (r["lang"], -r["n"])):
-        lang, room = r["lang"], left.get(r["lang"], TOP_WORDS)
-        left[lang] = room - r["words"]
-        if left[lang] >= 0 or lang not in cuts:
-            cuts[lang] = r["n"]
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    if cuts:
-        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
-        for r in counted.where(F.col("n") >= cut[F.col("lang")]).collect():
-            counts[r["lang"]][r["word"]] = r["n"]
-    languages, pieces = tuple(sorted(counts)), vocabulary(path)
-    fitted = [fit_language(counts[lang], pieces) for lang in languages]
+    pieces = vocabulary(path)
+    fitted: dict[str, np.ndarray] = {}
+    used: set[int] = set()
+    for step in range(ROUNDS + 1):  # the first guess: every piece by its occurrences
+        shared = None if step == 0 else docs.sparkSession.sparkContext.broadcast(fitted)  # a number per piece and language
+        summed = counted.mapInArrow(tidy(_expect(pieces, shared)), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(pieces)))
+        for r in summed:
+            sums[r["lang"]][r["piece"]] = r["n"]
+        fitted = {lang: probabilities(c) for lang, c in sums.items()}
+        used |= {r["piece"] for r in summed}
+    languages = tuple(sorted(fitted))
     # pieces that no language has seen are left out: the characters' floor stands for them
-    used = sorted({w[i:j] for lang in languages for word in counts[lang] for w in (START + word,) for i in range(len(w)) for j in range(i + 1, min(len(w), i + LONGEST) + 1)} & set(pieces)) if languages else []
-    return Model(languages, {p: tuple(f[p] for f in fitted) for p in used})
+    return Model(languages, {pieces[i]: tuple(float(fitted[lang][i]) for lang in languages) for i in sorted(used)})
 
 
 class Scorer:
     """Log-likelihoods of texts in every language; what is kept for reuse has a bound.
 
-    The words of a batch that are not known yet are scored together: one forward sweep over all words of one length, in which
-    pieces are looked up by hash in sorted tables, one for each piece length.
+    The words of a batch that are not known yet are scored together: one forward sweep over all words of one length.
     """
 
     def __init__(self, model: Model):
-        self.model, self.row, self.used = model, {}, 0
+        self.model, self.row, self.used, self.chars = model, {}, 0, 0
         self.known = np.zeros((CACHE, len(model.languages)))
-        self.tables = []
-        for n in range(1, LONGEST + 1):
-            pieces = [p for p in model.pieces if len(p) == n]
-            keys = np.zeros(len(pieces), np.uint64)
-            codes = _codes(pieces, n)
-            for k in range(n):
-                keys = _longer(keys, codes[:, n - 1 - k], k)
-            order = np.argsort(keys)
-            table = np.array([model.pieces[p] for p in pieces], float).reshape(len(pieces), len(model.languages))
-            self.tables.append((keys[order], table[order]))
+        self.lookup = Lookup(list(model.pieces))
+        self.table = np.array(list(model.pieces.values()), float).reshape(len(model.pieces), len(model.languages))
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probabilities of distinct words, a row each."""
         out = np.zeros((len(words), len(self.model.languages)))
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            by_length[len(w)].append(i)
-        for n, places in by_length.items():
-            codes = _codes([START + words[i] for i in places], n + 1)
-            alpha = [np.ones((len(places), out.shape[1]))]
-            for end in range(1, n + 2):
-                total, key = alpha[end - 1] * FLOOR, np.zeros(len(places), np.uint64)
-                for size in range(1, min(end, LONGEST) + 1):
-                    key = _longer(key, codes[:, end - size], size - 1)
-                    keys, table = self.tables[size - 1]
-                    if not len(keys):
-                        continue
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == key)
-                    if len(hit):
-                        total[hit] += alpha[end - size][hit] * table[at[hit]]
-                alpha.append(total)
-            out[places] = np.log(np.maximum(alpha[-1], 1e-300))
+        for places in in_groups(words):
+            marked = [START + words[i] for i in places]
+            m, found = len(marked[0]), self.lookup.hits(marked)
+            alpha, scale = [np.ones((len(places), out.shape[1]))], np.zeros((len(places), out.shape[1]))
+            for end in range(1, m + 1):
+                total = alpha[-1] * FLOOR
+                for size, hits in found.items():
+                    if size <= end:
+                        rows, ids = _at(hits, end - size)
+                        if len(rows):
+                            total[rows] += alpha[-size][rows] * self.table[ids]
+                alpha = [*alpha[-self.lookup.longest + 1 :], total] if self.lookup.longest > 1 else [total]
+                if end % 8 == 0:  # sums of long words would vanish
+                    scale += np.log(total)
+                    alpha = [a / total for a in alpha]
+            out[places] = np.log(alpha[-1]) + scale
         return out
 
     def learn(self, tokens: list[str]) -> None:
@@ -220,6 +266,7 @@ class Scorer:
             self.known[self.used] = logs[[at[w] for w in words]].sum(axis=0) if len(words) != 1 else logs[at[words[0]]]
             self.row[token] = self.used
             self.used += 1
+            self.chars += len(token)
         for token, t in inner.items():
             self.row[token] = self.row[t]
 
@@ -241,9 +288,9 @@ class Scorer:
     def _known(self, tokens: list[str]) -> bool:
         missing = {t for t in tokens if t not in self.row}
         if missing:
-            if self.used + 2 * len(missing) > CACHE or len(self.row) + 2 * len(missing) > 2 * CACHE:
+            if self.used + 2 * len(missing) > CACHE or len(self.row) + 2 * len(missing) > 2 * CACHE or self.chars > CACHE_CHARS:
                 self.row.clear()
-                self.used = 0
+                self.used = self.chars = 0
                 missing = set(tokens)
             self.learn(sorted(missing))
         return True
@@ -280,11 +327,6 @@ def _codes(words: list[str], n: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
 
 
-def _longer(key: np.ndarray, code: np.ndarray, at: int) -> np.ndarray:
-    """The hash of a stretch of ``at`` characters with one more in front."""
-    return key + (code + np.uint64(1)) * POWERS[at]
-
-
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
