@@ -7,7 +7,9 @@ All terms and all exception phrases are matched in one pass; a hit inside an exc
 start at one place the weightiest counts. The sum of weights, taken by itself and for each hundred words, goes through a logistic curve.
 
 The lexicon and the curve are fitted on at most ``SAMPLE_ROWS`` labelled documents outside the held-out fold. Scores use nothing
-but the text. Null and empty texts have no hits and get the score of that; repeated rows score alike.
+but the text. Null and empty texts have no hits and get the score of that; repeated rows and ties score alike; a column of the input
+that has the score's name is replaced, others stay; without rows of both labels nothing is toxic. Of the sample, all stems that pass
+the two thresholds are terms, so the lexicon is as large as the sample makes it and no larger.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ SAMPLE_ROWS = 8_000
 LENGTHS = (4, 5, 6, 7, 8)
 #: A term is in at least so many toxic documents of the sample, and so many times likelier there than elsewhere.
 MIN_TOXIC, MIN_RATIO = 4, 12.0
-MAX_TERMS = 5_000
 #: Look-alikes of Latin letters: Cyrillic, then Greek, then digits and signs. Fixed values.
 LOOKS = dict(
     zip("аеорсухіјѕԁһӏкмтвнғб", "aeopcyxijsdhlkmtbhfb", strict=True),
@@ -49,7 +50,7 @@ def folded(text: str | None) -> str:
 def stems(text: str | None) -> set[str]:
     """The text's words of 3 letters or more, each with ``$``, and the starts of longer words, each with ``+``."""
     words = set(WORDS.findall(folded(text)))
-    return {w[:n] + "+" for n in LENGTHS for w in words if len(w) > n} | {w + "$" for w in words if 3 <= len(w) <= 24}
+    return {w[:n] + "+" for n in LENGTHS for w in words if len(w) > n} | {w + "$" for w in words if len(w) >= 3}
 
 
 @dataclass(frozen=True)
@@ -144,8 +145,7 @@ def fit(sample: DataFrame) -> Model:
     toxic = {r["stem"]: r["n"] for r in count(sample.where("label > 0")).where(F.col("n") >= MIN_TOXIC).collect()}
     clean = {r["stem"]: r["n"] for r in count(sample.where("label <= 0"), frozenset(toxic)).collect()}
     counts = [(s, n, clean.get(s, 0)) for s, n in toxic.items()]
-    likely = sorted((c for c in counts if ratio(c[1], c[2], n_toxic, n_clean) >= MIN_RATIO), key=lambda c: (-c[1], c[0]))[:MAX_TERMS]
-    terms = choose_terms(likely, n_toxic, n_clean)
+    terms = choose_terms([c for c in counts if ratio(c[1], c[2], n_toxic, n_clean) >= MIN_RATIO], n_toxic, n_clean)
     seen = append_columns(sample, "text", _FEATURES, _featurer(terms, EXCEPTIONS)).select("f0", "f1", (F.col("label") > 0).cast("int").alias("y")).collect()
     table = np.array(sorted(map(tuple, seen)), float).reshape(-1, 3)
     return Model(terms, fit_curve(table[:, :2], table[:, 2]))
