@@ -9,7 +9,8 @@ A turn is written as ``<s>[role]``, a line feed, the text, ``</s>``, a line feed
 written as entities, so texts that hold the template's own marks come back as they were.
 
 One row holds one conversation, which is the training document and what the digests cover; nothing is cut. Defined cases: null roles and texts are
-empty; rows of one turn number are ordered by role and text; a null conversation id is one conversation; repeated rows are turns.
+empty; rows of one turn number are ordered by role and text; a null conversation id is one conversation; repeated rows are turns; an empty
+table gives none; columns other than the four that are read are left out, whatever their names.
 """
 
 from __future__ import annotations
