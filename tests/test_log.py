@@ -406,6 +406,20 @@ def test_store_plans_tier_and_waiting(spark, tmp_path):
         log.read_plan(plan)
 
 
+def test_offsets_reach_the_scan(spark, tmp_path):
+    """A read by partition, batch or offset is a filter that Parquet gets, and payloads are not read to choose batches."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # else plans show the first filters only
+    log = LogStore(spark, f"file://{tmp_path}")
+    log.create_topic("1", 2, [0])
+    log.append("1", requests(spark, [(p, i, 1, "x") for p in range(2) for i in range(4)]))
+    plan = fetch.point_read(log.batches("1"), 1, 2).select("batch_id", "first_offset")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(batch_id,2)" in plan and "EqualTo(topic_id,1)" in plan and "PartitionFilters: [isnotnull(partition_id" in plan and "payload:binary" not in plan
+    chosen = log.plan("1", 0, 2, 10).batches._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(last_offset,2)" in chosen and "payload:binary" not in chosen
+    rows = fetch.catalog(log.batches("1")).select("partition_id", "first_offset").collect()
+    assert [tuple(r) for r in rows] == sorted(tuple(r) for r in rows)
+
+
 def test_store_group_rules(spark, tmp_path):
     log = LogStore(spark, f"file://{tmp_path}")
     log.create_topic("7", 1, [0], 3, 2)

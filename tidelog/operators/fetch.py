@@ -89,12 +89,17 @@ def dense_bounds(batches: DataFrame, keys: Sequence[str] = ("partition_id",)) ->
     return found.select(*keys, F.when(F.col("dense"), F.col("first_offset")).otherwise(F.raise_error(gap).cast("long")).alias("first_offset"), "next_offset")
 
 
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in ranges of the order, each sorted by the task that reads it: one range after another they are in order."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def merge_lanes(lanes: Sequence[DataFrame]) -> DataFrame:
-    """Lane tables as one stream by (first_offset, lane)."""
+    """Lane tables as one stream by (first_offset, lane) for each partition, in ranges of offsets."""
     merged = lanes[0]
     for lane in lanes[1:]:
         merged = merged.unionByName(lane)
-    return merged.orderBy("partition_id", "first_offset", "lane")
+    return in_ranges(merged, "partition_id", "first_offset", "lane")
 
 
 def point_read(batches: DataFrame, partition_id: int, batch_id: int) -> DataFrame:
@@ -102,5 +107,5 @@ def point_read(batches: DataFrame, partition_id: int, batch_id: int) -> DataFram
 
 
 def catalog(batches: DataFrame) -> DataFrame:
-    """All extents by topic partition and offset."""
-    return batches.orderBy("partition_id", "first_offset")
+    """All extents by topic partition and offset, in ranges of offsets."""
+    return in_ranges(batches, "partition_id", "first_offset")
