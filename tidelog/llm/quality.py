@@ -17,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.common import append_columns
@@ -24,8 +25,8 @@ from tidelog.llm.common import append_columns
 SYMBOLS = b"#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 WINDOW = 8
-#: Rows on which cost and selectivity are measured.
-SAMPLE_ROWS = 400
+#: Rows on which cost and selectivity are measured, and the longest texts among them.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 
 
 class Measures:
@@ -131,8 +132,10 @@ def passes(measures: Measures, ordered: Sequence[Rule]) -> bool:
 
 
 def sampled_order(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The cascade's order from ``rows`` rows of ``df``."""
-    return cascade_order([r[0] for r in df.select(text_col).limit(rows).collect()], rules)
+    """The cascade's order from at most ``rows`` rows of ``df``, drawn over the whole table, none of more than ``SAMPLE_BYTES``."""
+    share = 1.5 * rows / max(1, df.count())
+    drawn = df.select(text_col).where((F.rand(7) < share) & (F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)).limit(rows)
+    return cascade_order([r[0] for r in drawn.collect()], rules)
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
