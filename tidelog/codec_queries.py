@@ -68,6 +68,11 @@ def cursor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files._exploded(encoded.withColumn("cursor_hex", F.lower(F.hex("cursor"))), "cursor", ["topic_id", "cursor_hex"], _CURSOR_ROWS, decode)
 
 
+def cursor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nations' cursors say after the round trip, and how long they are."""
+    return cursor_roundtrip(spark, sf_dir).select("topic_id", "partition_id", "next_offset", (F.length("cursor_hex") / 2).cast("int").alias("cursor_bytes"))
+
+
 def record_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as record batches of an idempotent producer, scanned back into records with log offsets."""
     log = derived.records(spark, sf_dir).join(derived.table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
@@ -158,5 +163,5 @@ _CURSOR_ROWS = struct_of("partition_id bigint, next_offset bigint")
 
 
 def queries() -> dict:
-    own = [frame_roundtrip, extent_roundtrip, cursor_roundtrip, record_batch_scan, record_counts, pack_scan, journal_scan, store_append_read, stream_sequencer, stream_reorder, stream_producer_check]
+    own = [frame_roundtrip, extent_roundtrip, cursor_roundtrip, cursor_positions, record_batch_scan, record_counts, pack_scan, journal_scan, store_append_read, stream_sequencer, stream_reorder, stream_producer_check]
     return {f.__name__: f for f in own}

@@ -243,6 +243,7 @@ SELECT lane, pack_sequence, opened, pack_sequence < max(pack_sequence) OVER (PAR
 SELECT report_no, partition_id, CASE WHEN epoch < top THEN 'Fenced' ELSE 'accepted' END AS outcome, top AS current FROM m""",
     "request_counters": LOG + "SELECT count(*) AS requests, count(*) FILTER (status = 'aborted') AS errors, count(*) FILTER (status <> 'aborted' AND batch_id % 2 = 0) AS appended_batches, CAST(coalesce(sum(payload_bytes) FILTER (status <> 'aborted' AND batch_id % 2 = 0), 0) AS BIGINT) AS appended_bytes, count(*) FILTER (status <> 'aborted' AND batch_id % 2 = 1) AS fetched_batches, CAST(coalesce(sum(payload_bytes) FILTER (status <> 'aborted' AND batch_id % 2 = 1), 0) AS BIGINT) AS fetched_bytes FROM batches",
     "batch_transitions": LOG + "SELECT partition_id, status, CASE WHEN status = 'aborted' THEN 'aborted' ELSE 'committed' END AS after, CAST(count(*) AS BIGINT) AS batches FROM batches GROUP BY 1, 2, 3",
+    "cursor_positions": "SELECT CAST(n_nationkey AS VARCHAR) AS topic_id, CAST(n_nationkey % 4 AS BIGINT) AS partition_id, CAST(n_nationkey * 1000 AS BIGINT) AS next_offset, 52 AS cursor_bytes FROM nation",
     "record_counts": LOG + "SELECT partition_id, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT log_offset // 5) AS BIGINT) AS batches FROM records GROUP BY 1",
     "pack_scan": DOCS + ", texts AS (SELECT CAST(doc_id % 2 AS INTEGER) AS partition_id, CAST(row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS BIGINT) AS batch_id, sha256(coalesce(text, '')) AS payload_sha256 FROM documents) SELECT lane, pack_sequence, partition_id, batch_id, batch_id AS first_offset, payload_sha256 FROM fold JOIN texts USING (partition_id, batch_id)",
     "journal_scan": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS event_no, 'truncate' AS kind, CAST(n_nationkey AS VARCHAR) AS topic_id, CAST(n_regionkey AS BIGINT) AS partition_id, CAST(n_nationkey * 10 AS BIGINT) AS log_start FROM nation",
