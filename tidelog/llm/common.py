@@ -43,12 +43,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that goes to Python and back: ten thousand, the default, would be tens of MB of texts on both sides.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python ``BATCH_ROWS`` at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut there and lost executors lose nothing of it.
 
     The shuffle files of the job that wrote the table are released when the job ends.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    small_batches(spark)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
@@ -105,6 +115,7 @@ def append_columns(df: DataFrame, column: str, fields: T.StructType, make: Calla
     ``make`` is called once per task and gives a function from a batch's values to one list per field. A column of ``df`` that
     has the name of a computed one (in any case) is replaced by it.
     """
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema if f.name.lower() not in names]
     # the text travels under a name of its own, so that replacing a column never hides the input

@@ -80,7 +80,7 @@ def thresholds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
     """
     with Scope() as tables:
         found, n = _edges(sizes, weights, most, share)
-        found = tables.keep(written(found, "thresholds"))
+        tables.keep(found)
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")
     everything = F.when(F.col("source_size") > 0, F.lit(2 ** (BITS * LEVELS))).otherwise(0)
     return found.select("source", "source_size", "target", "copies", "skipped", F.coalesce(F.col("prefix") + nearer.cast("long"), everything).alias("below")), n
