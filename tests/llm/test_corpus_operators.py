@@ -227,6 +227,32 @@ def test_repeated_strings_empty(spark):
     assert substrings.kept_bytes(b"0123456789", [(2, 4), (4, 6), (5, 7), (8, 9)]) == (b"0179", 2)
 
 
+def test_tables_in_the_shared_folder_go(spark):
+    """Of the tables that a computation writes only those stay that its result reads."""
+    from pathlib import Path
+
+    from tidelog.llm.common import Scope, shared_dir, written
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    made = lambda: Counter(p.name.split("-")[1] for p in folder.glob("tidelog-*"))
+    before = made()
+    df = table(spark, near_rows())
+    kept = neardup.component_table(df)
+    assert made() - before == Counter({"signatures": 1, "of": 1}) and kept.count() == df.count()
+    before = made()
+    pii.report(df)
+    assert made() - before == Counter({"pii": 1, "terms": 1})
+    before = made()
+    with Scope() as outer:
+        first = written(spark.range(3), "first")
+        with Scope() as inner:
+            second = inner.keep(written(first, "second"))
+            written(first, "third")
+        assert second.count() == 3 and made() - before == Counter({"first": 1, "second": 1})
+        outer.drop(first)
+    assert made() == before
+
+
 def test_multikey_order_and_common_lengths():
     rng = np.random.default_rng(4)
     rows = rng.integers(0, 2, (200, 24)).astype(np.uint8)
