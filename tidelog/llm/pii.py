@@ -7,7 +7,8 @@ an entity e (kind and value) by log2(P(e | t) / P(e)) bits, with P(e | t) the sh
 whose disclosure and share reach ``BITS`` and ``SHARE``, seen with e in ``SUPPORT`` documents or more, is a span of its own wherever it
 stands in any document. Sanitising puts a kind's mark in place of a span: entities are generalised to their kind, terms to ``[TERM]``.
 
-Document counts of terms are taken over all documents and terms, summed in each task before they are shuffled. Terms are paired with an
+Each text is searched once, for its entities and the 64-bit hashes by which its terms are known from there on. Document counts of terms
+are taken over all documents and terms, summed in each task before they are shuffled. Terms are paired with an
 entity only where it is in ``SUPPORT`` documents and rare enough that some term could reach ``BITS``, which loses nothing; copies of
 a text are one row with a count, so a large group of them is paired once.
 
@@ -96,11 +97,16 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
 
 
+def term_key(term: Column) -> Column:
+    """What a term is known by: a 64-bit hash of it in small letters."""
+    return F.xxhash64(F.lower(term))
+
+
 def terms_of(text: Column, entities: Column) -> Column:
-    """The distinct terms of a text, lowered."""
+    """The keys of the distinct terms of a text."""
     hidden = F.when(F.size(entities) > 0, replaced(text, entities, F.lit(HIDDEN))).otherwise(text)
     found = F.array_distinct(F.regexp_extract_all(hidden, F.lit(APART), F.lit(0)))
-    return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
+    return F.array_distinct(F.transform(found, lambda t: term_key(t)))
 
 
 def overlaps(spans: Column, t: Column) -> Column:
@@ -108,16 +114,15 @@ def overlaps(spans: Column, t: Column) -> Column:
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, found, terms): the entity spans of each row and, where there are any, the distinct terms; written to the shared folder."""
+    """(id, th, found, terms): the entity spans and the distinct terms of each row, written to the shared folder. Texts are searched here once."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     spanned = docs.withColumn("found", entity_spans(F.col("text")))
-    terms = F.when(F.size("found") > 0, terms_of(F.col("text"), F.col("found")))
-    return written(spanned.select("id", "th", "found", terms.alias("terms")), "pii")
+    return written(spanned.select("id", "th", "found", terms_of(F.col("text"), F.col("found")).alias("terms")), "pii")
 
 
-def disclosing_terms(df: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+def disclosing_terms(found: DataFrame) -> DataFrame:
     """(term): the distinct terms that disclose an entity."""
-    n = df.agg(F.count("*").cast("double").alias("n"))
+    n = found.agg(F.count("*").cast("double").alias("n"))
     # one row per text, ``times`` its rows and ``documents`` those of different ids
     once = found.where(F.size("found") > 0).groupBy("id", "th").agg(F.count("*").alias("times"), F.first(entities_of(F.col("found"))).alias("entities"), F.first("terms").alias("terms"))
     held = once.groupBy("th").agg(F.sum("times").alias("times"), F.count("*").alias("documents"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
@@ -132,7 +137,7 @@ def disclosing_terms(df: DataFrame, found: DataFrame, text_col: str = "text") ->
         together = together.groupBy("entity", "with_entity", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("both")).where(F.col("documents") >= SUPPORT)
         together = written(together, "together")
         # the documents that hold each term: one row per document and distinct term, summed in every task before it is shuffled
-        counts = df.select(F.explode(terms_of(F.col(text_col), entity_spans(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+        counts = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
         share = F.col("both") / F.col("with_term")
         scored = together.join(counts, "term").where((share >= SHARE) & (F.log2(share * n.scalar() / F.col("with_entity")) >= BITS))
         return tables.keep(written(scored.select("term").distinct(), "disclosing"))
@@ -141,12 +146,12 @@ def disclosing_terms(df: DataFrame, found: DataFrame, text_col: str = "text") ->
 def term_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, terms): for rows that have them, the spans of disclosing terms."""
     with Scope() as tables:
-        disclosing = disclosing_terms(df, found, text_col)
+        disclosing = disclosing_terms(found)
         docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-        each = docs.select("id", "th", F.explode(terms_of(F.col("text"), entity_spans(F.col("text")))).alias("term"))
+        each = found.select("id", "th", F.explode("terms").alias("term"))
         holding = written(each.join(disclosing, "term").groupBy("id", "th").agg(F.collect_set("term").alias("__held")), "holding").toDF("__id", "__th", "__held")
         marked = docs.join(holding, docs["id"].eqNullSafe(holding["__id"]) & (docs["th"] == holding["__th"])).withColumn("found", entity_spans(F.col("text")))
-        spans = F.filter(located(F.col("text"), TERM, 4, lambda m: F.array_contains("__held", F.lower(m))), lambda t: ~overlaps(F.col("found"), t))
+        spans = F.filter(located(F.col("text"), TERM, 4, lambda m: F.array_contains("__held", term_key(m))), lambda t: ~overlaps(F.col("found"), t))
         return tables.keep(written(marked.select("id", "th", spans.alias("terms")).groupBy("id", "th").agg(F.first("terms").alias("terms")), "terms"))
 
 
