@@ -38,8 +38,8 @@ FLOOR, ADDED = 1e-9, 0.01
 LETTERS = regex.compile(r"\p{L}+")
 #: Stretches without spaces whose scores a task keeps, and their characters; the store is emptied when either is passed.
 CACHE, CACHE_CHARS = 300_000, 1 << 25
-#: Letters of words of one length that are summed at once.
-CELLS = 1 << 19
+#: Letters of words of one length that are summed at once, and words that a task of the fit takes together.
+CELLS, TOGETHER = 1 << 19, 50_000
 #: Characters of texts whose words are looked up together, and words of one text that are summed at once.
 GROUP_CHARS, STRETCH = 1_000_000, 20_000
 #: ASCII marks that are no letters, stripped before a stretch is looked up.
@@ -48,7 +48,8 @@ MARKS = ".,;:!?|&$%#*()[]<>\"'-"
 
 def words_of(token: str) -> list[str]:
     """The letter runs of a stretch without spaces, lowered."""
-    return LETTERS.findall(unicodedata.normalize("NFC", token).lower())
+    lowered = token.lower() if token.isascii() else unicodedata.normalize("NFC", token).lower()
+    return [lowered] if lowered.isalpha() else LETTERS.findall(lowered)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -174,15 +175,21 @@ def _expect(pieces: list[str], fitted):
     """Sums of expected counts over a task's words; ``fitted``: a broadcast of each language's probabilities, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, sums = Lookup(pieces), {}
+        lookup, sums, held = Lookup(pieces), {}, defaultdict(list)
+
+        def add(one: str) -> None:
+            words, counts = zip(*held.pop(one), strict=True)
+            p = None if fitted is None else fitted.value[one]
+            got = expected_counts(list(words), np.array(counts, float), lookup, p, len(pieces))
+            sums[one] = sums[one] + got if one in sums else got
+
         for batch in batches:
-            lang = batch.column(0).to_pylist()
-            words, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
-            for one in dict.fromkeys(lang):
-                mine = [i for i, x in enumerate(lang) if x == one]
-                p = None if fitted is None else fitted.value[one]
-                got = expected_counts([words[i] for i in mine], counts[mine], lookup, p, len(pieces))
-                sums[one] = sums[one] + got if one in sums else got
+            for one, *counted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[one].append(counted)
+                if len(held[one]) >= TOGETHER:
+                    add(one)
+        for one in list(held):
+            add(one)
         for one, total in sums.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(total[used])], ["lang", "piece", "n"])
@@ -273,27 +280,32 @@ class Scorer:
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Summed log-probabilities of each text, or None for one without a letter."""
         out: list[np.ndarray | None] = []
-        row, none = self.row, np.zeros(len(self.model.languages))
         for text in texts:
             if not text or not self.model.languages or not LETTERS.search(text):
                 out.append(None)
                 continue
-            total, tokens = none.copy(), text.split()
+            total, tokens = np.zeros(len(self.model.languages)), text.split()
             for i in range(0, len(tokens), STRETCH):
-                part = tokens[i : i + STRETCH]
-                total += self.known[[row[t] for t in part]].sum(axis=0) if self._known(part) else none
+                total += self.known[self._rows(tokens[i : i + STRETCH])].sum(axis=0)
             out.append(total)
         return out
 
-    def _known(self, tokens: list[str]) -> bool:
-        missing = {t for t in tokens if t not in self.row}
+    def _rows(self, tokens: list[str]) -> list[int]:
+        """Where the scores of the stretches are; those that are not known are learned first."""
+        try:
+            return list(map(self.row.__getitem__, tokens))
+        except KeyError:
+            self._known(set(tokens))
+            return list(map(self.row.__getitem__, tokens))
+
+    def _known(self, tokens: set[str]) -> None:
+        missing = [t for t in tokens if t not in self.row]
         if missing:
             if self.used + 2 * len(missing) > CACHE or len(self.row) + 2 * len(missing) > 2 * CACHE or self.chars > CACHE_CHARS:
                 self.row.clear()
                 self.used = self.chars = 0
-                missing = set(tokens)
+                missing = list(tokens)
             self.learn(sorted(missing))
-        return True
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The prediction for each text; unknown words of many texts are learned together."""
@@ -304,9 +316,9 @@ class Scorer:
             group.append(text)
             size += len(text or "")
             if size >= GROUP_CHARS or len(found) + len(group) > len(texts):
-                pool = {t for x in group if x and len(x) < GROUP_CHARS for t in x.split()} if self.model.languages else set()
+                pool = set().union(*[x.split() for x in group if x and len(x) < GROUP_CHARS]) if self.model.languages else set()
                 if len(pool) <= CACHE // 3:
-                    self._known(list(pool))
+                    self._known(pool)
                 found += map(self.predict_from, self.texts(group))
                 group, size = [], 0
         return found[: len(texts)]
