@@ -41,7 +41,7 @@ BANDS, ROWS, BITS = 32, 8, 1024
 MARGIN = 0.15
 #: Documents in a block, and the shingles of all of them.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Up to so many ids of clustered classes (two numbers each) are broadcast to fetch their texts; beyond, texts are joined by shuffling.
+#: Up to so many rows of two or three numbers (ids of clustered classes, rows to drop, sizes of groups) are broadcast; beyond, tables are joined by shuffling.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket in a block whose sketches are compared.
 PAIRED = 1024
@@ -263,11 +263,21 @@ def near_links(banded: DataFrame, ends: DataFrame, sketch: DataFrame, star: Data
     large = banded.join(ends.where("m > 3").select("bucket", "first"), "bucket").join(star.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "first", "rep", label.alias("label"))
     large = written(large, "buckets")
     main = large.groupBy("bucket").agg(F.max(F.when(F.col("rep") == F.col("first"), F.col("label"))).alias("main"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket", "main")
-    mixed = large.join(main, "bucket").select("bucket", "rep", "label", (F.col("label") == F.col("main")).alias("inside"))
+    mixed = large.join(by_group(main, "main"), "bucket").select("bucket", "rep", "label", (F.col("label") == F.col("main")).alias("inside"))
     units = block_pairs(mixed, "bucket", "rep", F.lit(1), PAIRED)
     return units.join(sketch.select(F.col("rep").cast("long").alias("rep"), "sketch"), "rep").groupBy("bucket", "u", "v").applyInArrow(_near_unit(most), "a long, b long")
 
 
+def by_group(rows: DataFrame, name: str) -> DataFrame:
+    """A table of one row per group, to be joined with the groups' members, of which one group may have a third.
+
+    Up to ``BROADCAST_ROWS`` rows are broadcast, so that members stay where they are; beyond, a plain join of tables follows, whose large
+    partitions Spark splits.
+    """
+    rows = written(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def block_pairs(members: DataFrame, group: str, member: str, weight: Column, block: int) -> DataFrame:
     """``members`` with ``block``, once for each pair (``u``, ``v``) of blocks of their group that it belongs to.
 
@@ -275,7 +285,7 @@ def block_pairs(members: DataFrame, group: str, member: str, weight: Column, blo
     all others are there. A block weighs about ``block``.
     """
     blocks = lambda inside: F.ceil(F.sum(F.when(F.col("inside") if inside else ~F.col("inside"), weight).otherwise(0)) / block).cast("int")
-    sizes = members.groupBy(group).agg(blocks(False).alias("rest"), blocks(True).alias("settled"))
+    sizes = by_group(members.groupBy(group).agg(blocks(False).alias("rest"), blocks(True).alias("settled")), "sizes")
     spread = F.xxhash64(member, group)
     dealt = members.join(sizes, group).withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(spread, "settled")).otherwise(F.pmod(spread, "rest")).cast("int"))
     # the rest's blocks meet all blocks; settled ones only the rest's
@@ -341,7 +351,7 @@ def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         placed = clusters.join(parts.withColumnRenamed("component", "part"), "id", "left").select("component", "id", "th", "sketch", "n", label.alias("label"))
         sizes = placed.groupBy("component", "label").agg(F.count("*").alias("m"))
         largest = sizes.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("component", F.col("top.label").alias("main"))
-        mixed = placed.join(largest, "component").withColumn("inside", F.col("label") == F.col("main")).drop("main")
+        mixed = placed.join(by_group(largest, "largest"), "component").withColumn("inside", F.col("label") == F.col("main")).drop("main")
         units = block_pairs(mixed, "component", "id", F.greatest(F.lit(1.0), F.col("n") * (BLOCK / BLOCK_SHINGLES)), BLOCK)
         units = units.join(texts, ["id", "th"]).select("component", "u", "v", "block", "id", "label", "sketch", "text")
         second = units.groupBy("component", "u", "v").applyInArrow(_unit(percent, most), f"a {kind}, b {kind}")
@@ -356,7 +366,10 @@ def component_table(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 
 def drop_near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows that are not their component's first; rows of one id and one text stay or go together."""
-    gone = component_table(df, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    with Scope() as tables:
+        gone = component_table(df, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+        gone = tables.keep(written(gone, "gone"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return df.join(gone, (df[id_col] == gone["__id"]) & (F.xxhash64(df[text_col]) == gone["__th"]), "left_anti")
 
 
