@@ -211,6 +211,60 @@ def test_passages_of_other_documents(spark, hot):
     assert sorted(((r["doc_id"], r["n_passage_words"]) for r in got.collect()), key=str) == passage_words_by_hand(rows)
 
 
+@pytest.mark.parametrize("copies", [60, 120])
+def test_hot_core_makes_few_rows(spark, monkeypatch, copies):
+    """One passage in many different texts: a hot context goes on as a few pieces, not as a row for every string, in any number of them."""
+    passage = " ".join(prose(5, 300).split()[:44])
+    rows = [(k, prose(1000 + k, 100) + f" {k} " + passage + f" {k} " + prose(3000 + k, 100)) for k in range(copies)]
+    rows += [(500 + k, prose(5000 + k % 4, 60 + k) + " " + passage + " " + prose(6000 + k % 3, 70 + k)) for k in range(8)]
+    made, plain = Counter(), substrings.written
+
+    def counting(df, name):
+        table = plain(df, name)
+        made["rows"] += table.count() if name in ("strings", "pieces") else 0
+        made["hot"] += table.where("hot").count() if name == "contexts" else 0
+        return table
+
+    monkeypatch.setattr(substrings, "written", counting)
+    got = substrings.remove_repeats(table(spark, rows), hot=40).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == repeats_by_hand(rows)
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in got), key=str) == passage_words_by_hand(rows)
+    assert made["hot"] >= copies and made["rows"] < 8 * made["hot"], made
+
+
+def test_hot_pieces_of_random_contexts(spark):
+    """Contexts that branch off each other at every distance, before and behind one core, in documents of their own and the same ones."""
+    rng = random.Random(11)
+    for scheme in (substrings.BYTES, substrings.PASSAGES):
+        unit, span, size = scheme.unit, scheme.span, scheme.length
+        letters = [bytes([c]) * unit for c in b"ab"]
+        trunk = [rng.choice(letters) for _ in range(span + size)]
+        rows = []
+        for k in range(90):
+            if k % 3 == 2:
+                _, _, _, start, before, context = rows[rng.randrange(len(rows))]
+                rows.append((rng.randrange(25), 0, False, 1000 * unit * k, before, context))
+                continue
+            left, right = rng.randrange(span), rng.randrange(span)
+            far = rng.randrange(left + 1) if k % 2 else left
+            near = rng.randrange(far + 1)
+            text = [x if span - left <= i < span + size - right else rng.choice(letters) for i, x in enumerate(trunk)]
+            rows.append((rng.randrange(25), 0, scheme.across and k % 17 == 0, 1000 * unit * k, far * unit, b"".join(text[span - far : span - near + size])))
+        holders = defaultdict(list)
+        strings = [(r, at, r[4] - at, r[5][at : at + scheme.size]) for r in rows for at in range(0, len(r[5]) - scheme.size + 1, unit)]
+        for r, _, distance, string in strings:
+            holders[distance, string].append(r)
+        expected = set()
+        for r, at, distance, string in strings:
+            held = holders[distance, string]
+            several = any(h[2] for h in held) or len({h[0] for h in held}) > 1 if scheme.across else len(held) > 1
+            if several and not r[2]:
+                expected.update((r[0], r[3] + at + b) for b in range(scheme.size))
+        df = spark.createDataFrame(rows, "id long, th long, shared boolean, start int, before int, context binary")
+        found = [s for part in substrings.hot_spans(df, scheme) for s in part.collect()]
+        assert {(s["id"], b) for s in found for b in range(s["low"], s["high"])} == expected and expected
+
+
 def test_one_lead_with_many_cores():
     """Contexts that share a long start go through in stretches; a stretch ends where the core does."""
     import pyarrow as pa

@@ -15,8 +15,9 @@ times the input, so suffixes are taken where repeats can be seen:
    at once; the same for what stands before the anchors, reversed. Neighbours' common lengths in both orders say for each distance which
    strings are equal. Equal cores are never cut by a splitter, so no comparison across bucket ends is left over; a task holds
    ``SORTED_ROWS`` contexts and the rest of one core at a time.
-4. A core with more than ``HOT`` distinct contexts would fill one bucket; its strings are hashed (128 bits) and counted instead.
-   The rule is exact as well, and spreads by string.
+4. A core with more than ``HOT`` distinct contexts would fill one bucket. Its contexts are cut into pieces by distance from the anchor and
+   compared by 128-bit hashes: a piece that occurs twice is repeated as a whole and goes on once; what all strings at its distances share
+   goes on only if it occurs twice, in pieces a quarter as wide, down to single strings. The rule is exact as well, and spreads by piece.
 
 Defined cases: null and empty texts keep nothing and lose nothing; equal rows are copies of each other; for passages, rows of one
 id and one text are one document; extra columns are left out.
@@ -24,6 +25,7 @@ id and one text are one document; extra columns are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -41,13 +43,14 @@ from tidelog.llm.common import Scope, slices, tidy, word_hashes, written
 @dataclass(frozen=True)
 class Scheme:
     """What a string is: ``length`` units of ``unit`` bytes, with its anchor at one of the first ``span`` places, the least gram of
-    ``gram`` units. ``across``: whether only another document's string counts."""
+    ``gram`` units. ``across``: whether only another document's string counts. ``widths``: starts in a piece of a hot context, level by level."""
 
     unit: int
     length: int
     span: int
     gram: int
     across: bool
+    widths: tuple[int, ...]
 
     @property
     def size(self) -> int:
@@ -64,8 +67,8 @@ class Scheme:
         return raw if self.unit == 1 else b"".join(map(xxhash.xxh3_64_digest, raw.split()))
 
 
-BYTES = Scheme(1, 400, 256, 16, False)
-PASSAGES = Scheme(8, 51, 40, 8, True)
+BYTES = Scheme(1, 400, 256, 16, False, (64, 16, 4, 1))
+PASSAGES = Scheme(8, 51, 40, 8, True, (16, 4, 1))
 LENGTH = BYTES.length
 HOT = 2_000
 #: Distinct contexts a bucket is meant to hold, and those that are sorted at once.
@@ -271,22 +274,58 @@ def _bucket(scheme: Scheme):
     return run
 
 
-def _strings(scheme: Scheme):
-    """128-bit hashes of all strings of hot contexts, a context at a time."""
+PIECE = ("id", "th", "shared", "start", "before", "context")
+
+
+def _pieces(scheme: Scheme, width: int):
+    """A row per piece of a context, cut where the distance to the anchor is a multiple of ``width``; a piece is a smaller context.
+
+    ``i1`` and ``i2`` hash what all strings at a piece's distances share, whosever they are, ``o1`` and ``o2`` all that its own strings cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, unit = scheme.size, scheme.unit
-        for batch in batches:
-            for i, (context, start) in enumerate(zip(batch.column("context").to_pylist(), batch.column("start").to_pylist(), strict=True)):
-                places = range(0, len(context) - size + 1, unit)
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[k : k + size]) for k in places), np.int64).reshape(-1, 2)
-                who = pa.array([i] * len(places), pa.int64())
-                low = start + np.array(places, np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in ("id", "th", "shared")), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(low), pa.array(low + size)], ["id", "th", "shared", "h1", "h2", "low", "high"])
+        digest, size, step = xxhash.xxh3_128_digest, scheme.size, width * scheme.unit
+        for batch in slices(batches, PIECE.index("context")):
+            who, made, inner, outer = [], [], [], []
+            for i, (start, before, context) in enumerate(zip(*(batch.column(c).to_pylist() for c in PIECE[3:]), strict=True)):
+                nearest = before + size - len(context)  # the least distance from a start to the anchor
+                for low in range(nearest - nearest % step, before + 1, step):
+                    high = min(low + step, scheme.span * scheme.unit) - scheme.unit
+                    far = min(high, before)
+                    piece = context[before - far : before - max(low, nearest) + size]
+                    who.append(i)
+                    made.append((start + before - far, far, piece))
+                    inner.append(digest(context[before - low : before - high + size], low + 1))
+                    outer.append(digest(piece, far + 1))
+            who = pa.array(who, pa.int64())
+            columns = list(zip(*made, strict=True)) if made else [[]] * 3
+            hashes = [np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)[:, k] for h in (inner, outer) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in PIECE[:3]), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)), *map(pa.array, hashes)], [*PIECE, "i1", "i2", "o1", "o2"])
 
     return run
 
 
+def hot_spans(contexts: DataFrame, scheme: Scheme) -> list[DataFrame]:
+    """Tables (id, th, low, high) of what repeated strings of these contexts cover; contexts that are ``shared`` are known to be repeated.
+
+    Of pieces that are repeated as a whole one goes on, as ``shared``, because others may hold a part of it.
+    """
+    kind, document = contexts.schema["id"].dataType.simpleString(), F.xxhash64("id", "th")
+    several = F.max("shared") | (F.min(document) != F.max(document)) if scheme.across else F.count("*") > 1
+    place = F.coalesce(F.hash("id", "th", "start"), F.lit(0))
+    found, rest = [], contexts.select(*PIECE)
+    for width in scheme.widths:
+        pieces = written(rest.mapInArrow(tidy(_pieces(scheme, width)), f"id {kind}, th long, shared boolean, start int, before int, context binary, i1 long, i2 long, o1 long, o2 long"), "pieces")
+        if pieces.isEmpty():
+            break
+        alike = pieces.groupBy("o1", "o2").agg(several.alias("more"), F.min(place).alias("pick")).where("more")
+        told = written(pieces.join(alike, ["o1", "o2"], "left"), "told")
+        found.append(told.where("more and not shared").select("id", "th", F.col("start").cast("long").alias("low"), (F.col("start") + F.octet_length("context")).cast("long").alias("high")))
+        kept = told.where(F.col("more").isNull() | (place == F.col("pick"))).withColumn("shared", F.col("shared") | F.col("more").isNotNull())
+        undecided = kept.groupBy("i1", "i2").agg(several.alias("several"), F.min("shared").alias("known")).where("several and not known")
+        rest = kept.join(undecided, ["i1", "i2"], "left_semi").select(*PIECE)
+    return found
+
+
 def _contexts(scheme: Scheme):
     """A row per wanted context, with its core and its bytes."""
 
@@ -378,11 +417,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme = BYTES, hot: int = HOT) -> D
         cool, warm = bytes_of.where("not hot"), bytes_of.where("hot")
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_of.count() / BUCKET_ROWS))
         compared = cool.repartitionByRange(buckets, "lead").sortWithinPartitions("lead").mapInArrow(tidy(_bucket(scheme)), spans)
-        strings = written(warm.mapInArrow(_strings(scheme), f"id {kind}, th long, shared boolean, h1 long, h2 long, low long, high long"), "strings")
-        more = F.max("shared") | (F.min(document) != F.max(document)) if scheme.across else F.count("*") > 1
-        twice = strings.groupBy("h1", "h2").agg(more.alias("more")).where("more").drop("more")
-        counted = strings.join(twice, ["h1", "h2"]).select("id", "th", "low", "high")
-        return tables.keep(written(whole.unionByName(copies).unionByName(compared).unionByName(counted), "spans"))
+        return tables.keep(written(functools.reduce(DataFrame.unionByName, [whole, copies, compared, *hot_spans(warm, scheme)]), "spans"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
