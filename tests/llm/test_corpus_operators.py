@@ -232,6 +232,24 @@ def test_hot_core_makes_few_rows(spark, monkeypatch, copies):
     assert made["hot"] >= copies and made["rows"] < 8 * made["hot"], made
 
 
+def test_equal_rows_do_not_multiply(spark, monkeypatch):
+    """Rows of one id and one text each bring their contexts once, not once for each other."""
+    passage = " ".join(prose(5, 300).split()[:44])
+    rows = [(1, prose(1001, 100) + " 1 " + passage + " 1 " + prose(3001, 100))] * 20
+    rows += [(k, prose(1000 + k, 100) + f" {k} " + passage + f" {k} " + prose(3000 + k, 100)) for k in (2, 3)]
+    made, plain = [], substrings.written
+
+    def counting(df, name):
+        table = plain(df, name)
+        made.extend(table.groupBy("id", "start", "before", "context").count().collect() if name == "contexts" else [])
+        return table
+
+    monkeypatch.setattr(substrings, "written", counting)
+    got = substrings.remove_repeats(table(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == repeats_by_hand(rows)
+    assert made and max(r["count"] for r in made) <= 20
+
+
 def test_hot_pieces_of_random_contexts(spark):
     """Contexts that branch off each other at every distance, before and behind one core, in documents of their own and the same ones."""
     rng = random.Random(11)

@@ -409,7 +409,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme = BYTES, hot: int = HOT) -> D
         judged = written(mixed.join(classes, ["core", "ctx"]), "judged")
         copies = judged.where("shared").select(*whole_context)
         wanted = judged.where(~F.col("shared") | (place == F.col("pick")))
-        asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("hot", "shared", "start", "before", "size")).alias("wanted"))
+        asked = wanted.groupBy("id", "th").agg(F.collect_set(F.struct("hot", "shared", "start", "before", "size")).alias("wanted"))  # a set: equal rows ask for the same, and each of them fetches it
         texts = docs.where(where)
         named = asked.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
         fetched = texts.join(named, texts["id"].eqNullSafe(named["__id"]) & (texts["th"] == named["__th"])).select("id", "th", "text", "wanted")
