@@ -281,6 +281,22 @@ def test_codec_queries(spark, sf_dir):
     assert ALL["cursor_roundtrip"](spark, sf_dir).where("length(cursor_hex) <> 104").count() == 0
 
 
+def long_rows(spark, n=256):
+    """Rows of a MB each in one task."""
+    return spark.range(n, numPartitions=1).selectExpr("id", "cast(repeat(cast(id % 10 as string), 1 << 20) as binary) as payload")
+
+
+def held_mb(_=None):
+    """MB of the process that this runs in."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+
+def test_columns_are_encoded_in_bounded_memory(spark):
+    rows = files.encode_column(long_rows(spark), lambda row: str(held_mb()).encode(), "held", ["payload"], ["id"]).collect()
+    assert len(rows) == 256 and max(int(bytes(r["held"])) for r in rows) < 180
+
+
 def test_stream_equals_batch(spark, sf_dir):
     live = {(r["partition_id"], r["batch_id"]): (r["first_offset"], r["last_offset"]) for r in ALL["stream_sequencer"](spark, sf_dir).collect()}
     plain = {(r["partition_id"], r["batch_id"]): (r["first_offset"], r["last_offset"]) for r in ALL["reserve_offsets"](spark, sf_dir).collect()}

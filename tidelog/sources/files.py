@@ -129,19 +129,38 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JournalLog)
 
 
+#: Bytes of a batch on its way to Python, and of rows that are Python objects at a time; a longer row goes alone. Spark's own bound is
+#: ten thousand rows, which may be any number of bytes.
+BATCH_BYTES = 4 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python ``BATCH_BYTES`` at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of about ``BATCH_BYTES``, a row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _exploded(df: DataFrame, column: str, keep: Sequence[str], schema: StructType, decode: Callable[[bytes], list[tuple]]) -> DataFrame:
     """The rows that ``decode`` finds in a binary column, each with the ``keep`` columns; null gives none."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    _bounded_batches(df.sparkSession)
     kept = [df.schema[c] for c in keep]
     out = StructType([*kept, *schema.fields])
     types = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             who, rows = [], []
-            for i, data in enumerate(batch.column(len(keep)).to_pylist()):
-                found = decode(bytes(data)) if data is not None else []
+            for i, data in enumerate(batch.column(len(keep))):
+                found = decode(data.as_py()) if data.is_valid else []
                 rows += found
                 who += [i] * len(found)
             index = pa.array(who, pa.int64())
@@ -175,14 +194,15 @@ def decode_records(df: DataFrame, column: str, first_offset: str = "first_offset
 
 def encode_column(df: DataFrame, encode: Callable[[dict], bytes], name: str, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The ``keep`` columns with ``name``, the encoding of each row's ``columns``."""
+    _bounded_batches(df.sparkSession)
     kept = [df.schema[c] for c in keep]
     out = StructType([*kept, *schemas.struct_of(f"{name} binary").fields])
     names = [c for c in columns if c not in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{c: r[c] for c in columns} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([encode(r) for r in rows], pa.binary())], out.names)
+        for batch in _pieces(batches):
+            made = pa.array([encode({c: r[c] for c in columns}) for r in batch.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), made], out.names)
 
     return df.select(*keep, *names).mapInArrow(run, out)
 
