@@ -297,6 +297,11 @@ def test_columns_are_encoded_in_bounded_memory(spark):
     assert len(rows) == 256 and max(int(bytes(r["held"])) for r in rows) < 180
 
 
+def test_columns_are_decoded_in_bounded_memory(spark):
+    rows = files._exploded(long_rows(spark), "payload", ["id"], files.schemas.struct_of("held bigint, n bigint"), lambda data: [(held_mb(), len(data))]).collect()
+    assert [r["n"] for r in rows] == [1 << 20] * 256 and max(r["held"] for r in rows) < 180
+
+
 def test_stream_equals_batch(spark, sf_dir):
     live = {(r["partition_id"], r["batch_id"]): (r["first_offset"], r["last_offset"]) for r in ALL["stream_sequencer"](spark, sf_dir).collect()}
     plain = {(r["partition_id"], r["batch_id"]): (r["first_offset"], r["last_offset"]) for r in ALL["reserve_offsets"](spark, sf_dir).collect()}
