@@ -268,6 +268,34 @@ def test_extent_and_journal_sources(spark, tmp_path):
     assert recovery.journal_violations(journal).count() == 0
 
 
+def test_small_packs_share_a_task(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"pack-{i:020d}.sse").write_bytes(codecs.encode_extent(EXTENT | {"batch_id": str(i)}) + (b"SSE" if i == 39 else b""))
+    reader = files.ExtentReader({"path": str(tmp_path)})
+    assert [len(p.paths) for p in reader.partitions()] == [40]
+    files.register(spark)
+    read = lambda: sorted((r["pack_sequence"], r["batch_id"], bytes(r["payload"])) for r in spark.read.format("extentlog").option("path", str(tmp_path)).load().collect())
+    assert read() == [(i, str(i), b"hello") for i in range(40)]
+    (tmp_path / f"pack-{20:020d}.sse").write_bytes(codecs.encode_extent(EXTENT | {"batch_id": "20"}) + b"SSE")
+    with pytest.raises(Exception, match="torn_pack"):  # only the folder's last pack may end torn
+        read()
+
+
+def test_packs_are_written_in_order_with_absent_parts(spark, tmp_path):
+    rows = [EXTENT | {"batch_id": str(i), "lane": i % 2, "pack_sequence": i // 6, "sequence": 50 - i} for i in range(24)]
+    for r in rows[::3]:
+        r |= {"transaction_id": None, "chunk_sequence": None}
+    columns = ("lane", "pack_sequence", "topic_id", "partition_id", "batch_id", "first_offset", "last_offset", "record_count", "virtual_lane_id", "ring_epoch", "leader_epoch", "sequence", "transaction_id", "chunk_sequence", "payload")
+    types = "lane int, pack_sequence long, topic_id string, partition_id int, batch_id string, first_offset long, last_offset long, record_count long, virtual_lane_id int, ring_epoch long, leader_epoch long, sequence long, transaction_id string, chunk_sequence long, payload binary"
+    made = files.write_packs(spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], types), str(tmp_path)).collect()
+    assert sorted((r["lane"], r["pack_sequence"]) for r in made) == [(lane, p) for lane in range(2) for p in range(4)]
+    for lane, number, size in made:
+        data = (tmp_path / f"lane-{lane:05d}/pack-{number:020d}.sse").read_bytes()
+        found = [x for _, x in codecs.scan_extents(data, False)]
+        want = sorted((r for r in rows if (r["lane"], r["pack_sequence"]) == (lane, number)), key=lambda r: r["sequence"])
+        assert len(data) == size and [(x["batch_id"], x["transaction_id"], x["chunk_sequence"]) for x in found] == [(r["batch_id"], r.get("transaction_id"), r.get("chunk_sequence")) for r in want]
+
+
 def test_codec_queries(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("frame_roundtrip", "extent_roundtrip"):

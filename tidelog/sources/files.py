@@ -1,6 +1,6 @@
 """Python data sources for pack files and journals, and codecs over binary columns.
 
-A source lists its files on the driver and reads each in a task of its own. Paths are read with Arrow's file systems, so any
+A source lists its files on the driver and reads them in tasks of some MB of files each. Paths are read with Arrow's file systems, so any
 store that Arrow knows (``file://``, ``hdfs://``, ``s3://``) works; other stores are read with Spark's ``binaryFile`` source and the decoders.
 """
 
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +23,20 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str, suffix: str) -> list[str]:
-    """The files of a folder that end in ``suffix``, by name; a file is itself."""
+def listed_sizes(path: str, suffix: str) -> list[tuple[str, int]]:
+    """(file, bytes) of a folder's files that end in ``suffix``, by name; a file is itself."""
     files, root = _open(path)
     info = files.get_file_info(root)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     found = files.get_file_info(fs.FileSelector(root, recursive=True))
     prefix = path[: len(path) - len(root)] if path.endswith(root) else path.split("://")[0] + "://"
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
+    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
+
+
+def listed(path: str, suffix: str) -> list[str]:
+    """The files of a folder that end in ``suffix``, by name; a file is itself."""
+    return [name for name, _ in listed_sizes(path, suffix)]
 
 
 def read_bytes(path: str) -> bytes:
@@ -60,6 +64,18 @@ def extent_row(number: int, at: int, x: dict) -> tuple:
     return (number, at, x["topic_id"], x["partition_id"], x["batch_id"], x["first_offset"], x["last_offset"], x["record_count"], place, producer, group, x["payload"])
 
 
+class PacksPartition(InputPartition):
+    """Packs that one task reads, one after another; ``last``: whether the folder's last pack is the last of them."""
+
+    def __init__(self, paths: list[str], last: bool):
+        super().__init__(paths)
+        self.paths, self.last = paths, last
+
+
+#: Bytes of packs that a task reads, one pack at least. A task costs more than reading a small pack.
+TASK_BYTES = 16 << 20
+
+
 class ExtentReader(DataSourceReader):
     """Packs of one folder. Equality filters on topic and partition are applied while frames are read."""
 
@@ -73,13 +89,44 @@ class ExtentReader(DataSourceReader):
             yield f  # Spark applies every filter again
 
     def partitions(self) -> Sequence[InputPartition]:
-        paths = listed(self.path, ".sse")
-        return [FilePartition(p, p == paths[-1]) for p in paths]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for at, extent in codecs.scan_extents(read_bytes(partition.path), partition.last):
-            if all(extent[name] == value for name, value in self.equal.items()):
-                yield extent_row(pack_number(partition.path), at, extent)
+        tasks, held = [], TASK_BYTES
+        for path, size in listed_sizes(self.path, ".sse"):
+            if held + size > TASK_BYTES:
+                tasks.append([])
+                held = 0
+            tasks[-1].append(path)
+            held += size
+        return [PacksPartition(paths, paths is tasks[-1]) for paths in tasks]
+
+    def read(self, partition: PacksPartition) -> Iterator[pa.RecordBatch]:
+        return _packed(self._rows(partition))
+
+    def _rows(self, partition: PacksPartition) -> Iterator[tuple]:
+        for path in partition.paths:
+            for at, extent in codecs.scan_extents(read_bytes(path), partition.last and path == partition.paths[-1]):
+                if all(extent[name] == value for name, value in self.equal.items()):
+                    yield extent_row(pack_number(path), at, extent)
+
+
+def _packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of schemas.EXTENTS in batches of about ``BATCH_BYTES``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(schemas.EXTENTS)
+    structs = [f.type if pa.types.is_struct(f.type) else None for f in schema]
+    held, size = [], 0
+    for row in rows:
+        held.append(tuple(v if t is None or v is None else dict(zip(t.names, v, strict=True)) for v, t in zip(row, structs, strict=True)))
+        size += codecs.EXTENT_HEADER + len(row[-1])
+        if size >= BATCH_BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 class ExtentLog(DataSource):
@@ -213,15 +260,33 @@ def write_packs(extents: DataFrame, folder: str) -> DataFrame:
     A pack is one task's file, of the size that packs are cut to, and gets its name when it is whole.
     """
 
-    def write(key, rows):
-        lane, number = key
-        data = b"".join(map(codecs.encode_extent, rows.sort_values("sequence").astype(object).where(rows.notna(), None).to_dict("records")))
-        files, root = _open(f"{folder}/lane-{lane:05d}")
-        files.create_dir(root, recursive=True)
-        name = f"{root}/pack-{number:020d}.sse"
-        with files.open_output_stream(f"{name}.part") as out:
-            out.write(data)
-        files.move(f"{name}.part", name)
-        return pd.DataFrame([(lane, number, len(data))], columns=["lane", "pack_sequence", "bytes"])
-
-    return extents.groupBy("lane", "pack_sequence").applyInPandas(write, "lane int, pack_sequence bigint, bytes bigint")
+    columns = extents.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, done = None, [], []
+
+        def finish() -> None:
+            lane, number = at
+            files, root = _open(f"{folder}/lane-{lane:05d}")
+            files.create_dir(root, recursive=True)
+            name = f"{root}/pack-{number:020d}.sse"
+            with files.open_output_stream(f"{name}.part") as out:
+                out.write(b"".join(parts))
+            files.move(f"{name}.part", name)
+            done.append((lane, number, sum(map(len, parts))))
+            parts.clear()
+
+        for batch in _pieces(batches):
+            for row in batch.to_pylist():
+                if (key := (row["lane"], row["pack_sequence"])) != at:
+                    if parts:
+                        finish()
+                    at = key
+                parts.append(codecs.encode_extent(row))
+        if parts:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 3, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["lane", "pack_sequence", "bytes"])
+
+    _bounded_batches(extents.sparkSession)
+    rows = extents.repartition("lane", "pack_sequence").sortWithinPartitions("lane", "pack_sequence", "sequence").select(*columns)
+    return rows.mapInArrow(write, "lane int, pack_sequence bigint, bytes bigint")
