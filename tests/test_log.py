@@ -356,6 +356,45 @@ def requests(spark, rows, columns="partition_id int, arrival_seq long, record_co
     return spark.createDataFrame(rows, columns)
 
 
+def shuffles_of(df, column):
+    """How the plan of ``df`` deals out what has the column."""
+
+    def walk(node):
+        if node.nodeName() == "Exchange" and f"{column}#" in node.output().toString():
+            yield node.outputPartitioning().toString()
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_store_payloads_are_not_dealt_by_partition(spark, tmp_path, monkeypatch):
+    from tidelog import store
+
+    log = LogStore(spark, f"file://{tmp_path}")
+    log.create_topic("1", 2, [0, 1, 2])
+    numbered, reserved = [], reserve.reserve
+    monkeypatch.setattr(store.reserve, "reserve", lambda df, *a, **k: numbered.append(df.columns) or reserved(df, *a, **k))
+    wanted = [(i % 2, i, 1 + i % 3, f"v{i}", str(i) if i % 3 == 0 else None, 0 if i % 3 == 0 else None) for i in range(24)]
+    log.append("1", requests(spark, wanted, "partition_id int, arrival_seq long, record_count long, payload string, transaction_id string, chunk_sequence long"))
+    assert numbered and "payload" not in numbered[0]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = fetch.visible(log.batches("1"), log.watermarks("1"), "recovery").select("partition_id", "first_offset", "status", "payload")
+        assert shuffles_of(rows, "payload") == []
+        few = sorted(map(tuple, log.batches("1").select("partition_id", "first_offset", "status", "payload").collect()))
+        monkeypatch.setattr(store, "SENT_OUTCOMES", -1)
+        assert sorted(map(tuple, log.batches("1").select("partition_id", "first_offset", "status", "payload").collect())) == few
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for p in range(2):
+        offset, mine = 0, [r for r in few if r[0] == p]
+        for row, (_, _, count, payload, group, _) in zip(mine, [w for w in wanted if w[0] == p], strict=True):
+            assert (row[1], row[2], bytes(row[3])) == (offset, "committed" if group is None else "unresolved", payload.encode())
+            offset += count
+
+
 def test_store_append_fetch_and_retention(spark, tmp_path):
     log = LogStore(spark, f"file://{tmp_path}")
     log.create_topic("1", 1, [0, 1, 2])

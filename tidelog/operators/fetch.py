@@ -43,7 +43,7 @@ def visible(batches: DataFrame, marks: DataFrame, mode: str = "ordered", start:
     if bound is None:
         return found
     limits = marks.withColumn("replicated_bound", F.least("replicated_high_watermark", "last_stable_offset")).select(*keys, F.col(bound).alias("__bound"))
-    return found.join(limits, list(keys)).where(F.col("last_offset") < F.col("__bound")).drop("__bound")
+    return found.join(F.broadcast(limits), list(keys)).where(F.col("last_offset") < F.col("__bound")).drop("__bound")  # a row for each log partition
 
 
 def fetch(batches: DataFrame, marks: DataFrame, mode: str = "ordered", start: int = 0, max_bytes: int = 1 << 20, max_batches: int | None = None, keys: Sequence[str] = ("partition_id",)) -> DataFrame:
