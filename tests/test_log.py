@@ -342,6 +342,36 @@ def test_stream_reorder(spark, sf_dir):
     assert all(r["max(batch_id)"] + 1 >= r["count(1)"] > 0 for r in ends) and rows.where("outcome not in ('released')").count() == 0
 
 
+def test_sent_appends_share_state_entries(monkeypatch):
+    monkeypatch.setattr(streaming, "SENT_HELD", 2)
+    kept, calls = {}, []
+
+    class State:
+        getValue = lambda self, at: calls.append(at) or kept.get(at)  # noqa: E731, N815
+        updateValue = lambda self, at, value: calls.append(at) or kept.update({at: value})  # noqa: E731, N815
+
+    sent = streaming.Sent(State(), True)
+    for i in range(2000):
+        sent[(0, i)] = (str(i), None, 1)
+    sent.close()
+    assert len(calls) < 40 and len(kept) == 8
+    again = streaming.Sent(State(), False)
+    assert [again.get((0, i)) for i in (0, 1999, 700, 0)] == [(str(i), None, 1) for i in (0, 1999, 700, 0)] and again.get((1, 0)) is None and again.get((0, 2000)) is None
+
+
+def test_producer_check_over_two_batches(spark, tmp_path):
+    schema = "producer_id long, epoch long, first_sequence long, record_count long, digest string, event_id string, arrival_seq long"
+    first = [(p, 0, i, 1, f"d{i}", "", 10 * i + 5) for p in (1, 2) for i in range(600)]
+    later = [(1, 0, 599, 1, "d599", "", 9000), (1, 0, 3, 1, "other", "", 9001), (1, 0, 600, 1, "d600", None, 9002), (1, 0, 600, 1, "d600", None, 9003), (2, 0, 700, 1, "d", "", 9004), (2, 1, 600, 1, "e", "", 9005), (2, 0, 5, 1, "d5", "", 9006), (3, 0, 1, 1, "f", "", 9007)]
+    source, sink, state = (f"file://{tmp_path}/{n}" for n in ("source", "sink", "state"))
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        streaming.run_to_end(streaming.judged(spark.readStream.schema(schema).parquet(source)), sink, state)
+    got = {(r["producer_id"], r["arrival_seq"]): r["outcome"] for r in spark.read.parquet(sink).collect()}
+    assert all(got[(r[0], r[-1])] == "accepted" for r in first) and len(got) == len(first) + len(later)
+    assert [got[(r[0], r[-1])] for r in later] == ["duplicate", "duplicate_mismatch", "accepted", "duplicate", "out_of_order", "accepted", "stale_epoch", "out_of_order"]
+
+
 def test_reorder_buffer_bounds():
     waiting = {}
     out, at, held = streaming.release(waiting, 0, [(1, 5, "b"), (1, 5, "b"), (1, 5, "x"), (0, 5, "a"), (0, 5, "a")], 0)

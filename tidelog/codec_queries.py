@@ -133,7 +133,7 @@ def stream_producer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Producers' appends as a stream: each gets the outcome that the batch operator gives it."""
     appends = derived.appends(spark, sf_dir)
     source, sink = scratch(spark, "appends"), scratch(spark, "judged")
-    appends.repartitionByRange(2, "arrival_seq").write.parquet(source)
+    appends.write.parquet(source)
     streaming.run_to_end(streaming.judged(spark.readStream.schema(appends.schema).parquet(source)), sink, scratch(spark, "state"))
     return spark.read.parquet(sink)
 
@@ -142,7 +142,7 @@ def stream_sequencer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as live requests: the stream hands out the offsets that the batch operator does."""
     docs = derived.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("partition_id"), F.col("doc_id").alias("arrival_seq"), (1 + F.col("doc_id") % 5).alias("record_count"))
     source, sink = scratch(spark, "requests"), scratch(spark, "sequenced")
-    docs.repartitionByRange(2, "arrival_seq").write.parquet(source)
+    docs.write.parquet(source)
     live = spark.readStream.schema(docs.schema).parquet(source)
     streaming.run_to_end(streaming.sequenced(live), sink, scratch(spark, "state"))
     return spark.read.parquet(sink)
@@ -152,7 +152,7 @@ def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches that come in reverse within runs of eight leave in order."""
     shuffled = derived.batches(spark, sf_dir).select("partition_id", (F.floor(F.col("batch_id") / 8) * 8 + 7 - F.col("batch_id") % 8).cast("long").alias("arrival_seq"), "batch_id", F.col("payload_bytes").alias("size"), F.col("e0").cast("string").alias("payload"))
     source, sink = scratch(spark, "batches"), scratch(spark, "ordered")
-    shuffled.coalesce(1).write.parquet(source)
+    shuffled.write.parquet(source)
     live = spark.readStream.schema(shuffled.schema).parquet(source)
     streaming.run_to_end(streaming.reordered(live), sink, scratch(spark, "state"))
     return spark.read.parquet(sink)
