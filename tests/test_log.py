@@ -5,6 +5,7 @@ import random
 import struct
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidelog import codec_queries, oracles, protocol, queries
@@ -372,6 +373,17 @@ def test_producer_check_over_two_batches(spark, tmp_path):
     assert [got[(r[0], r[-1])] for r in later] == ["duplicate", "duplicate_mismatch", "accepted", "duplicate", "out_of_order", "accepted", "stale_epoch", "out_of_order"]
 
 
+def test_a_keys_rows_are_ordered_in_bounded_memory():
+    rng = random.Random(1)
+    for n in (0, 1, 40, 99, 5000):
+        rows = pd.DataFrame({"arrival_seq": rng.sample(range(n), n), "x": range(n)})
+        found = list(streaming.in_order((rows.iloc[i : i + 37] for i in range(0, n, 37)), "arrival_seq", run_rows=100))
+        assert [a for f in found for a in f["arrival_seq"]] == list(range(n)) and all(len(f) <= 4 for f in found)
+        assert {(a, x) for f in found for a, x in zip(f["arrival_seq"], f["x"], strict=True)} == set(zip(rows["arrival_seq"], rows["x"], strict=True))
+    tied = [pd.DataFrame({"arrival_seq": [5] * 50, "x": range(50 * i, 50 * i + 50)}) for i in range(8)]
+    assert sorted(x for f in streaming.in_order(iter(tied), "arrival_seq", run_rows=100) for x in f["x"]) == list(range(400))
+
+
 def test_reorder_buffer_bounds():
     waiting = {}
     out, at, held = streaming.release(waiting, 0, [(1, 5, "b"), (1, 5, "b"), (1, 5, "x"), (0, 5, "a"), (0, 5, "a")], 0)
